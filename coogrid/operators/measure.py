@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.skew import spread_join
+from ..plans.skew import spread_lookup
 
 
 def timing_stats(samples: DataFrame) -> DataFrame:
@@ -31,14 +31,14 @@ def trimmed_mean(samples: DataFrame, k: float = 1.0) -> DataFrame:
     """Mean per experiment without samples more than k deviations from the mean.
 
     ``experiment, n, kept, mean_ms, trimmed_ms``.  The statistics are joined back to
-    the samples with hot experiments split over cells, then combined map-side.
+    the samples with hot experiments cut into stripes, then combined map-side.
     """
     stats = samples.groupBy("experiment").agg(
         F.count(F.lit(1)).alias("n"),
         F.avg("ms").alias("mean_ms"),
         F.coalesce(F.stddev_samp("ms"), F.lit(0.0)).alias("__sd"),
     )
-    met = spread_join(samples, stats, ["experiment"], left_by=["iteration", "ms"], right_by=["experiment"])
+    met = spread_lookup(samples, stats, ["experiment"], by=["iteration", "ms"])
     near = F.abs(F.col("ms") - F.col("mean_ms")) <= F.lit(k) * F.col("__sd")
     return met.groupBy("experiment").agg(
         F.max("n").alias("n"),

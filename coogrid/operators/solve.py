@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..matrix import COL, ROW, VAL, Matrix
 from ..plans.durable import materialize
-from ..plans.skew import CELL_ROWS, hot_keys
+from ..plans.skew import CELL_ROWS, S, busy_keys, copied, striped
 from .vector import IDX, diagonal
 
 
@@ -39,25 +39,19 @@ class _Operator:
         a = A if A.valued else A.with_ones()
         entries = a.df.select(F.col(COL).alias("__k"), ROW, F.col(VAL).cast("double").alias("__a"))
         # Hub columns are cut into stripes; a vector entry goes to every stripe of its column.
-        ones = A.df.sparkSession.range(A.ncols).withColumnRenamed("id", "__k")
-        self.hot = materialize(hot_keys(entries, ones, ["__k"], cell).select("__k", "__p"))
-        self.any_hot = not self.hot.isEmpty()
-        keys = ["__k"]
-        if self.any_hot:
-            striped = entries.join(F.broadcast(self.hot), "__k", "left")  # at most MAX_HOT_KEYS rows
-            stripe = F.coalesce(F.pmod(F.xxhash64(ROW), F.col("__p")), F.lit(0)).cast("int")
-            entries = striped.withColumn("__s", stripe).drop("__p")
-            keys.append("__s")
-        self.keys = keys
-        self.entries = materialize(entries.repartition(*keys).sortWithinPartitions(*keys))
+        self.busy = materialize(busy_keys(entries, ["__k"], cell))
+        self.any_busy = not self.busy.isEmpty()
+        self.keys = ["__k"]
+        if self.any_busy:
+            entries = striped(entries, self.busy, ["__k"], by=[ROW])
+            self.keys.append(S)
+        self.entries = materialize(entries.repartition(*self.keys).sortWithinPartitions(*self.keys))
 
     def times(self, vector: DataFrame) -> DataFrame:
         """``idx, q`` for the vector ``idx, v``; rows without a stored entry are absent."""
         v = vector.select(F.col(IDX).alias("__k"), "v")
-        if self.any_hot:
-            v = v.join(F.broadcast(self.hot), "__k", "left")
-            stripes = F.sequence(F.lit(0), F.coalesce("__p", F.lit(1)) - 1)
-            v = v.withColumn("__s", F.explode(stripes)).drop("__p")
+        if self.any_busy:
+            v = copied(v, self.busy, ["__k"])
         met = self.entries.join(v, self.keys)
         return met.groupBy(F.col(ROW).alias(IDX)).agg(F.sum(F.col("__a") * F.col("v")).alias("q"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..matrix import COL, ROW, Matrix
 from ..plans.ordered import scan
-from ..plans.skew import spread_join
+from ..plans.skew import spread_lookup
 from .add import ewise_add
 from .multiply import mxm
 
@@ -47,7 +47,7 @@ def mxm_workload(A: Matrix, B: Matrix) -> DataFrame:
     """
     left = A.df.select(ROW, F.col(COL).alias("__k"))
     right = row_nnz(B).select(F.col(ROW).alias("__k"), F.col("nnz").alias("__n"))
-    met = spread_join(left, right, ["__k"], left_by=[ROW], right_by=["__k"], how="left")
+    met = spread_lookup(left, right, ["__k"], by=[ROW], how="left")
     return met.groupBy(ROW).agg(F.sum(F.coalesce("__n", F.lit(0))).alias("work"))
 
 

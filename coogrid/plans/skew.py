@@ -23,6 +23,9 @@ CELL_ROWS = 1 << 25
 #: Number of hot keys that are split; the rest go through the plain hash join.
 MAX_HOT_KEYS = 10_000
 
+# Grid columns: sizes and place of a row's cell.  Inputs must not use these names.
+P, Q, S, T = "__grid_p", "__grid_q", "__grid_row", "__grid_col"
+
 
 def hot_keys(
     left: DataFrame,
@@ -31,7 +34,7 @@ def hot_keys(
     cell: int = CELL_ROWS,
     limit: int = MAX_HOT_KEYS,
 ) -> DataFrame:
-    """``keys, __p, __q`` for the keys that make the most output, at most ``limit`` rows.
+    """``keys`` with grid sizes p, q for the keys that make the most output, at most ``limit`` rows.
 
     Both counts are combined map-side before they shuffle, so a hot key costs one
     row per map task here.
@@ -46,15 +49,12 @@ def hot_keys(
         ins.join(outs, list(keys))
         .withColumn("__work", work)
         .where(F.col("__work") > cell)
+        .withColumn(P, p.cast("int"))
+        .withColumn(Q, F.ceil(cells / F.col(P)).cast("int"))
+        .select(*keys, P, Q, "__work")
         .orderBy(F.col("__work").desc())
         .limit(limit)
-        .withColumn("__cells", cells)
-        .withColumn("__pd", p)
-        .select(
-            *keys,
-            F.col("__pd").cast("int").alias("__p"),
-            F.ceil(F.col("__cells") / F.col("__pd")).cast("int").alias("__q"),
-        )
+        .drop("__work")
     )
 
 
@@ -64,22 +64,18 @@ def spread_join(
     keys: Sequence[str],
     left_by: Sequence[str],
     right_by: Sequence[str],
-    how: str = "inner",
     hint: str | None = None,
     cell: int = CELL_ROWS,
     split: bool = True,
 ) -> DataFrame:
-    """Join on the shared columns ``keys`` with hot keys split over cells.
+    """Inner join on the shared columns ``keys`` with hot keys split over cells.
 
     ``left_by`` / ``right_by`` name the columns whose hash spreads the rows of one
-    key.  ``how="left"`` needs a right side that is unique on ``keys``: then q is 1
-    and no left row is copied.  ``hint`` is a join hint for the right side.
+    key.  ``hint`` is a join hint for the right side; ``split=False`` joins plainly.
     """
     keys = list(keys)
-    if how not in ("inner", "left"):
-        raise ValueError(f"unsupported join type {how!r}")
     if not split:
-        return left.join(right.hint(hint) if hint else right, keys, how)
+        return left.join(right.hint(hint) if hint else right, keys)
     # At most MAX_HOT_KEYS rows by construction, whatever the inputs hold.
     hot = F.broadcast(hot_keys(left, right, keys, cell))
 
@@ -91,9 +87,53 @@ def spread_join(
                 F.coalesce(F.pmod(F.xxhash64(*by), F.col(own_n)), F.lit(0)).cast("int"),
             )
             .withColumn(copy, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(copy_n), F.lit(1)) - 1)))
-            .drop("__p", "__q")
+            .drop(P, Q)
         )
 
-    l = spread(left, left_by, "__s", "__p", "__t", "__q")
-    r = spread(right, right_by, "__t", "__q", "__s", "__p")
-    return l.join(r.hint(hint) if hint else r, [*keys, "__s", "__t"], how).drop("__s", "__t")
+    l = spread(left, left_by, S, P, T, Q)
+    r = spread(right, right_by, T, Q, S, P)
+    return l.join(r.hint(hint) if hint else r, [*keys, S, T]).drop(S, T)
+
+
+def busy_keys(left: DataFrame, keys: Sequence[str], cell: int = CELL_ROWS, limit: int = MAX_HOT_KEYS) -> DataFrame:
+    """``keys`` and the number of stripes p for keys with more than ``cell`` rows, at most ``limit`` rows."""
+    counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("__in")).where(F.col("__in") > cell)
+    stripes = F.ceil(F.col("__in") / F.lit(cell)).cast("int")
+    return counts.select(*keys, stripes.alias(P), "__in").orderBy(F.col("__in").desc()).limit(limit).drop("__in")
+
+
+def striped(df: DataFrame, busy: DataFrame, keys: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """Tag rows with their stripe: a hash of ``by`` for the keys in ``busy``, else 0."""
+    stripe = F.coalesce(F.pmod(F.xxhash64(*by), F.col(P)), F.lit(0)).cast("int")
+    # ``busy`` has at most MAX_HOT_KEYS rows by construction.
+    return df.join(F.broadcast(busy), list(keys), "left").withColumn(S, stripe).drop(P)
+
+
+def copied(df: DataFrame, busy: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Copy rows to every stripe of their key."""
+    stripes = F.explode(F.sequence(F.lit(0), F.coalesce(F.col(P), F.lit(1)) - 1))
+    return df.join(F.broadcast(busy), list(keys), "left").withColumn(S, stripes).drop(P)
+
+
+def spread_lookup(
+    left: DataFrame,
+    right: DataFrame,
+    keys: Sequence[str],
+    by: Sequence[str],
+    how: str = "inner",
+    cell: int = CELL_ROWS,
+    split: bool = True,
+) -> DataFrame:
+    """Join to a right side that is unique on ``keys``; hot keys of the left are cut into stripes.
+
+    ``by`` names the left columns whose hash spreads the rows of one key.  ``how`` is
+    inner or left.
+    """
+    keys = list(keys)
+    if how not in ("inner", "left"):
+        raise ValueError(f"unsupported join type {how!r}")
+    if not split:
+        return left.join(right, keys, how)
+    busy = busy_keys(left, keys, cell)
+    met = striped(left, busy, keys, by).join(copied(right, busy, keys), [*keys, S], how)
+    return met.drop(S)

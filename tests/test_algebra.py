@@ -6,7 +6,7 @@ from helpers import cells, pairs, rows
 from pyspark.sql import functions as F
 
 import coogrid as cg
-from coogrid.plans.skew import hot_keys, spread_join
+from coogrid.plans.skew import P, Q, busy_keys, hot_keys, spread_join, spread_lookup
 
 PATH4 = [(0, 1), (1, 2), (2, 3), (3, 3)]
 
@@ -95,7 +95,7 @@ def test_hub_is_split_and_result_unchanged(spark, pattern):
     right = A.df.select(F.col("row_id").alias("k"), "col_id")
     hot = hot_keys(left, right, ["k"], cell=100).collect()
     assert [h["k"] for h in hot] == [0]
-    assert hot[0]["__p"] * hot[0]["__q"] >= m * m / 100
+    assert hot[0][P] * hot[0][Q] >= m * m / 100
     met = spread_join(left, right, ["k"], ["row_id"], ["col_id"], cell=100)
     assert met.count() == m * m + m
     assert met.distinct().count() == m * m + m
@@ -113,11 +113,15 @@ def test_one_sided_hub(spark):
     left = spark.range(1000).selectExpr("id", "if(id < 600, 7, id) AS k")
     right = spark.range(1000).selectExpr("id AS k", "id * 10 AS v")
     hot = hot_keys(left, right, ["k"], cell=50).collect()
-    assert [(h["k"], h["__q"]) for h in hot] == [(7, 1)] and hot[0]["__p"] >= 12
-    for how in ("inner", "left"):
-        got = spread_join(left, right, ["k"], ["id"], ["k"], how=how, cell=50)
-        assert got.count() == 1000
+    assert [(h["k"], h[P], h[Q]) for h in hot] == [(7, 12, 1)]
+    assert [tuple(b) for b in busy_keys(left, ["k"], cell=50).collect()] == [(7, 12)]
+    partial = right.where("k < 900")
+    for how, n in (("inner", 900), ("left", 1000)):
+        got = spread_lookup(left, partial, ["k"], ["id"], how=how, cell=50)
+        assert got.count() == n
         assert got.where("v <> k * 10").count() == 0
+        assert got.where("v IS NULL").count() == n - 900
+    assert spread_join(left, right, ["k"], ["id"], ["k"], cell=50).count() == 1000
 
 
 def test_ewise_add_values(valued):

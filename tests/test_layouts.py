@@ -142,7 +142,7 @@ def test_cg_with_split_hub_column(spark, valued, monkeypatch):
     A, b = valued(arrow, n), cg.full(spark, n, 1.0)
     monkeypatch.setattr(solve._Operator.__init__, "__defaults__", (3,))
     op = solve._Operator(A)
-    assert op.any_hot
+    assert op.any_busy
     done = cg.cg(A, b, rtol=1e-8)
     assert done.converged and residual(A, done.x, b) < 1e-6
 
