@@ -14,12 +14,18 @@ ROW, COL, VAL = "row_id", "col_id", "val"
 
 
 def _checked(index: Column, size: int, what: str) -> Column:
-    """``index`` itself, or a query failure naming the value when out of bounds."""
+    """``index`` itself, or a query failure naming the value when missing or out of bounds.
+
+    The outer coalesce never acts.  It tells the optimizer that the index cannot be
+    NULL, so joins on rows and joins on columns infer no filters of their own and
+    share one scan and one shuffle of the entries.
+    """
     message = F.concat(
         F.lit(f"{what} index out of bounds for size {size}: "),
         F.coalesce(index.cast("string"), F.lit("NULL")),
     )
-    return F.when((index >= 0) & (index < F.lit(size)), index).otherwise(F.raise_error(message))
+    inside = (index >= 0) & (index < F.lit(size))
+    return F.coalesce(F.when(inside, index).otherwise(F.raise_error(message)), F.lit(-1))
 
 
 @dataclass(frozen=True)
@@ -33,6 +39,8 @@ class Matrix:
     df: DataFrame
     nrows: int
     ncols: int
+    #: The entries before repeats were dropped, where that is cheaper to count than ``df``.
+    raw: DataFrame | None = None
 
     @classmethod
     def from_edges(
@@ -56,8 +64,8 @@ class Matrix:
         if check:
             r, c = _checked(r, nrows, "row"), _checked(c, ncols, "column")
         if val is None:
-            entries = df.select(r.alias(ROW), c.alias(COL)).distinct()
-            return cls(entries, nrows, ncols)
+            stated = df.select(r.alias(ROW), c.alias(COL))
+            return cls(stated.distinct(), nrows, ncols, stated)
         if dup == "first":
             if order is None:
                 raise ValueError("dup='first' needs an order column: rows of a DataFrame have none")
@@ -67,7 +75,8 @@ class Matrix:
         kept = [r.alias(ROW), c.alias(COL), F.col(val).alias(VAL)]
         if order is not None:
             kept.append(F.col(order).alias("__order"))
-        return cls(df.select(*kept).groupBy(ROW, COL).agg(rule.alias(VAL)), nrows, ncols)
+        stated = df.select(*kept)
+        return cls(stated.groupBy(ROW, COL).agg(rule.alias(VAL)), nrows, ncols, stated.select(ROW, COL))
 
     @property
     def shape(self) -> tuple[int, int]:
@@ -97,8 +106,13 @@ class Matrix:
         return replace(self, df=self.df.select(ROW, COL, (F.lit(alpha) * F.col(VAL)).alias(VAL)))
 
     def transposed(self) -> Matrix:
-        cols = [F.col(COL).alias(ROW), F.col(ROW).alias(COL), *([VAL] if self.valued else [])]
-        return Matrix(self.df.select(*cols), self.ncols, self.nrows)
+        swap = [F.col(COL).alias(ROW), F.col(ROW).alias(COL)]
+        raw = None if self.raw is None else self.raw.select(*swap)
+        return Matrix(self.df.select(*swap, *([VAL] if self.valued else [])), self.ncols, self.nrows, raw)
+
+    def sizing(self) -> DataFrame:
+        """Positions to count rows and columns by; may hold repeats."""
+        return self.df if self.raw is None else self.raw
 
     def extract_pairs(self) -> DataFrame:
         """The positions as two plain columns."""
@@ -110,7 +124,7 @@ class Matrix:
 
     def persist(self) -> Matrix:
         """Cache the entries for several uses; recomputed when an executor is lost."""
-        return replace(self, df=self.df.persist())
+        return replace(self, df=self.df.persist(), raw=None)
 
     def unpersist(self) -> Matrix:
         self.df.unpersist()
@@ -121,7 +135,7 @@ class Matrix:
         df = self.df
         if by:
             df = df.repartition(*by).sortWithinPartitions(*by)
-        return replace(self, df=materialize(df))
+        return replace(self, df=materialize(df), raw=None)
 
     def require_same_shape(self, other: Matrix) -> None:
         if self.shape != other.shape:

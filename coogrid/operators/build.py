@@ -23,12 +23,13 @@ def mirror(A: Matrix) -> Matrix:
     there = F.struct(F.col(COL).alias(ROW), F.col(ROW).alias(COL))
     both = F.explode(F.array(here, there)).alias("__e")
     if not A.valued:
-        return replace(A, df=A.df.select(both).select("__e.*").distinct())
+        stated = A.df.select(both).select("__e.*")
+        return replace(A, df=stated.distinct(), raw=stated if A.raw is None else A.raw.select(both).select("__e.*"))
     # A stored entry wins over the image of its opposite.
     own = A.df.select(both, F.col(VAL), F.col(ROW).alias("__r"), F.col(COL).alias("__c"))
     is_image = (F.col("__e.row_id") != F.col("__r")) | (F.col("__e.col_id") != F.col("__c"))
     entries = own.select("__e.*", VAL, is_image.alias("__image"))
-    return replace(A, df=entries.groupBy(ROW, COL).agg(F.min_by(VAL, "__image").alias(VAL)))
+    return replace(A, df=entries.groupBy(ROW, COL).agg(F.min_by(VAL, "__image").alias(VAL)), raw=None)
 
 
 def duplicate_entries(raw: DataFrame, undirected: bool = False) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.skew import spread_lookup
+from ..plans.skew import Stripes
 
 
 def timing_stats(samples: DataFrame) -> DataFrame:
@@ -38,7 +38,8 @@ def trimmed_mean(samples: DataFrame, k: float = 1.0) -> DataFrame:
         F.avg("ms").alias("mean_ms"),
         F.coalesce(F.stddev_samp("ms"), F.lit(0.0)).alias("__sd"),
     )
-    met = spread_lookup(samples, stats, ["experiment"], by=["iteration", "ms"])
+    stripes = Stripes(samples, ["experiment"])
+    met = stripes.cut(samples, by=["iteration", "ms"]).join(stripes.copy(stats), stripes.on)
     near = F.abs(F.col("ms") - F.col("mean_ms")) <= F.lit(k) * F.col("__sd")
     return met.groupBy("experiment").agg(
         F.max("n").alias("n"),

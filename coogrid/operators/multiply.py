@@ -31,6 +31,7 @@ def _products(
     strategy: str | None,
     split: bool,
     cell: int,
+    sizing: tuple[DataFrame, DataFrame] | None = None,
 ) -> DataFrame:
     """One row per path ``A[i,k], B[k,j]``; with ``val`` unless only the pattern counts."""
     left_cols = [*ids, ROW, F.col(COL).alias("__k")]
@@ -39,6 +40,7 @@ def _products(
         one = F.lit(1).cast("bigint")
         left_cols.append((F.col(VAL) if VAL in a.columns else one).alias("__a"))
         right_cols.append((F.col(VAL) if VAL in b.columns else one).alias("__b"))
+    counted = sizing or (a, b)
     paths = spread_join(
         a.select(*left_cols),
         b.select(*right_cols),
@@ -48,6 +50,10 @@ def _products(
         hint=STRATEGIES[strategy],
         cell=cell,
         split=split,
+        sizing=(
+            counted[0].select(*ids, F.col(COL).alias("__k")),
+            counted[1].select(*ids, F.col(ROW).alias("__k")),
+        ),
     )
     if sr.pattern_only:
         return paths.select(*ids, ROW, COL)
@@ -79,12 +85,13 @@ def mxm(
 
     ``or_and`` and ``any_pair`` give the pattern; ``plus_times`` and the other valued
     semirings keep every structurally present cell, also one whose sum is 0.  A
-    pattern operand counts as ones.  ``split=False`` skips the search for hub
-    indices when the caller knows there are none.
+    pattern operand counts as ones.  Hub indices are counted before the product is
+    planned, so an operand that is itself costly to make should be persisted or
+    materialized; ``split=False`` skips the count.
     """
     _require_inner(A, B)
     sr = resolve(semiring, mul, add)
-    paths = _products(A.df, B.df, [], sr, strategy, split, cell)
+    paths = _products(A.df, B.df, [], sr, strategy, split, cell, (A.sizing(), B.sizing()))
     return Matrix(_reduce(paths, [], sr), A.nrows, B.ncols)
 
 
@@ -102,7 +109,7 @@ def mxm_add(
     if C.shape != (A.nrows, B.ncols):
         raise ValueError(f"addend is {C.shape}, product is {(A.nrows, B.ncols)}")
     sr = resolve(semiring)
-    paths = _products(A.df, B.df, [], sr, strategy, split, cell)
+    paths = _products(A.df, B.df, [], sr, strategy, split, cell, (A.sizing(), B.sizing()))
     if not sr.pattern_only and not C.valued:
         C = C.with_ones()
     addend = C.df.select(*paths.columns)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..matrix import COL, ROW, VAL, Matrix
 from ..plans.durable import materialize
-from ..plans.skew import CELL_ROWS, S, busy_keys, copied, striped
+from ..plans.skew import CELL_ROWS, Stripes
 from .vector import IDX, diagonal
 
 
@@ -39,20 +39,15 @@ class _Operator:
         a = A if A.valued else A.with_ones()
         entries = a.df.select(F.col(COL).alias("__k"), ROW, F.col(VAL).cast("double").alias("__a"))
         # Hub columns are cut into stripes; a vector entry goes to every stripe of its column.
-        self.busy = materialize(busy_keys(entries, ["__k"], cell))
-        self.any_busy = not self.busy.isEmpty()
-        self.keys = ["__k"]
-        if self.any_busy:
-            entries = striped(entries, self.busy, ["__k"], by=[ROW])
-            self.keys.append(S)
-        self.entries = materialize(entries.repartition(*self.keys).sortWithinPartitions(*self.keys))
+        self.stripes = Stripes(entries, ["__k"], cell)
+        layout = self.stripes.on
+        entries = self.stripes.cut(entries, by=[ROW]).repartition(*layout).sortWithinPartitions(*layout)
+        self.entries = materialize(entries)
 
     def times(self, vector: DataFrame) -> DataFrame:
         """``idx, q`` for the vector ``idx, v``; rows without a stored entry are absent."""
         v = vector.select(F.col(IDX).alias("__k"), "v")
-        if self.any_busy:
-            v = copied(v, self.busy, ["__k"])
-        met = self.entries.join(v, self.keys)
+        met = self.entries.join(self.stripes.copy(v), self.stripes.on)
         return met.groupBy(F.col(ROW).alias(IDX)).agg(F.sum(F.col("__a") * F.col("v")).alias("q"))
 
 

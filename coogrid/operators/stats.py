@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..matrix import COL, ROW, Matrix
 from ..plans.ordered import scan
-from ..plans.skew import spread_lookup
 from .add import ewise_add
 from .multiply import mxm
 
@@ -43,11 +42,12 @@ def mxm_workload(A: Matrix, B: Matrix) -> DataFrame:
     """Paths per output row of ``A . B``, ``row_id, work``: an upper bound of its entries.
 
     Rows of A that meet only empty rows of B have work 0.  Twice the total is the
-    number of flops of the numeric product.
+    number of flops of the numeric product.  The lookup side has one row per index,
+    so adaptive execution can split a hub index on the other side.
     """
     left = A.df.select(ROW, F.col(COL).alias("__k"))
     right = row_nnz(B).select(F.col(ROW).alias("__k"), F.col("nnz").alias("__n"))
-    met = spread_lookup(left, right, ["__k"], by=[ROW], how="left")
+    met = left.join(right, "__k", "left")
     return met.groupBy(ROW).agg(F.sum(F.coalesce("__n", F.lit(0))).alias("work"))
 
 

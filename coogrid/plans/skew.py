@@ -1,30 +1,43 @@
-"""Equi-join that splits hot keys over a grid of cells.
-
-A key ``k`` with ``in`` rows on the left and ``out`` rows on the right makes
-``in * out`` output rows in one task of an ordinary shuffle join.  Adaptive
-execution can split one side of such a partition but replicates the other side
-whole, and it cannot split a key whose two sides are both large.  Here a key
-whose output exceeds ``cell`` rows is laid out on a ``p x q`` grid instead: left
-rows choose a grid row by hash and are copied to the q cells of it, right rows
-choose a grid column and are copied to the p cells of it.  Each pair of rows
-meets in exactly one cell, so results (also sums) are the same as for the plain
-join.
+"""Equi-joins that split hot keys.
+
+A key with ``in`` rows on the left and ``out`` rows on the right makes
+``in * out`` output rows in one task of an ordinary join.  Adaptive execution
+splits partitions that are large on disk, which covers a key with many rows on
+one side.  It does not see a key whose inputs are small and whose output is not:
+a hub with 10**5 rows on either side is 2 MB to read and 10**10 rows to write.
+``spread_join`` lays such a key out on a ``p x q`` grid: left rows choose a grid
+row by hash and are copied to the q cells of it, right rows choose a grid column
+and are copied to the p cells of it.  Each pair of rows meets in exactly one
+cell, so results (also sums) are those of the plain join.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Output rows of one join cell above which a key counts as hot.
 CELL_ROWS = 1 << 25
-#: Number of hot keys that are split; the rest go through the plain hash join.
+#: Number of hot keys that are split; the rest go through the plain join.
 MAX_HOT_KEYS = 10_000
 
 # Grid columns: sizes and place of a row's cell.  Inputs must not use these names.
-P, Q, S, T = "__grid_p", "__grid_q", "__grid_row", "__grid_col"
+GRID_ROWS, GRID_COLS, GRID_ROW, GRID_COL = "__grid_p", "__grid_q", "__grid_row", "__grid_col"
+
+
+def grid_of(ins: int, outs: int, cell: int) -> tuple[int, int]:
+    """Grid p x q for a key, so that a cell makes about ``cell`` rows.
+
+    sqrt(cells * in / out) by sqrt(cells * out / in) keeps the copied rows
+    ``in * q + out * p`` smallest.
+    """
+    cells = -(-ins * outs // cell)
+    p = min(cells, max(1, math.ceil(math.sqrt(cells * ins / outs))))
+    return p, -(-cells // p)
 
 
 def hot_keys(
@@ -33,29 +46,18 @@ def hot_keys(
     keys: Sequence[str],
     cell: int = CELL_ROWS,
     limit: int = MAX_HOT_KEYS,
-) -> DataFrame:
-    """``keys`` with grid sizes p, q for the keys that make the most output, at most ``limit`` rows.
+) -> list[tuple]:
+    """``(*keys, p, q)`` for the keys that make the most output, at most ``limit`` of them.
 
-    Both counts are combined map-side before they shuffle, so a hot key costs one
-    row per map task here.
+    One aggregation over both sides: counts combine map-side, a hot key shuffles one
+    row per map task.  Only the hottest keys reach the driver.
     """
-    ins = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("__in"))
-    outs = right.groupBy(*keys).agg(F.count(F.lit(1)).alias("__out"))
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    both = left.select(*keys, one.alias("__in"), zero.alias("__out")).union(right.select(*keys, zero, one))
+    counts = both.groupBy(*keys).agg(F.sum("__in").alias("__in"), F.sum("__out").alias("__out"))
     work = F.col("__in").cast("double") * F.col("__out")
-    cells = F.ceil(F.col("__work") / F.lit(cell)).cast("double")
-    # sqrt(cells*in/out) by sqrt(cells*out/in) keeps the copied rows in*q + out*p smallest.
-    p = F.least(cells, F.greatest(F.lit(1.0), F.ceil(F.sqrt(cells * F.col("__in") / F.col("__out")))))
-    return (
-        ins.join(outs, list(keys))
-        .withColumn("__work", work)
-        .where(F.col("__work") > cell)
-        .withColumn(P, p.cast("int"))
-        .withColumn(Q, F.ceil(cells / F.col(P)).cast("int"))
-        .select(*keys, P, Q, "__work")
-        .orderBy(F.col("__work").desc())
-        .limit(limit)
-        .drop("__work")
-    )
+    hottest = counts.where(work > cell).orderBy(work.desc(), *keys).limit(limit).collect()
+    return [(*(r[k] for k in keys), *grid_of(r["__in"], r["__out"], cell)) for r in hottest]
 
 
 def spread_join(
@@ -67,73 +69,72 @@ def spread_join(
     hint: str | None = None,
     cell: int = CELL_ROWS,
     split: bool = True,
+    sizing: tuple[DataFrame, DataFrame] | None = None,
 ) -> DataFrame:
     """Inner join on the shared columns ``keys`` with hot keys split over cells.
 
     ``left_by`` / ``right_by`` name the columns whose hash spreads the rows of one
-    key.  ``hint`` is a join hint for the right side; ``split=False`` joins plainly.
+    key.  ``hint`` is a join hint for the right side.  Hot keys are looked for first,
+    in ``sizing`` where given (frames with the same keys that are cheaper to read);
+    without any, or with ``split=False``, this is the plain join.
     """
     keys = list(keys)
-    if not split:
-        return left.join(right.hint(hint) if hint else right, keys)
-    # At most MAX_HOT_KEYS rows by construction, whatever the inputs hold.
-    hot = F.broadcast(hot_keys(left, right, keys, cell))
-
-    def spread(df: DataFrame, by: Sequence[str], own: str, own_n: str, copy: str, copy_n: str):
-        return (
-            df.join(hot, keys, "left")
-            .withColumn(
-                own,
-                F.coalesce(F.pmod(F.xxhash64(*by), F.col(own_n)), F.lit(0)).cast("int"),
-            )
-            .withColumn(copy, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(copy_n), F.lit(1)) - 1)))
-            .drop(P, Q)
-        )
-
-    l = spread(left, left_by, S, P, T, Q)
-    r = spread(right, right_by, T, Q, S, P)
-    return l.join(r.hint(hint) if hint else r, [*keys, S, T]).drop(S, T)
-
-
-def busy_keys(left: DataFrame, keys: Sequence[str], cell: int = CELL_ROWS, limit: int = MAX_HOT_KEYS) -> DataFrame:
-    """``keys`` and the number of stripes p for keys with more than ``cell`` rows, at most ``limit`` rows."""
+    hinted = right.hint(hint) if hint else right
+    found = hot_keys(*(sizing or (left, right)), keys, cell) if split else []
+    if not found:
+        return left.join(hinted, keys)
+    sizes = [T.StructField(n, T.IntegerType()) for n in (GRID_ROWS, GRID_COLS)]
+    schema = T.StructType([*left.select(*keys).schema.fields, *sizes])
+    # At most MAX_HOT_KEYS rows, whatever the inputs hold.
+    hot = F.broadcast(left.sparkSession.createDataFrame(found, schema))
+
+    def spread(df: DataFrame, by: Sequence[str], own: str, own_n: str, copy: str, copy_n: str) -> DataFrame:
+        mine = F.coalesce(F.pmod(F.xxhash64(*by), F.col(own_n)), F.lit(0)).cast("int")
+        copies = F.explode(F.sequence(F.lit(0), F.coalesce(F.col(copy_n), F.lit(1)) - 1))
+        return df.join(hot, keys, "left").withColumn(own, mine).withColumn(copy, copies).drop(own_n, copy_n)
+
+    l = spread(left, left_by, GRID_ROW, GRID_ROWS, GRID_COL, GRID_COLS)
+    r = spread(right, right_by, GRID_COL, GRID_COLS, GRID_ROW, GRID_ROWS)
+    met = l.join(r.hint(hint) if hint else r, [*keys, GRID_ROW, GRID_COL])
+    return met.drop(GRID_ROW, GRID_COL)
+
+
+def busy_keys(left: DataFrame, keys: Sequence[str], cell: int = CELL_ROWS, limit: int = MAX_HOT_KEYS) -> list[tuple]:
+    """``(*keys, stripes)`` for keys with more than ``cell`` rows, at most ``limit`` of them."""
     counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("__in")).where(F.col("__in") > cell)
-    stripes = F.ceil(F.col("__in") / F.lit(cell)).cast("int")
-    return counts.select(*keys, stripes.alias(P), "__in").orderBy(F.col("__in").desc()).limit(limit).drop("__in")
+    busiest = counts.orderBy(F.col("__in").desc(), *keys).limit(limit).collect()
+    return [(*(r[k] for k in keys), -(-r["__in"] // cell)) for r in busiest]
 
 
-def striped(df: DataFrame, busy: DataFrame, keys: Sequence[str], by: Sequence[str]) -> DataFrame:
-    """Tag rows with their stripe: a hash of ``by`` for the keys in ``busy``, else 0."""
-    stripe = F.coalesce(F.pmod(F.xxhash64(*by), F.col(P)), F.lit(0)).cast("int")
-    # ``busy`` has at most MAX_HOT_KEYS rows by construction.
-    return df.join(F.broadcast(busy), list(keys), "left").withColumn(S, stripe).drop(P)
+class Stripes:
+    """Busy keys of a big table cut into stripes, to be looked up in a table unique on the keys.
 
-
-def copied(df: DataFrame, busy: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Copy rows to every stripe of their key."""
-    stripes = F.explode(F.sequence(F.lit(0), F.coalesce(F.col(P), F.lit(1)) - 1))
-    return df.join(F.broadcast(busy), list(keys), "left").withColumn(S, stripes).drop(P)
-
-
-def spread_lookup(
-    left: DataFrame,
-    right: DataFrame,
-    keys: Sequence[str],
-    by: Sequence[str],
-    how: str = "inner",
-    cell: int = CELL_ROWS,
-    split: bool = True,
-) -> DataFrame:
-    """Join to a right side that is unique on ``keys``; hot keys of the left are cut into stripes.
-
-    ``by`` names the left columns whose hash spreads the rows of one key.  ``how`` is
-    inner or left.
+    Adaptive execution does this for a shuffled join on its own, but not where the
+    big side keeps a stored layout, nor where an aggregation by the same keys follows.
     """
-    keys = list(keys)
-    if how not in ("inner", "left"):
-        raise ValueError(f"unsupported join type {how!r}")
-    if not split:
-        return left.join(right, keys, how)
-    busy = busy_keys(left, keys, cell)
-    met = striped(left, busy, keys, by).join(copied(right, busy, keys), [*keys, S], how)
-    return met.drop(S)
+
+    def __init__(self, big: DataFrame, keys: Sequence[str], cell: int = CELL_ROWS):
+        self.keys = list(keys)
+        self.found = busy_keys(big, self.keys, cell)
+        schema = T.StructType([*big.select(*keys).schema.fields, T.StructField(GRID_ROWS, T.IntegerType())])
+        # At most MAX_HOT_KEYS rows, whatever the table holds.
+        self._busy = F.broadcast(big.sparkSession.createDataFrame(self.found, schema)) if self.found else None
+
+    @property
+    def on(self) -> list[str]:
+        """Columns to join the two sides on."""
+        return [*self.keys, GRID_ROW] if self.found else self.keys
+
+    def cut(self, big: DataFrame, by: Sequence[str]) -> DataFrame:
+        """Rows of the big table with their stripe, a hash of ``by``."""
+        if not self.found:
+            return big
+        stripe = F.coalesce(F.pmod(F.xxhash64(*by), F.col(GRID_ROWS)), F.lit(0)).cast("int")
+        return big.join(self._busy, self.keys, "left").withColumn(GRID_ROW, stripe).drop(GRID_ROWS)
+
+    def copy(self, small: DataFrame) -> DataFrame:
+        """Rows of the unique table, one for every stripe of their key."""
+        if not self.found:
+            return small
+        stripes = F.explode(F.sequence(F.lit(0), F.coalesce(F.col(GRID_ROWS), F.lit(1)) - 1))
+        return small.join(self._busy, self.keys, "left").withColumn(GRID_ROW, stripes).drop(GRID_ROWS)

@@ -6,7 +6,7 @@ from helpers import cells, pairs, rows
 from pyspark.sql import functions as F
 
 import coogrid as cg
-from coogrid.plans.skew import P, Q, busy_keys, hot_keys, spread_join, spread_lookup
+from coogrid.plans.skew import Stripes, grid_of, hot_keys, spread_join
 
 PATH4 = [(0, 1), (1, 2), (2, 3), (3, 3)]
 
@@ -93,9 +93,8 @@ def test_hub_is_split_and_result_unchanged(spark, pattern):
     # Index 0 makes m*m of the paths: with a small cell it must be laid out on a grid.
     left = A.df.select("row_id", F.col("col_id").alias("k"))
     right = A.df.select(F.col("row_id").alias("k"), "col_id")
-    hot = hot_keys(left, right, ["k"], cell=100).collect()
-    assert [h["k"] for h in hot] == [0]
-    assert hot[0][P] * hot[0][Q] >= m * m / 100
+    ((key, p, q),) = hot_keys(left, right, ["k"], cell=100)
+    assert (key, p, q) == (0, 4, 4)
     met = spread_join(left, right, ["k"], ["row_id"], ["col_id"], cell=100)
     assert met.count() == m * m + m
     assert met.distinct().count() == m * m + m
@@ -109,19 +108,29 @@ def test_hub_is_split_and_result_unchanged(spark, pattern):
     assert sum(w for _, w in work) == m * m + m
 
 
+def test_grid_sizes():
+    assert grid_of(600, 1, 50) == (12, 1)
+    assert grid_of(1, 600, 50) == (1, 12)
+    for ins, outs in ((10**6, 10**6), (10**9, 10), (7, 10**8), (10**12, 10**3)):
+        p, q = grid_of(ins, outs, 1 << 25)
+        assert ins * outs / (p * q) <= 1 << 25 and p * q <= 2 * (ins * outs >> 25) + 2
+
+
 def test_one_sided_hub(spark):
     left = spark.range(1000).selectExpr("id", "if(id < 600, 7, id) AS k")
-    right = spark.range(1000).selectExpr("id AS k", "id * 10 AS v")
-    hot = hot_keys(left, right, ["k"], cell=50).collect()
-    assert [(h["k"], h[P], h[Q]) for h in hot] == [(7, 12, 1)]
-    assert [tuple(b) for b in busy_keys(left, ["k"], cell=50).collect()] == [(7, 12)]
-    partial = right.where("k < 900")
+    right = spark.range(900).selectExpr("id AS k", "id * 10 AS v")
+    assert hot_keys(left, right, ["k"], cell=50) == [(7, 12, 1)]
+    got = spread_join(left, right, ["k"], ["id"], ["k"], cell=50)
+    assert got.count() == 900 and got.where("v <> k * 10").count() == 0
+    stripes = Stripes(left, ["k"], cell=50)
+    assert stripes.found == [(7, 12)]
+    cut = stripes.cut(left, ["id"])
+    assert cut.where("k = 7").select("__grid_row").distinct().count() == 12
     for how, n in (("inner", 900), ("left", 1000)):
-        got = spread_lookup(left, partial, ["k"], ["id"], how=how, cell=50)
+        got = cut.join(stripes.copy(right), stripes.on, how)
         assert got.count() == n
         assert got.where("v <> k * 10").count() == 0
         assert got.where("v IS NULL").count() == n - 900
-    assert spread_join(left, right, ["k"], ["id"], ["k"], cell=50).count() == 1000
 
 
 def test_ewise_add_values(valued):
