@@ -83,9 +83,8 @@ def flag_repeats(df: DataFrame, keys: list[str], tie: str) -> DataFrame:
     Adds ``pos``, ``is_repeat`` (0 for the very first row) and its converse
     ``is_new``.  ``tie`` orders equal rows and must tell them apart.
     """
-    n = df.count()
     placed = ranked(df, [*keys, tie])
-    compared = with_previous(placed, "pos", keys, width=dense_width(df.sparkSession, n))
+    compared = with_previous(placed, "pos", keys, width=dense_width(df.sparkSession, placed.count()))
     same = F.coalesce(F.col("prev") == F.struct(*keys), F.lit(False))
     return compared.select(
         *df.columns, "pos", same.cast("long").alias("is_repeat"), (~same).cast("long").alias("is_new")

@@ -109,7 +109,7 @@ def test_no_samples_at_all(series, experiments):
     assert cg.section_memory(s, e).first()["samples"] == 0
 
 
-@pytest.mark.parametrize("cells", [1, 7, 4096])
+@pytest.mark.parametrize("cells", [None, 1, 7, 100_000])
 def test_sections_match_index_search(series, experiments, cells):
     rng = random.Random(11)
     times = sorted(rng.sample(range(5000), 300))
@@ -150,3 +150,29 @@ def test_time_columns_do_not_depend_on_the_session_zone(spark):
             spark.conf.set("spark.sql.session.timeZone", "UTC")
         assert row["us"] == 1711852200123457
         assert row["ts"] == dt.datetime(2024, 3, 31, 2, 30, 0, 123457)
+
+
+def test_covering_cells(spark):
+    from pyspark.sql import functions as F
+
+    from coogrid.operators.intervals import FAN, _covering
+
+    spans = [(0, 0), (0, 1), (5, 63), (0, 64), (1, 64), (1, 129), (63, 65), (3, 9000), (0, FAN**3), (17, 262_143), (9, 4)]
+    df = spark.createDataFrame(spans, "a bigint, z bigint")
+    for levels in (1, 2, 4):
+        for r in df.select("a", "z", _covering(F.col("a"), F.col("z"), levels).alias("c")).collect():
+            if levels < 4 and r["z"] - r["a"] > 9000:
+                continue
+            covered = [x for c in r["c"] for x in range(c["cell"] * FAN ** c["level"], (c["cell"] + 1) * FAN ** c["level"])]
+            assert sorted(covered) == list(range(r["a"], r["z"]))
+            if levels > 1:
+                assert all(sum(c["level"] == i for c in r["c"]) < 2 * FAN or i == levels - 1 for i in range(levels))
+
+
+def test_tied_instants_inside_and_at_the_end(series, experiments):
+    data = [(0, 5, 0), (1, 50, 1), (1, 1, 2), (2, 7, 3), (3, 4, 4), (3, 90, 5), (3, 2, 6), (5, 8, 7)]
+    e = experiments([(0, 4), (1, 1), (0, 1), (3, 3.5)])
+    got = rows(cg.section_memory(series(data), e), "section_id", "samples", "min_mib", "max_mib")
+    assert got == [(0, 6, 1, 90), (1, 1, 50, 50), (2, 2, 5, 50), (3, 2, 4, 90)]
+    listed = cg.sections(series(data), e).groupBy("section_id").count()
+    assert rows(listed, "section_id", "count") == [(0, 6), (1, 1), (2, 2), (3, 2)]
