@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.semiring import Semiring, semiring as resolve
 from ..matrix import COL, ROW, VAL, Matrix
 from ..plans.durable import scratch_path
-from ..plans.skew import CELL_ROWS, spread_join
+from ..plans.skew import spread_join
 
 #: Join hints behind the ``strategy`` argument; None leaves the choice to Catalyst and AQE.
 STRATEGIES = {None: None, "hash": "shuffle_hash", "merge": "merge"}
@@ -30,7 +30,7 @@ def _products(
     sr: Semiring,
     strategy: str | None,
     split: bool,
-    cell: int,
+    cell: int | None,
     sizing: tuple[DataFrame, DataFrame] | None = None,
 ) -> DataFrame:
     """One row per path ``A[i,k], B[k,j]``; with ``val`` unless only the pattern counts."""
@@ -79,7 +79,7 @@ def mxm(
     add: Callable[[Column], Column] | None = None,
     strategy: str | None = None,
     split: bool = True,
-    cell: int = CELL_ROWS,
+    cell: int | None = None,
 ) -> Matrix:
     """``A . B`` over a semiring.
 
@@ -102,7 +102,7 @@ def mxm_add(
     semiring: str | Semiring = "or_and",
     strategy: str | None = None,
     split: bool = True,
-    cell: int = CELL_ROWS,
+    cell: int | None = None,
 ) -> Matrix:
     """``A . B + C`` in one go: the paths and C meet in a single final aggregation."""
     _require_inner(A, B)
@@ -119,7 +119,7 @@ def mxm_add(
 def square_entries(entries: DataFrame, ids: Sequence[str] = ("matrix_id",), split: bool = True) -> DataFrame:
     """Square every matrix of a table that holds many: the id joins the keys."""
     sr = resolve("or_and")
-    return _reduce(_products(entries, entries, list(ids), sr, None, split, CELL_ROWS), ids, sr)
+    return _reduce(_products(entries, entries, list(ids), sr, None, split, None), ids, sr)
 
 
 def square_workload(entries: DataFrame, out: str | None = None) -> DataFrame:

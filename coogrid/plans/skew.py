@@ -16,12 +16,14 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Output rows of one join cell above which a key counts as hot.
+#: Output rows of one join cell: a key with more is hot.  Where a quarter of an even
+#: share per task is less than the upper bound, that share counts instead.
 CELL_ROWS = 1 << 25
+MIN_CELL_ROWS = 1 << 20
 #: Number of hot keys that are split; the rest go through the plain join.
 MAX_HOT_KEYS = 10_000
 
@@ -44,20 +46,29 @@ def hot_keys(
     left: DataFrame,
     right: DataFrame,
     keys: Sequence[str],
-    cell: int = CELL_ROWS,
+    cell: int | None = None,
     limit: int = MAX_HOT_KEYS,
 ) -> list[tuple]:
     """``(*keys, p, q)`` for the keys that make the most output, at most ``limit`` of them.
 
     One aggregation over both sides: counts combine map-side, a hot key shuffles one
-    row per map task.  Only the hottest keys reach the driver.
+    row per map task.  Only the hottest keys and the total reach the driver.
     """
     zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
     both = left.select(*keys, one.alias("__in"), zero.alias("__out")).union(right.select(*keys, zero, one))
     counts = both.groupBy(*keys).agg(F.sum("__in").alias("__in"), F.sum("__out").alias("__out"))
-    work = F.col("__in").cast("double") * F.col("__out")
-    hottest = counts.where(work > cell).orderBy(work.desc(), *keys).limit(limit).collect()
-    return [(*(r[k] for k in keys), *grid_of(r["__in"], r["__out"], cell)) for r in hottest]
+    work, total = F.col("__in").cast("double") * F.col("__out"), Observation()
+    counts = counts.observe(total, F.sum(work).alias("work"))
+    hottest = counts.where(work > (cell or MIN_CELL_ROWS)).orderBy(work.desc(), *keys).limit(limit).collect()
+    if cell is None:
+        tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        share = int((total.get["work"] or 0) / (4 * tasks)) if hottest else 0
+        cell = max(MIN_CELL_ROWS, min(CELL_ROWS, share))
+    return [
+        (*(r[k] for k in keys), *grid_of(r["__in"], r["__out"], cell))
+        for r in hottest
+        if r["__in"] * r["__out"] > cell
+    ]
 
 
 def spread_join(
@@ -67,7 +78,7 @@ def spread_join(
     left_by: Sequence[str],
     right_by: Sequence[str],
     hint: str | None = None,
-    cell: int = CELL_ROWS,
+    cell: int | None = None,
     split: bool = True,
     sizing: tuple[DataFrame, DataFrame] | None = None,
 ) -> DataFrame:

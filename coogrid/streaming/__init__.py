@@ -1 +1,5 @@
 """Live variants of the measurement operators."""
+
+from .live import live_section_memory
+
+__all__ = ["live_section_memory"]
