@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..matrix import COL, ROW, Matrix
 from ..plans.ordered import dense_width, ranked, scan, with_previous
 
-#: Copies of one value that a single record is expanded into.
-COPY_CHUNK = 1 << 16
+#: Copies that one record stands for after the first and the second cut of a long run.
+COPY_CUTS = (1 << 32, 1 << 16)
 
 
 def int_div(a: Column, b: int) -> Column:
@@ -33,21 +33,27 @@ def sort_by_key(
     return ranked(df, [F.col(key).asc() if ascending else F.col(key).desc(), F.col(pos).asc()], out)
 
 
+def _cut_runs(runs: DataFrame, cols: list[str], size: int) -> DataFrame:
+    """Cut runs ``__start, __n`` into runs of at most ``size`` copies."""
+    pieces = F.sequence(F.lit(0).cast("long"), int_div(F.col("__n") - 1, size))
+    begin = F.col("__i") * F.lit(size)
+    return runs.withColumn("__i", F.explode(pieces)).select(
+        *cols,
+        (F.col("__start") + begin).alias("__start"),
+        F.least(F.lit(size).cast("long"), F.col("__n") - begin).alias("__n"),
+    )
+
+
 def _expand_copies(counted: DataFrame, cols: list[str]) -> DataFrame:
-    """One row per copy, ``pos`` counted from ``__start``; long runs go out in chunks.
+    """One row per copy, ``pos`` counted from ``__start``.
 
-    The chunks are hashed over all tasks before they are expanded.
+    A long run is cut in steps, so no record expands far, and the pieces are hashed
+    over all tasks before the last step.
     """
-    chunks = int_div(F.col("__n") - 1, COPY_CHUNK)
-    begin = F.col("__chunk") * F.lit(COPY_CHUNK)
-    size = F.least(F.lit(COPY_CHUNK).cast("long"), F.col("__n") - begin)
-    return (
-        counted.withColumn("__chunk", F.explode(F.sequence(F.lit(0).cast("long"), chunks)))
-        .select(*cols, (F.col("__start") + begin).alias("__from"), size.alias("__size"))
-        .repartition("__from")
-        .withColumn("__i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__size") - 1)))
-        .select((F.col("__from") + F.col("__i")).alias("pos"), *cols)
-    )
+    for size in COPY_CUTS:
+        counted = _cut_runs(counted, cols, size)
+    copies = _cut_runs(counted.repartition("__start"), cols, 1)
+    return copies.select(F.col("__start").alias("pos"), *cols)
 
 
 def merge_values(a: DataFrame, b: DataFrame, col: str) -> DataFrame:

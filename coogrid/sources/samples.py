@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators.order import int_div
 from ..plans.ordered import ranked
 
-#: The only timestamp layout of these files; parses 1 to 6 fraction digits.
+#: Fixed value: the timestamp layout of these files; parses 1 to 6 fraction digits.
 TIME_FORMAT = "yyyy/MM/dd HH:mm:ss.SSSSSS"
 
 

@@ -58,6 +58,7 @@ def section_lines(sections: DataFrame) -> DataFrame:
     def figure(name: str):
         return F.coalesce(F.col(name).cast("string"), F.lit("-"))
 
+    # The words and spacing of the report.
     head = F.concat(F.lit("["), F.col("section_id").cast("string"), F.lit("] "), F.col("name"))
     body = F.concat(
         F.lit("min= "), figure("min_mib"), F.lit(" MiB max= "), figure("max_mib"),

@@ -138,7 +138,7 @@ def test_workload(spark, write, tmp_path):
 
 def test_samples_and_time_points(spark, write):
     csv = write(
-        "Profiling.csv",
+        "samples.csv",
         "timestamp, pstate, memory.total [MiB], memory.used [MiB]\n"
         "2020/11/12 13:14:15.250, P8, 8117 MiB, 93 MiB\n2020/11/12 13:14:15.251, P0, 8117 MiB, 105 MiB\n",
     )
@@ -149,7 +149,7 @@ def test_samples_and_time_points(spark, write):
         ("2020-11-12 13:14:15.251000", "P0", 8117, 105),
     ]
     points = write(
-        "Profiling-Time.txt",
+        "points.txt",
         "mult_a data/x.mtx 1 10\n2020/11/12 13:14:15.250\n2020/11/12 13:15:00.001\n"
         "mult_b data/y.mtx 0 10\n2020/11/12 13:16:15.000\n2020/11/12 13:17:00.123456\n",
     )
@@ -174,10 +174,10 @@ def test_summaries(spark, write, tmp_path):
     got = rows(cg.read_summaries(spark, str(tmp_path / "sum")), "target", "name", "iterations", "expectation_ms")
     assert got == [("x", "a", 3, 2.0), ("x", "b", 1, 0.0)] + [("y", "a", 3, 2.0)] * 2 + [("y", "b", 1, 0.0)] * 2
     text = write(
-        "Summary-t.txt",
+        "runs-t.txt",
         "Benchmarking: t\n\n            Friendly name|      iterations|  expectation ms|           sd ms| \n"
-        "      data/wing/wing.mtx:              10              7.9           0.25\n",
+        "      data/one/one.mtx:              10              7.9           0.25\n",
     )
     assert rows(cg.read_summary_text(spark, text), "file", "name", "iterations", "expectation_ms", "sd_ms") == [
-        ("Summary-t.txt", "data/wing/wing.mtx", 10, 7.9, 0.25)
+        ("runs-t.txt", "data/one/one.mtx", 10, 7.9, 0.25)
     ]
