@@ -25,7 +25,7 @@ from coogrid.catalog.tables import Tables  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
-RUNS = max(2, int(os.environ.get("BENCH_RUNS", "3")))
+RUNS = max(2, int(os.environ.get("BENCH_RUNS", "2")))
 END_TO_END = (
     "mxm_bool mxm_hash mxm_plus_times mxm_weights mxm_add ewise_add square_workload kronecker mxm_workload "
     "mxm_row_nnz matrix_stats to_csr_offsets from_csr to_adjacency from_dense ordered merge_sorted flag_repeats "

@@ -108,6 +108,23 @@ def test_hub_is_split_and_result_unchanged(spark, pattern):
     assert sum(w for _, w in work) == m * m + m
 
 
+def test_default_cell_is_a_share_of_the_work(pattern, monkeypatch):
+    import coogrid.plans.skew as skew
+
+    m = 60
+    star = [(0, j) for j in range(1, m + 1)] + [(j, 0) for j in range(1, m + 1)]
+    A = pattern(star, m + 1)
+    monkeypatch.setattr(skew, "MIN_CELL_ROWS", 50)
+    sides = A.df.selectExpr("col_id AS k"), A.df.selectExpr("row_id AS k")
+    # 8 tasks: a cell holds a quarter of (m*m + m) / 8 paths.
+    ((key, p, q),) = hot_keys(*sides, ["k"])
+    share = (m * m + m) // 32
+    assert key == 0 and (p, q) == grid_of(m, m, share) and p * q >= 32
+    assert pairs(cg.mxm(A, A).df) == brute(star, star)
+    monkeypatch.setattr(skew, "CELL_ROWS", 60)
+    assert hot_keys(*sides, ["k"]) == [(0, *grid_of(m, m, 60))]
+
+
 def test_grid_sizes():
     assert grid_of(600, 1, 50) == (12, 1)
     assert grid_of(1, 600, 50) == (1, 12)
