@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.durable import materialize
 
+# Kernels travel with their code, so executors need not have the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__package__])
+
 #: Rows a task hands to Python code at a time; texts can be long, so batches of Spark are cut further.
 SLICE_ROWS = 256
 
