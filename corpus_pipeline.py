@@ -5,11 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from coogrid.llm.language import language_stage
+from coogrid.llm.packing import packing_stage
+from coogrid.llm.pii import pii_stage
+from coogrid.llm.simhash import simhash_stage
+from coogrid.llm.toxicity import toxicity_stage
 from coogrid.plans.durable import scratch_path
 
 #: Name and function (spark, docs, sf_dir) of each stage, in order.
 STAGES = [
     ("language_id", language_stage),
+    ("toxicity", toxicity_stage),
+    ("near_duplicates", simhash_stage),
+    ("personal_data", pii_stage),
+    ("packing", packing_stage),
 ]
 
 #: Compression, learning and tokenizing are not expressible in SQL; tests compare with plain computation.
