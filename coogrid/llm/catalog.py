@@ -7,16 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .language import language_query
+from .ordermin import ordermin_query
 from .packing import packing_query
 from .pii import pii_query
+from .quality import quality_query
 from .simhash import simhash_query
 from .toxicity import toxicity_query
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_quality_fm": quality_query,
     "op4_packing_grouping": packing_query,
     "op6_simhash_bytes": simhash_query,
     "op7_language_zstd": language_query,
     "op8_pii_weak": pii_query,
+    "op9_order_minhash": ordermin_query,
     "op10_toxicity_mil": toxicity_query,
 }
 SQL: dict[str, str] = {}
