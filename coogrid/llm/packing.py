@@ -85,21 +85,25 @@ def _best_pattern(sizes: np.ndarray, worth: np.ndarray, capacity: int) -> tuple[
 def solve_configurations(sizes: list[int], demand: list[int], capacity: int) -> list[tuple[np.ndarray, int]]:
     """Patterns with whole counts, none above the demand, from the fractional optimum rounded down.
 
-    Column generation with the revised simplex method: the basis has one pattern per size.
+    Column generation with the revised simplex method: the basis has one pattern per
+    size, and its inverse is updated by one elementary step per pattern that enters.
     """
     s, b = np.array(sizes), np.array(demand, float)
     k = len(s)
     basis = np.diag(capacity // s).astype(float)
+    inverse = np.diag(1.0 / (capacity // s))
     for _ in range(_ROUNDS):
-        inverse = np.linalg.inv(basis)
-        worth = inverse.T @ np.ones(k)
-        value, pattern = _best_pattern(s, np.maximum(worth, 0), capacity)
+        value, pattern = _best_pattern(s, np.maximum(inverse.sum(0), 0), capacity)
         if value <= 1 + 1e-7:
             break
-        level, direction = inverse @ b, inverse @ pattern
+        level, direction = (inverse * b).sum(1), (inverse * pattern).sum(1)
         steps = np.where(direction > 1e-9, level / np.maximum(direction, 1e-9), np.inf)
-        basis[:, int(steps.argmin())] = pattern
-    level = np.linalg.solve(basis, b)
+        leaves = int(steps.argmin())
+        basis[:, leaves] = pattern
+        row = inverse[leaves] / direction[leaves]
+        inverse -= direction[:, None] * row[None, :]
+        inverse[leaves] = row
+    level = (inverse * b).sum(1)
     return [(basis[:, j].astype(int), n) for j in range(k) if (n := int(level[j] + 1e-7)) > 0]
 
 
