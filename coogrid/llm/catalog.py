@@ -6,17 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .embeddings import embeddings_query
 from .language import language_query
+from .licenses import licenses_query
 from .ordermin import ordermin_query
 from .packing import packing_query
 from .pii import pii_query
 from .quality import quality_query
+from .segmentation import segmentation_query
 from .simhash import simhash_query
 from .toxicity import toxicity_query
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_embedding_pivots": embeddings_query,
+    "op2_sentencepiece_nbest": segmentation_query,
     "op3_quality_fm": quality_query,
     "op4_packing_grouping": packing_query,
+    "op5_license_patience": licenses_query,
     "op6_simhash_bytes": simhash_query,
     "op7_language_zstd": language_query,
     "op8_pii_weak": pii_query,
