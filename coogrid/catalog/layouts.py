@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+import coogrid.operators.build as build
 import coogrid.operators.convert as convert
 import coogrid.operators.solve as solve
 import coogrid.operators.spmv as sp
@@ -73,20 +74,26 @@ _EMBEDDED = """SELECT vec_id AS row_id, i - 1 AS col_id, CAST(embedding[i] AS DO
 FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)"""
 
 
+def _dims(t: Tables) -> int:
+    """Length of the embeddings."""
+    return t.read("embeddings").agg(F.max(F.size("embedding"))).first()[0] or 0
+
+
 @query("from_dense", f"SELECT * FROM ({_EMBEDDED}) WHERE val <> 0")
 def from_dense(t: Tables):
     rows = t.read("embeddings").select(
         F.col("vec_id").alias("row_id"), F.col("embedding").cast("array<double>").alias("vals")
     )
-    return convert.from_dense(rows, t.size("embeddings"), 64).df
+    return convert.from_dense(rows, t.size("embeddings"), _dims(t)).df
 
 
 @query("from_dense_flat", f"SELECT * FROM ({_EMBEDDED}) WHERE val <> 0")
 def from_dense_flat(t: Tables):
     """The same matrix as one row-major sequence."""
+    dims = _dims(t)
     flat = t.read("embeddings").select("vec_id", F.posexplode("embedding").alias("i", "v"))
-    flat = flat.select((F.col("vec_id") * 64 + F.col("i")).alias("pos"), F.col("v").cast("double").alias("val"))
-    return convert.from_dense_flat(flat, t.size("embeddings"), 64).df
+    flat = flat.select((F.col("vec_id") * dims + F.col("i")).alias("pos"), F.col("v").cast("double").alias("val"))
+    return convert.from_dense_flat(flat, t.size("embeddings"), dims).df
 
 
 def _x(t: Tables):
@@ -164,6 +171,30 @@ def full(t: Tables):
     return vec.full(t.spark, t.size("part"), 1.5)
 
 
+@query("full_axpby", "SELECT p_partkey AS idx, 2.0::DOUBLE * p_retailprice + 3.0::DOUBLE * 1.5::DOUBLE AS val FROM part")
+def full_axpby(t: Tables):
+    """A constant vector added to the prices."""
+    return vec.axpby(2.0, _z(t), 3.0, vec.full(t.spark, t.size("part"), 1.5))
+
+
+@query(
+    "poisson_apply",
+    """WITH d AS (SELECT (SELECT count(*) FROM supplier) AS nx, (SELECT count(*) FROM nation) AS ny),
+p AS (SELECT i, i % nx AS x, i // nx AS y, nx, ny FROM (SELECT nx, ny, unnest(range(nx * ny)) AS i FROM d)),
+v AS (SELECT i, x, y, nx, ny, s_acctbal AS a FROM p JOIN supplier ON s_suppkey = x)
+SELECT m.i AS idx, round(4 * m.a - CASE WHEN m.x > 0 THEN l.a ELSE 0 END - CASE WHEN m.x < m.nx - 1 THEN r.a ELSE 0 END
+       - CASE WHEN m.y > 0 THEN m.a ELSE 0 END - CASE WHEN m.y < m.ny - 1 THEN m.a ELSE 0 END, 4) + 0.0::DOUBLE AS val
+FROM v m LEFT JOIN v l ON l.i = m.i - 1 LEFT JOIN v r ON r.i = m.i + 1""",
+)
+def poisson_apply(t: Tables):
+    """The stencil on a grid of suppliers by nations, applied to the suppliers' balances in every row."""
+    nx, ny = t.size("supplier"), t.size("nation")
+    grid = t.spark.range(nx * ny).select(F.col("id").alias("idx"), (F.col("id") % nx).alias("s_suppkey"))
+    x = grid.join(t.read("supplier").select("s_suppkey", F.col("s_acctbal").alias("val")), "s_suppkey")
+    found = sp.spmv(build.poisson5pt(t.spark, nx, ny), x.select("idx", "val"))
+    return found.select("idx", (F.round("val", 4) + F.lit(0.0)).alias("val"))
+
+
 @query("diagonal", f"WITH {W} SELECT row_id AS idx, val FROM w WHERE row_id = col_id")
 def diagonal(t: Tables):
     return vec.diagonal(t.weights())
@@ -219,9 +250,20 @@ def spmv(t: Tables):
     return sp.spmv(t.orders_by("l_partkey", t.size("part")), _x(t))
 
 
-@query("spmv_exact", _SPMV)
+@query(
+    "spmv_exact",
+    """WITH a AS (SELECT l_orderkey AS row_id, l_partkey AS col_id, max(l_extendedprice) AS val FROM lineitem GROUP BY 1, 2),
+y AS (SELECT row_id, sum(CAST(val AS DECIMAL(18, 2)) * CAST(p_retailprice AS DECIMAL(18, 2))) AS v
+      FROM a JOIN part ON col_id = p_partkey GROUP BY row_id)
+SELECT o_orderkey AS idx, CAST(coalesce(v, 0) AS DOUBLE) AS val FROM orders LEFT JOIN y ON o_orderkey = row_id""",
+)
 def spmv_exact(t: Tables):
-    return sp.spmv(t.orders_by("l_partkey", t.size("part")), _x(t), exact=True)
+    """Prices times prices, both with cents: the sums of the exact products in any order."""
+    lines = t.read("lineitem")
+    a = Matrix.from_edges(
+        lines, "l_orderkey", "l_partkey", t.size("orders"), t.size("part"), "l_extendedprice", "max"
+    )
+    return sp.spmv(a, _z(t), exact=True).select("idx", F.round("val", 4).alias("val"))
 
 
 @query(
@@ -239,15 +281,34 @@ def spmv_beta(t: Tables):
     "spmm",
     f"""WITH {orders_by_sql("l_suppkey")}, d AS ({_EMBEDDED}),
 p AS (SELECT a.row_id, d.col_id, sum(a.val * d.val) AS v FROM a JOIN d ON a.col_id = d.row_id GROUP BY 1, 2),
-i AS (SELECT o_orderkey AS row_id, j AS col_id FROM orders CROSS JOIN (SELECT unnest(range(64)) AS j))
+i AS (SELECT o_orderkey AS row_id, j AS col_id FROM orders CROSS JOIN (SELECT unnest(range((SELECT max(len(embedding)) FROM embeddings))) AS j))
 SELECT i.row_id, i.col_id, round(2.0::DOUBLE * coalesce(p.v, 0), 4) + 0.0::DOUBLE AS val
 FROM i LEFT JOIN p ON i.row_id = p.row_id AND i.col_id = p.col_id""",
 )
 def spmm(t: Tables):
     """Order x supplier quantities times the dense embedding matrix."""
-    dense = sp.to_blocks(t.read("embeddings"), "vec_id", "embedding", 64)
+    dims = _dims(t)
+    dense = sp.to_blocks(t.read("embeddings"), "vec_id", "embedding", dims)
     a = t.orders_by("l_suppkey", t.size("embeddings"))
-    cells = sp.block_cells(sp.spmm(a, dense, 64, 2.0))
+    cells = sp.block_cells(sp.spmm(a, dense, dims, 2.0))
+    return cells.select("row_id", "col_id", (F.round("val", 4) + F.lit(0.0)).alias("val"))
+
+
+@query(
+    "spmm_beta",
+    f"""WITH a AS (SELECT s_suppkey AS row_id, s_nationkey AS col_id, s_acctbal AS val FROM supplier), d AS ({_EMBEDDED}),
+p AS (SELECT a.row_id, d.col_id, a.val * d.val AS v FROM a JOIN d ON a.col_id = d.row_id)
+SELECT p.row_id, p.col_id, round(2.0::DOUBLE * p.v + 3.0::DOUBLE * c.val, 4) + 0.0::DOUBLE AS val
+FROM p JOIN d c ON c.row_id = p.row_id AND c.col_id = p.col_id""",
+)
+def spmm_beta(t: Tables):
+    """Supplier balances times the embeddings of their nations, plus three times those of their own numbers."""
+    dims, n = _dims(t), t.size("supplier")
+    dense = sp.to_blocks(t.read("embeddings"), "vec_id", "embedding", dims)
+    one = t.read("supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
+    a = Matrix.from_edges(one, "s_suppkey", "s_nationkey", n, t.size("embeddings"), "s_acctbal", "sum")
+    own = dense.where(F.col("row_id") < n)
+    cells = sp.block_cells(sp.spmm(a, dense, dims, 2.0, 3.0, own))
     return cells.select("row_id", "col_id", (F.round("val", 4) + F.lit(0.0)).alias("val"))
 
 

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 import coogrid.operators.intervals as iv
 import coogrid.operators.measure as measure
 from coogrid.functions import micros
+from coogrid.matrix import Matrix
+from coogrid.operators.stats import mxm_workload
 from coogrid.plans.durable import scratch_path
 from coogrid.sources.summary import append_summary, read_summaries, section_lines
 
@@ -59,24 +64,37 @@ def usage_peak(t: Tables):
 
 
 def _rates_sql(rate: str) -> str:
-    return f"""WITH g AS (SELECT DISTINCT l_returnflag AS matrix_id, l_orderkey, l_partkey FROM lineitem),
-n AS (SELECT matrix_id, count(*) AS nnz FROM g GROUP BY matrix_id),
-m AS (SELECT l_returnflag AS matrix_id, count(DISTINCT l_orderkey) AS nrows, count(DISTINCT l_partkey) AS ncols,
-             max(l_extendedprice) AS ms FROM lineitem GROUP BY l_returnflag)
-SELECT matrix_id, round({rate}, 9) AS rate FROM m JOIN n USING (matrix_id)"""
+    return f"""WITH s AS (SELECT event_type, avg(value) AS ms, row_number() OVER (ORDER BY event_type) AS k
+           FROM events WHERE event_id > 0 GROUP BY event_type),
+e AS (SELECT count(*) AS n FROM s),
+f AS (SELECT l_returnflag AS matrix_id, row_number() OVER (ORDER BY l_returnflag) AS k FROM lineitem GROUP BY l_returnflag),
+g AS (SELECT DISTINCT l_returnflag AS matrix_id, l_orderkey AS r, l_partkey AS c FROM lineitem),
+z AS (SELECT matrix_id, count(*) AS nnz, count(DISTINCT r) AS nrows, count(DISTINCT c) AS ncols FROM g GROUP BY matrix_id),
+d AS (SELECT matrix_id, c, count(*) AS n FROM g GROUP BY matrix_id, c),
+o AS (SELECT matrix_id, r, count(*) AS n FROM g GROUP BY matrix_id, r),
+w AS (SELECT d.matrix_id, sum(d.n * o.n) AS work FROM d JOIN o ON d.matrix_id = o.matrix_id AND d.c = o.r GROUP BY d.matrix_id)
+SELECT matrix_id, round({rate}, 9) AS rate
+FROM z JOIN f USING (matrix_id) JOIN w USING (matrix_id) CROSS JOIN e JOIN s ON s.k = (f.k - 1) % e.n + 1"""
 
 
 def _sizes(t: Tables):
-    """Per return flag: matrix sizes, and the highest price standing in for a time."""
-    lines = t.read("lineitem").withColumnRenamed("l_returnflag", "matrix_id")
-    pairs = lines.select("matrix_id", "l_orderkey", "l_partkey").distinct()
-    nnz = pairs.groupBy("matrix_id").agg(F.count("*").alias("nnz"))
-    shape = lines.groupBy("matrix_id").agg(
-        F.countDistinct("l_orderkey").alias("nrows"),
-        F.countDistinct("l_partkey").alias("ncols"),
-        F.max("l_extendedprice").alias("ms"),
-    )
-    return shape.join(nnz, "matrix_id").withColumn("work", F.col("nnz") * 4)
+    """Per return flag: sizes of its order-part graph, work of squaring it, and the mean time of an experiment."""
+    lines = t.read("lineitem")
+    flags = [r[0] for r in lines.select("l_returnflag").distinct().orderBy("l_returnflag").collect()]
+    stats = measure.timing_stats(t.timings()).orderBy("experiment")
+    names = [r["experiment"] for r in stats.select("experiment").collect()]
+    n = t.size("orders")
+    parts = []
+    for k, flag in enumerate(flags):
+        g = Matrix.from_edges(lines.where(F.col("l_returnflag") == flag), "l_orderkey", "l_partkey", n, n)
+        sizes = g.df.agg(
+            F.count("*").alias("nnz"), F.countDistinct("row_id").alias("nrows"), F.countDistinct("col_id").alias("ncols")
+        )
+        work = mxm_workload(g, g).agg(F.sum("work").alias("work"))
+        time = stats.where(F.col("experiment") == names[k % len(names)]).select(F.col("avg_drop_first_ms").alias("ms"))
+        one = sizes.crossJoin(work).crossJoin(time)  # one row each
+        parts.append(one.withColumn("matrix_id", F.lit(flag)))
+    return reduce(DataFrame.union, parts)
 
 
 def _rate(t: Tables, kind: str):
@@ -93,7 +111,7 @@ def throughput_spmv(t: Tables):
     return _rate(t, "spmv")
 
 
-@query("throughput_spgemm", _rates_sql("2.0::DOUBLE * (nnz * 4) / ms"))
+@query("throughput_spgemm", _rates_sql("2.0::DOUBLE * work / ms"))
 def throughput_spgemm(t: Tables):
     return _rate(t, "spgemm")
 

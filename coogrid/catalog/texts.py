@@ -46,21 +46,20 @@ def mtx_square_roundtrip(t: Tables):
 @query(
     "workload_read",
     """SELECT DISTINCT l_returnflag AS matrix_id, l_orderkey AS row_id, l_partkey AS col_id
-FROM lineitem WHERE l_returnflag <> 'A'
+FROM lineitem
 UNION
-SELECT l_returnflag, l_orderkey, l_partkey FROM lineitem WHERE l_returnflag = 'A'
-UNION
-SELECT l_returnflag, l_partkey, l_orderkey FROM lineitem WHERE l_returnflag = 'A'""",
+SELECT l_returnflag, l_partkey, l_orderkey FROM lineitem WHERE l_returnflag = (SELECT min(l_returnflag) FROM lineitem)""",
 )
 def workload_read(t: Tables):
     """One text per return flag and a list that names them; the first is undirected."""
     spark, base, n = t.spark, scratch_path(t.spark, "workload"), t.size("orders")
     lines = t.read("lineitem")
     listed = ["% name | undirected | iterations"]
-    for flag in ("A", "N", "R"):
+    flags = sorted(r[0] for r in lines.select("l_returnflag").distinct().collect())
+    for flag in flags:
         of_flag = lines.where(F.col("l_returnflag") == flag)
         mtx.write_mtx(Matrix.from_edges(of_flag, "l_orderkey", "l_partkey", n, n), f"{base}/{flag}.mtx")
-        listed.append(f"{flag}.mtx   {int(flag == 'A')}   10")
+        listed.append(f"{flag}.mtx   {int(flag == flags[0])}   10")
     spark.createDataFrame([("\n".join(listed),)], "value string").write.text(f"{base}/config")
     table, _ = load_workload(spark, read_workload(spark, f"{base}/config"), base)
     return table.withColumn("matrix_id", F.regexp_replace("matrix_id", r"\.mtx$", ""))

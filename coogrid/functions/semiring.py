@@ -20,6 +20,8 @@ class Semiring:
     name: str
     mul: Callable[[Column, Column], Column] | None = None
     add: Callable[[Column], Column] | None = None
+    #: Type of the one that an entry of a pattern stands for.
+    one: str = "bigint"
 
     @property
     def pattern_only(self) -> bool:
@@ -31,7 +33,7 @@ SEMIRINGS: dict[str, Semiring] = {
     for s in (
         Semiring("or_and"),
         Semiring("any_pair"),
-        Semiring("bool_or_and", lambda a, b: a & b, F.bool_or),
+        Semiring("bool_or_and", lambda a, b: a & b, F.bool_or, "boolean"),
         Semiring("plus_times", lambda a, b: a * b, F.sum),
         Semiring("min_plus", lambda a, b: a + b, F.min),
         Semiring("max_times", lambda a, b: a * b, F.max),

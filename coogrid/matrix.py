@@ -72,7 +72,9 @@ class Matrix:
             rule = F.min_by(VAL, "__order")
         else:
             rule = {"sum": F.sum, "max": F.max, "min": F.min}[dup](VAL)
-        kept = [r.alias(ROW), c.alias(COL), F.col(val).alias(VAL)]
+        missing = F.concat_ws(" ", F.lit("no value at"), F.col(row), F.col(col))
+        value = F.when(F.col(val).isNotNull(), F.col(val)).otherwise(F.raise_error(missing)) if check else F.col(val)
+        kept = [r.alias(ROW), c.alias(COL), value.alias(VAL)]
         if order is not None:
             kept.append(F.col(order).alias("__order"))
         stated = df.select(*kept)

@@ -25,7 +25,7 @@ def ewise_add(
     sr = resolve(semiring, None, add)
     if sr.pattern_only:
         return Matrix(A.extract_pairs().union(B.extract_pairs()).distinct(), *A.shape)
-    a, b = (m if m.valued else m.with_ones() for m in (A, B))
+    a, b = (m if m.valued else m.with_ones(sr.one) for m in (A, B))
     both = a.df.select(ROW, COL, VAL).union(b.df.select(ROW, COL, VAL))
     return Matrix(both.groupBy(ROW, COL).agg(sr.add(F.col(VAL)).alias(VAL)), *A.shape)
 

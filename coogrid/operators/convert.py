@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..matrix import COL, ROW, VAL, Matrix
+from ..matrix import COL, ROW, VAL, Matrix, _checked
+from ..plans.durable import materialize
 from ..plans.ordered import dense_width, scan
 from .order import int_div
 
@@ -19,6 +20,12 @@ ADJACENCY_WIDTH = 1 << 20
 DENSE_WIDTH = 1 << 16
 
 
+def _inside(df: DataFrame, nrows: int, ncols: int) -> Matrix:
+    """A matrix of entries that fail the query where they are out of bounds."""
+    at = [_checked(F.col(ROW), nrows, "row").alias(ROW), _checked(F.col(COL), ncols, "column").alias(COL)]
+    return Matrix(df.select(*at, *([VAL] if VAL in df.columns else [])), nrows, ncols)
+
+
 def to_csr_offsets(A: Matrix) -> DataFrame:
     """Row pointers ``idx, offset`` for idx 0..nrows: entries before row idx."""
     spark = A.df.sparkSession
@@ -34,16 +41,21 @@ def from_csr(offsets: DataFrame, cols: DataFrame, nrows: int, ncols: int) -> Mat
 
     The row of a position is the last row that starts at or before it: each
     non-empty row is marked at its first position and a max-scan carries the mark
-    on, so a long row is not expanded inside one record.
+    on, so a long row is not expanded inside one record.  There must be as many
+    columns as the last offset says, and no index may be out of bounds.
     """
     spark = cols.sparkSession
+    n = cols.count()
+    stated = offsets.agg(F.max("offset").alias("n"), F.max("idx").alias("last")).first()
+    if (stated["n"] or 0) != n or (stated["last"] is not None and stated["last"] != nrows):
+        raise ValueError(f"offsets end at index {stated['last']} with {stated['n']}; there are {nrows} rows and {n} columns")
     # Empty rows share the offset of the next non-empty row, which has the largest index.
     starts = offsets.groupBy(F.col("offset").alias("pos")).agg(F.max("idx").alias("__start"))
-    marked = cols.join(starts, "pos", "left")
-    width = dense_width(spark, cols.count())
+    marked = materialize(cols.join(starts, "pos", "left"))  # read three times by the scan
+    width = dense_width(spark, n)
     rows = scan(marked, "pos", "__start", op="max", out=ROW, width=width)
     kept = [ROW, COL, *([VAL] if VAL in cols.columns else [])]
-    return Matrix(rows.select(*kept), nrows, ncols)
+    return _inside(rows.select(*kept), nrows, ncols)
 
 
 def to_adjacency(A: Matrix, width: int = ADJACENCY_WIDTH) -> DataFrame:
@@ -61,7 +73,7 @@ def to_adjacency(A: Matrix, width: int = ADJACENCY_WIDTH) -> DataFrame:
 
 def from_adjacency(df: DataFrame, nrows: int, ncols: int) -> Matrix:
     """Entries of adjacency records."""
-    return Matrix(df.select(ROW, F.explode("cols").alias(COL)), nrows, ncols)
+    return _inside(df.select(ROW, F.explode("cols").alias(COL)), nrows, ncols)
 
 
 def to_dense(A: Matrix, width: int = DENSE_WIDTH) -> DataFrame:
@@ -113,7 +125,7 @@ def from_dense(dense: DataFrame, nrows: int, ncols: int, width: int = DENSE_WIDT
     """The non-zero cells of dense records ``row_id[, block], vals``."""
     if "block" not in dense.columns:
         dense = dense.withColumn("block", F.lit(0).cast("long"))
-    return Matrix(dense_cells(dense, width).where(F.col(VAL) != 0), nrows, ncols)
+    return _inside(dense_cells(dense, width).where(F.col(VAL) != 0), nrows, ncols)
 
 
 def from_dense_flat(flat: DataFrame, nrows: int, ncols: int) -> Matrix:
@@ -122,4 +134,4 @@ def from_dense_flat(flat: DataFrame, nrows: int, ncols: int) -> Matrix:
     cells = flat.where(F.col(VAL) != 0).select(
         int_div(pos, ncols).alias(ROW), (pos % F.lit(ncols)).alias(COL), VAL
     )
-    return Matrix(cells, nrows, ncols)
+    return _inside(cells, nrows, ncols)

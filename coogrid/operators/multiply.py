@@ -37,7 +37,7 @@ def _products(
     left_cols = [*ids, ROW, F.col(COL).alias("__k")]
     right_cols = [*ids, F.col(ROW).alias("__k"), COL]
     if not sr.pattern_only:
-        one = F.lit(1).cast("bigint")
+        one = F.lit(1).cast(sr.one)
         left_cols.append((F.col(VAL) if VAL in a.columns else one).alias("__a"))
         right_cols.append((F.col(VAL) if VAL in b.columns else one).alias("__b"))
     counted = sizing or (a, b)
@@ -111,7 +111,7 @@ def mxm_add(
     sr = resolve(semiring)
     paths = _products(A.df, B.df, [], sr, strategy, split, cell, (A.sizing(), B.sizing()))
     if not sr.pattern_only and not C.valued:
-        C = C.with_ones()
+        C = C.with_ones(sr.one)
     addend = C.df.select(*paths.columns)
     return Matrix(_reduce(paths.unionByName(addend), [], sr), A.nrows, B.ncols)
 

@@ -14,9 +14,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..matrix import COL, ROW, VAL, Matrix
-from ..plans.durable import materialize
-from ..plans.skew import CELL_ROWS, Stripes
+from ..matrix import COL, ROW, VAL, Matrix, _checked
+from ..plans.durable import drop_cut, materialize
+from ..plans.skew import Stripes
 from .vector import IDX, diagonal
 
 
@@ -33,7 +33,7 @@ class Solution:
 class _Operator:
     """A matrix prepared for many products with changing vectors."""
 
-    def __init__(self, A: Matrix, cell: int = CELL_ROWS):
+    def __init__(self, A: Matrix, cell: int | None = None):
         if A.nrows != A.ncols:
             raise ValueError(f"a square system is needed, not {A.shape}")
         a = A if A.valued else A.with_ones()
@@ -56,21 +56,49 @@ def _scalars(df: DataFrame, **exprs: Column) -> dict[str, float]:
     return {n: float(row[n]) for n in exprs}
 
 
-def _start(A: Matrix, b: DataFrame, precond: str) -> DataFrame:
-    """``idx, b, m`` with the inverse preconditioner ``m``."""
+def _start(A: Matrix, b: DataFrame, precond: str, x0: DataFrame | None, op: _Operator) -> DataFrame:
+    """``idx, x, b, m``: the start vector, its residual as ``b`` and the inverse preconditioner ``m``.
+
+    Every index of the system takes part; one that ``b`` or ``x0`` leave out counts
+    as 0, one outside the system fails the query.
+    """
     if precond not in ("identity", "diagonal"):
         raise ValueError(f"unknown preconditioner {precond!r}")
-    rhs = b.select(IDX, F.col(VAL).cast("double").alias("b"))
+
+    def given(vector: DataFrame, name: str) -> DataFrame:
+        return vector.select(_checked(F.col(IDX), A.nrows, name).alias(IDX), F.col(VAL).cast("double").alias(name))
+
+    every = A.df.sparkSession.range(A.nrows).select(F.col("id").alias(IDX))
+    # A full join lets an index outside the system reach its check.
+    rhs = every.join(given(b, "b"), IDX, "full").withColumn("b", F.coalesce("b", F.lit(0.0)))
+    if x0 is None:
+        rhs = rhs.withColumn("x", F.lit(0.0))
+    else:
+        rhs = rhs.join(given(x0, "x"), IDX, "full").withColumn("x", F.coalesce("x", F.lit(0.0)))
+        product = op.times(rhs.select(IDX, F.col("x").alias("v")))
+        rhs = rhs.join(product, IDX, "left").withColumn("b", F.col("b") - F.coalesce("q", F.lit(0.0))).drop("q")
     if precond == "identity":
         return rhs.withColumn("m", F.lit(1.0))
     inverse = diagonal(A, inverse=True).select(IDX, F.col(VAL).alias("m"))
     return rhs.join(inverse, IDX, "left").withColumn("m", F.coalesce("m", F.lit(1.0)))
 
 
-def _with_product(op: _Operator, state: DataFrame, v: Column, out: str) -> DataFrame:
-    product = op.times(state.select(IDX, v.alias("v"))).withColumnRenamed("q", out)
-    joined = state.join(product, IDX, "left")
-    return materialize(joined.withColumn(out, F.coalesce(out, F.lit(0.0))))
+class _State:
+    """The vectors of a solve, cut after every product; a cut is dropped when its successor is complete."""
+
+    def __init__(self, df: DataFrame):
+        self.df = self._cut = materialize(df.repartition(IDX))
+
+    def keep(self, df: DataFrame) -> None:
+        old, self._cut = self._cut, materialize(df)
+        self.df = self._cut
+        drop_cut(old)
+
+    def with_product(self, op: _Operator, v: Column, out: str) -> DataFrame:
+        product = op.times(self.df.select(IDX, v.alias("v"))).withColumnRenamed("q", out)
+        joined = self.df.join(product, IDX, "left")
+        self.keep(joined.withColumn(out, F.coalesce(out, F.lit(0.0))))
+        return self.df
 
 
 def cg(
@@ -80,22 +108,25 @@ def cg(
     atol: float = 0.0,
     max_iter: int = 100,
     precond: str = "identity",
+    x0: DataFrame | None = None,
 ) -> Solution:
-    """Conjugate gradients for symmetric positive definite ``A x = b`` from x = 0.
+    """Conjugate gradients for symmetric positive definite ``A x = b`` from ``x0``, or from 0.
 
-    Stops when the residual norm falls to ``max(rtol * |b|, atol)``.
+    Stops when the residual norm falls to ``max(rtol * |b - A x0|, atol)``, at once where it is 0.
     """
     op = _Operator(A)
     r, p, m = F.col("r"), F.col("p"), F.col("m")
-    state = _start(A, b, precond).select(
-        IDX, F.lit(0.0).alias("x"), F.col("b").alias("r"), "m", (m * F.col("b")).alias("p")
+    start = _start(A, b, precond, x0, op).select(
+        IDX, "x", F.col("b").alias("r"), "m", (m * F.col("b")).alias("p")
     )
-    state = materialize(state.repartition(IDX))
+    kept = _State(start)
+    state = kept.df
     first = _scalars(state, rr=r * r, rz=r * r * m)
     norm, rz = first["rr"] ** 0.5, first["rz"]
     goal, done = max(rtol * norm, atol), 0
     while norm > goal and done < max_iter:
-        state = _with_product(op, state, p, "q")
+        kept.df = state
+        state = kept.with_product(op, p, "q")
         curvature = _scalars(state, pq=p * F.col("q"))["pq"]
         if curvature == 0.0:
             break
@@ -114,30 +145,34 @@ def bicgstab(
     atol: float = 0.0,
     max_iter: int = 100,
     precond: str = "identity",
+    x0: DataFrame | None = None,
 ) -> Solution:
-    """Stabilised bi-conjugate gradients for general square ``A x = b`` from x = 0."""
+    """Stabilised bi-conjugate gradients for general square ``A x = b`` from ``x0``, or from 0."""
     op = _Operator(A)
     r, p, m, s = F.col("r"), F.col("p"), F.col("m"), F.col("s")
-    start = _start(A, b, precond).select(
+    start = _start(A, b, precond, x0, op).select(
         IDX,
-        F.lit(0.0).alias("x"),
+        "x",
         F.col("b").alias("r"),
         F.col("b").alias("r0"),
         F.col("b").alias("p"),
         "m",
     )
-    state = materialize(start.repartition(IDX))
+    kept = _State(start)
+    state = kept.df
     rho = _scalars(state, rr=r * r)["rr"]
     norm, done = rho**0.5, 0
     goal = max(rtol * norm, atol)
     while norm > goal and done < max_iter and rho != 0.0:
-        state = _with_product(op, state, m * p, "v")
+        kept.df = state
+        state = kept.with_product(op, m * p, "v")
         shadow = _scalars(state, rv=F.col("r0") * F.col("v"))["rv"]
         if shadow == 0.0:
             break
         alpha = rho / shadow
         state = state.withColumn("s", r - F.lit(alpha) * F.col("v"))
-        state = _with_product(op, state, m * s, "t")
+        kept.df = state
+        state = kept.with_product(op, m * s, "t")
         at = _scalars(state, ts=F.col("t") * s, tt=F.col("t") * F.col("t"))
         omega = at["ts"] / at["tt"] if at["tt"] else 0.0
         state = state.withColumns(

@@ -28,8 +28,15 @@ _OPS = {
 
 
 def _zip(x: DataFrame, z: DataFrame) -> DataFrame:
-    a = x.select(IDX, F.col(VAL).alias("__x"))
-    return a.join(z.select(IDX, F.col(VAL).alias("__z")), IDX)
+    """Values of two vectors side by side; an index that only one of them holds fails the query."""
+    a = x.select(IDX, F.struct(F.col(VAL).alias("v")).alias("__a"))
+    b = z.select(IDX, F.struct(F.col(VAL).alias("v")).alias("__b"))
+    lone = F.raise_error(F.concat(F.lit("vectors differ in length: one lacks index "), F.col(IDX).cast("string")))
+    both = F.col("__a").isNotNull() & F.col("__b").isNotNull()
+    at = F.when(both, F.col(IDX)).otherwise(lone.cast("long"))
+    return a.join(b, IDX, "full").select(
+        at.alias(IDX), F.when(both, F.col("__a.v")).otherwise(lone).alias("__x"), F.col("__b.v").alias("__z")
+    )
 
 
 def full(spark: SparkSession, n: int, v: float) -> DataFrame:

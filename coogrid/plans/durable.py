@@ -39,3 +39,12 @@ def materialize(df: DataFrame) -> DataFrame:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder for a table that a job writes and re-reads."""
     return f"{shared_dir(spark)}/coogrid/{name}-{uuid.uuid4().hex}"
+
+
+def drop_cut(cut: DataFrame) -> None:
+    """Delete the files of a frame made by :func:`materialize` that nothing reads any more."""
+    jvm = cut.sparkSession.sparkContext._jvm
+    kept = cut._jdf.logicalPlan().rdd().getCheckpointFile()
+    if kept.isDefined():
+        place = jvm.org.apache.hadoop.fs.Path(kept.get())
+        place.getFileSystem(cut.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(place, True)

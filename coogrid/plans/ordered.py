@@ -21,22 +21,45 @@ BUCKET = "__bucket"
 _ID_BITS = 33  # low bits of monotonically_increasing_id(): row number inside the partition
 
 
-def bucket_count(spark: SparkSession) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+#: Buckets per task, so that hashing them over the tasks comes out even, and most buckets of one pass.
+BUCKETS_PER_TASK, MOST_BUCKETS = 8, 100_000
+#: Rows of a bucket aimed at where the number of rows is known.
+BUCKET_ROWS = 1 << 22
 
 
-def dense_width(spark: SparkSession, n: int) -> int:
+class Width(int):
+    """A bucket width that is known to make a bounded number of buckets."""
+
+
+def bucket_count(spark: SparkSession, n: int | None = None) -> int:
+    """Buckets of a pass: several per task, more where that leaves too many of ``n`` rows to one."""
+    tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    wanted = BUCKETS_PER_TASK * tasks if n is None else max(BUCKETS_PER_TASK * tasks, -(-n // BUCKET_ROWS))
+    return min(MOST_BUCKETS, wanted)
+
+
+def dense_width(spark: SparkSession, n: int) -> Width:
     """Bucket width for an order column that takes each of 0..n-1 once."""
-    return max(1, -(-n // bucket_count(spark)))
+    return Width(max(1, -(-n // bucket_count(spark, n))))
+
+
+def _bounded_width(df: DataFrame, order: str, width: int) -> int:
+    """``width``, or the least one that keeps to MOST_BUCKETS over the range of ``order``."""
+    if isinstance(width, Width):
+        return width
+    ends = df.agg(F.min(order).alias("lo"), F.max(order).alias("hi")).first()
+    return width if ends["lo"] is None else max(width, -(-(ends["hi"] - ends["lo"] + 1) // MOST_BUCKETS))
 
 
 def add_bucket(df: DataFrame, order: str, width: int | None = None) -> DataFrame:
     """Tag rows with a bucket that grows with the numeric column ``order``.
 
     ``width`` serves dense orders (positions, row numbers).  Otherwise the bounds
-    are approximate quantiles, so buckets are even however the values lie.
+    are approximate quantiles, so buckets are even however the values lie.  Whatever
+    the width asked for, there are MOST_BUCKETS buckets at most.
     """
     if width is not None:
+        width = _bounded_width(df, order, width)
         return df.withColumn(BUCKET, F.call_function("div", F.col(order), F.lit(width).cast("long")))
     n = bucket_count(df.sparkSession)
     as_double = df.withColumn("__order", F.col(order).cast("double"))
@@ -85,7 +108,7 @@ def scan(
         identity = 0
     keys = list(keys)
     columns = df.columns
-    tagged = add_bucket(df, order, width)
+    tagged = add_bucket(df, order, width)  # a bounded number of buckets: one row each is carried
     cells = [*keys, BUCKET]
     rows = Window.partitionBy(*cells).orderBy(order)
     rows = rows.rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)

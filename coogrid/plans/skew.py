@@ -16,16 +16,17 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from .durable import materialize
 
 #: Output rows of one join cell: a key with more is hot.  Where a quarter of an even
 #: share per task is less than the upper bound, that share counts instead.
 CELL_ROWS = 1 << 25
 MIN_CELL_ROWS = 1 << 20
-#: Number of hot keys that are split; the rest go through the plain join.
-MAX_HOT_KEYS = 10_000
+#: Tables of hot keys up to this many rows are sent to every task; larger ones are joined as Spark sees fit.
+BROADCAST_KEYS = 100_000
 
 # Grid columns: sizes and place of a row's cell.  Inputs must not use these names.
 GRID_ROWS, GRID_COLS, GRID_ROW, GRID_COL = "__grid_p", "__grid_q", "__grid_row", "__grid_col"
@@ -42,33 +43,60 @@ def grid_of(ins: int, outs: int, cell: int) -> tuple[int, int]:
     return p, -(-cells // p)
 
 
-def hot_keys(
-    left: DataFrame,
-    right: DataFrame,
-    keys: Sequence[str],
-    cell: int | None = None,
-    limit: int = MAX_HOT_KEYS,
-) -> list[tuple]:
-    """``(*keys, p, q)`` for the keys that make the most output, at most ``limit`` of them.
+def _grid_columns(cell: int) -> list[Column]:
+    """:func:`grid_of` over the columns ``__in`` and ``__out``."""
+    ins, outs = F.col("__in").cast("double"), F.col("__out").cast("double")
+    cells = F.ceil(ins * outs / F.lit(cell))
+    p = F.least(cells, F.greatest(F.lit(1).cast("long"), F.ceil(F.sqrt(cells * ins / outs))))
+    return [p.cast("int").alias(GRID_ROWS), F.ceil(cells / p).cast("int").alias(GRID_COLS)]
+
+
+def _cell_size(total: float | None, tasks: int, cell: int | None) -> int:
+    """Rows of a cell: as asked, or a quarter of an even share per task within the two bounds."""
+    if cell is not None:
+        return cell
+    return max(MIN_CELL_ROWS, min(CELL_ROWS, int((total or 0) / (4 * tasks))))
+
+
+def _tasks(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _found(heavy: DataFrame, work: Column, cell: int | None) -> tuple[DataFrame, int] | None:
+    """Keys of ``heavy`` whose work is above a cell, kept once, and the size of a cell; None without any.
+
+    All of them are kept, as a table; only the sum of the work and the number of
+    keys reach the driver.
+    """
+    seen = Observation()
+    least = cell if cell is not None else MIN_CELL_ROWS
+    counted = heavy.observe(seen, F.sum(work).alias("work"), F.count_if(work > least).alias("keys"))
+    kept = materialize(counted.where(work > least))
+    if not seen.get["keys"]:
+        return None
+    return kept, _cell_size(seen.get["work"], _tasks(heavy), cell)
+
+
+def _small(keys: DataFrame) -> DataFrame:
+    """A broadcast hint for a table of keys whose number allows one."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+
+
+def hot_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], cell: int | None = None) -> DataFrame | None:
+    """Grids ``*keys, __grid_p, __grid_q`` of the keys that make more than a cell of output; None without any.
 
     One aggregation over both sides: counts combine map-side, a hot key shuffles one
-    row per map task.  Only the hottest keys and the total reach the driver.
+    row per map task.  However many keys are hot, all are found.
     """
     zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
     both = left.select(*keys, one.alias("__in"), zero.alias("__out")).union(right.select(*keys, zero, one))
     counts = both.groupBy(*keys).agg(F.sum("__in").alias("__in"), F.sum("__out").alias("__out"))
-    work, total = F.col("__in").cast("double") * F.col("__out"), Observation()
-    counts = counts.observe(total, F.sum(work).alias("work"))
-    hottest = counts.where(work > (cell or MIN_CELL_ROWS)).orderBy(work.desc(), *keys).limit(limit).collect()
-    if cell is None:
-        tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        share = int((total.get["work"] or 0) / (4 * tasks)) if hottest else 0
-        cell = max(MIN_CELL_ROWS, min(CELL_ROWS, share))
-    return [
-        (*(r[k] for k in keys), *grid_of(r["__in"], r["__out"], cell))
-        for r in hottest
-        if r["__in"] * r["__out"] > cell
-    ]
+    work = F.col("__in").cast("double") * F.col("__out")
+    found = _found(counts, work, cell)
+    if found is None:
+        return None
+    kept, size = found
+    return kept.where(work > size).select(*keys, *_grid_columns(size))
 
 
 def spread_join(
@@ -91,13 +119,10 @@ def spread_join(
     """
     keys = list(keys)
     hinted = right.hint(hint) if hint else right
-    found = hot_keys(*(sizing or (left, right)), keys, cell) if split else []
-    if not found:
+    found = hot_keys(*(sizing or (left, right)), keys, cell) if split else None
+    if found is None:
         return left.join(hinted, keys)
-    sizes = [T.StructField(n, T.IntegerType()) for n in (GRID_ROWS, GRID_COLS)]
-    schema = T.StructType([*left.select(*keys).schema.fields, *sizes])
-    # At most MAX_HOT_KEYS rows, whatever the inputs hold.
-    hot = F.broadcast(left.sparkSession.createDataFrame(found, schema))
+    hot = _small(found)
 
     def spread(df: DataFrame, by: Sequence[str], own: str, own_n: str, copy: str, copy_n: str) -> DataFrame:
         mine = F.coalesce(F.pmod(F.xxhash64(*by), F.col(own_n)), F.lit(0)).cast("int")
@@ -110,11 +135,15 @@ def spread_join(
     return met.drop(GRID_ROW, GRID_COL)
 
 
-def busy_keys(left: DataFrame, keys: Sequence[str], cell: int = CELL_ROWS, limit: int = MAX_HOT_KEYS) -> list[tuple]:
-    """``(*keys, stripes)`` for keys with more than ``cell`` rows, at most ``limit`` of them."""
-    counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("__in")).where(F.col("__in") > cell)
-    busiest = counts.orderBy(F.col("__in").desc(), *keys).limit(limit).collect()
-    return [(*(r[k] for k in keys), -(-r["__in"] // cell)) for r in busiest]
+def busy_keys(left: DataFrame, keys: Sequence[str], cell: int | None = None) -> DataFrame | None:
+    """Stripes ``*keys, __grid_p`` of the keys with more rows than a cell; None without any."""
+    counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("__in"))
+    found = _found(counts, F.col("__in").cast("double"), cell)
+    if found is None:
+        return None
+    kept, size = found
+    stripes = F.ceil(F.col("__in") / F.lit(size)).cast("int").alias(GRID_ROWS)
+    return kept.where(F.col("__in") > size).select(*keys, stripes)
 
 
 class Stripes:
@@ -124,28 +153,26 @@ class Stripes:
     big side keeps a stored layout, nor where an aggregation by the same keys follows.
     """
 
-    def __init__(self, big: DataFrame, keys: Sequence[str], cell: int = CELL_ROWS):
+    def __init__(self, big: DataFrame, keys: Sequence[str], cell: int | None = None):
         self.keys = list(keys)
         self.found = busy_keys(big, self.keys, cell)
-        schema = T.StructType([*big.select(*keys).schema.fields, T.StructField(GRID_ROWS, T.IntegerType())])
-        # At most MAX_HOT_KEYS rows, whatever the table holds.
-        self._busy = F.broadcast(big.sparkSession.createDataFrame(self.found, schema)) if self.found else None
+        self._busy = None if self.found is None else _small(self.found)
 
     @property
     def on(self) -> list[str]:
         """Columns to join the two sides on."""
-        return [*self.keys, GRID_ROW] if self.found else self.keys
+        return self.keys if self._busy is None else [*self.keys, GRID_ROW]
 
     def cut(self, big: DataFrame, by: Sequence[str]) -> DataFrame:
         """Rows of the big table with their stripe, a hash of ``by``."""
-        if not self.found:
+        if self._busy is None:
             return big
         stripe = F.coalesce(F.pmod(F.xxhash64(*by), F.col(GRID_ROWS)), F.lit(0)).cast("int")
         return big.join(self._busy, self.keys, "left").withColumn(GRID_ROW, stripe).drop(GRID_ROWS)
 
     def copy(self, small: DataFrame) -> DataFrame:
         """Rows of the unique table, one for every stripe of their key."""
-        if not self.found:
+        if self._busy is None:
             return small
         stripes = F.explode(F.sequence(F.lit(0), F.coalesce(F.col(GRID_ROWS), F.lit(1)) - 1))
         return small.join(self._busy, self.keys, "left").withColumn(GRID_ROW, stripes).drop(GRID_ROWS)

@@ -29,16 +29,18 @@ def _lines(spark: SparkSession, path: str, matrix_id: str) -> DataFrame:
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("row"),
     )
-    lines = raw.select(F.lit(matrix_id).alias("matrix_id"), F.col("value").alias("line"), at.alias("at"))
-    return lines.where(F.trim("line") != "")
+    # White space of any kind around a line means nothing.
+    line = F.regexp_replace("value", r"^\s+|\s+$", "")
+    lines = raw.select(F.lit(matrix_id).alias("matrix_id"), line.alias("line"), at.alias("at"))
+    return lines.where(F.col("line") != "")
 
 
 def _token(i: int) -> Column:
-    return F.get(F.split(F.trim("line"), r"\s+"), F.lit(i))
+    return F.get(F.split("line", r"\s+"), F.lit(i))
 
 
 def _index(i: int) -> Column:
-    return F.expr(f"try_cast(get(split(trim(line), '\\\\s+'), {i}) AS BIGINT)")
+    return F.expr(f"try_cast(get(split(line, '\\\\s+'), {i}) AS BIGINT)")
 
 
 def _survey(lines: DataFrame) -> list:
@@ -56,7 +58,7 @@ def _survey(lines: DataFrame) -> list:
             F.min(body).alias("header_at"),
             F.max(F.when(comment, F.col("at"))).alias("last_comment"),
             F.count(body).alias("stated"),
-            F.count_if(~comment & (F.size(F.split(F.trim("line"), r"\s+")) == 3)).alias("triples"),
+            F.count_if(~comment & (F.size(F.split("line", r"\s+")) == 3)).alias("triples"),
             F.count_if(~comment & (_index(0).isNull() | _index(1).isNull())).alias("garbled"),
             F.min(F.when(~comment, F.least(_index(0), _index(1)))).alias("low"),
             F.max(F.when(~comment, _index(0))).alias("top_row"),
@@ -79,7 +81,12 @@ def _check(info, lines: DataFrame) -> tuple[int, int, int]:
     if late or outside or info["garbled"]:
         r, c = _index(0), _index(1)
         good = (r >= 1) & (r <= nrows) & (c >= 1) & (c <= ncols)
-        wrong = _body(lines.where(F.col("matrix_id") == name), info).where(~F.coalesce(good, F.lit(False)))
+        own = lines.where(F.col("matrix_id") == name)
+        # A comment after the header is at fault itself; those before it are not.
+        if info["header_at"] is not None:
+            place = F.struct(*(F.lit(v).alias(k) for k, v in info["header_at"].asDict().items()))
+            own = own.where(~(F.col("line").startswith("%") & (F.col("at") < place)))
+        wrong = _body(own, info).where(~F.coalesce(good, F.lit(False)))
         shown = [x["line"] for x in wrong.select("line").limit(10).collect()]
         if shown:
             raise ValueError(f"{name}: not an entry of a {nrows} x {ncols} matrix: {shown}")
@@ -177,7 +184,10 @@ def write_mtx_values(A: Matrix, path: str) -> int:
     """Like :func:`write_mtx` with the value as third number."""
     spark = A.df.sparkSession
     counted = Observation()
-    text = F.concat_ws(" ", F.col(ROW) + 1, F.col(COL) + 1, F.col(VAL))
+    # A number of its own for each part: a missing value fails the query instead of leaving a shorter line.
+    missing = F.raise_error(F.concat_ws(" ", F.lit("no value at"), F.col(ROW), F.col(COL)))
+    value = F.when(F.col(VAL).isNotNull(), F.col(VAL).cast("string")).otherwise(missing)
+    text = F.concat_ws(" ", F.col(ROW) + 1, F.col(COL) + 1, value)
     lines = A.df.select(text.alias("value")).observe(counted, F.count(F.lit(1)).alias("n"))
     lines.write.mode("overwrite").text(f"{path}/{_BODY_PART}")
     nnz = counted.get["n"]

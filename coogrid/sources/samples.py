@@ -16,6 +16,13 @@ def _time(col: Column) -> Column:
     return F.to_timestamp_ntz(F.trim(col), F.lit(TIME_FORMAT))
 
 
+def _stated(line: str) -> Column:
+    """The time of a record's line, or a query failure that names the record."""
+    where = F.concat(F.lit("record "), F.col("section_id").cast("string"))
+    lacking = F.raise_error(F.concat(where, F.lit(" is cut off"))).cast("timestamp_ntz")
+    return F.when(F.col(line).isNotNull(), _time(F.col(line))).otherwise(lacking)
+
+
 def _mib(name: str) -> Column:
     return F.trim(F.regexp_replace(name, "MiB", "")).cast("long")
 
@@ -43,8 +50,9 @@ def read_time_points(spark: SparkSession, path: str) -> DataFrame:
     """``section_id, target, matrix, name, t_begin, t_end`` from records of three lines.
 
     A record is a name line, whose first two words identify the experiment, a begin
-    and an end time.  Lines are numbered by a distributed pass, since a text file
-    read in parallel has no line numbers.
+    and an end time; a record that lacks a line or whose times can't be read fails the
+    query.  Lines are numbered by a distributed pass, since a text file read in parallel
+    has no line numbers.
     """
     lines = spark.read.text(path).select(
         "value",
@@ -67,6 +75,6 @@ def read_time_points(spark: SparkSession, path: str) -> DataFrame:
         target.alias("target"),
         matrix.alias("matrix"),
         F.concat_ws(" ", target, matrix).alias("name"),
-        _time(F.col("__begin")).alias("t_begin"),
-        _time(F.col("__end")).alias("t_end"),
+        _stated("__begin").alias("t_begin"),
+        _stated("__end").alias("t_end"),
     )

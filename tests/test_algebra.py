@@ -93,7 +93,7 @@ def test_hub_is_split_and_result_unchanged(spark, pattern):
     # Index 0 makes m*m of the paths: with a small cell it must be laid out on a grid.
     left = A.df.select("row_id", F.col("col_id").alias("k"))
     right = A.df.select(F.col("row_id").alias("k"), "col_id")
-    ((key, p, q),) = hot_keys(left, right, ["k"], cell=100)
+    ((key, p, q),) = hot_keys(left, right, ["k"], cell=100).collect()
     assert (key, p, q) == (0, 4, 4)
     met = spread_join(left, right, ["k"], ["row_id"], ["col_id"], cell=100)
     assert met.count() == m * m + m
@@ -117,12 +117,12 @@ def test_default_cell_is_a_share_of_the_work(pattern, monkeypatch):
     monkeypatch.setattr(skew, "MIN_CELL_ROWS", 50)
     sides = A.df.selectExpr("col_id AS k"), A.df.selectExpr("row_id AS k")
     # 8 tasks: a cell holds a quarter of (m*m + m) / 8 paths.
-    ((key, p, q),) = hot_keys(*sides, ["k"])
+    ((key, p, q),) = hot_keys(*sides, ["k"]).collect()
     share = (m * m + m) // 32
     assert key == 0 and (p, q) == grid_of(m, m, share) and p * q >= 32
     assert pairs(cg.mxm(A, A).df) == brute(star, star)
     monkeypatch.setattr(skew, "CELL_ROWS", 60)
-    assert hot_keys(*sides, ["k"]) == [(0, *grid_of(m, m, 60))]
+    assert [tuple(r) for r in hot_keys(*sides, ["k"]).collect()] == [(0, *grid_of(m, m, 60))]
 
 
 def test_grid_sizes():
@@ -136,11 +136,11 @@ def test_grid_sizes():
 def test_one_sided_hub(spark):
     left = spark.range(1000).selectExpr("id", "if(id < 600, 7, id) AS k")
     right = spark.range(900).selectExpr("id AS k", "id * 10 AS v")
-    assert hot_keys(left, right, ["k"], cell=50) == [(7, 12, 1)]
+    assert [tuple(r) for r in hot_keys(left, right, ["k"], cell=50).collect()] == [(7, 12, 1)]
     got = spread_join(left, right, ["k"], ["id"], ["k"], cell=50)
     assert got.count() == 900 and got.where("v <> k * 10").count() == 0
     stripes = Stripes(left, ["k"], cell=50)
-    assert stripes.found == [(7, 12)]
+    assert [tuple(r) for r in stripes.found.collect()] == [(7, 12)]
     cut = stripes.cut(left, ["id"])
     assert cut.where("k = 7").select("__grid_row").distinct().count() == 12
     for how, n in (("inner", 900), ("left", 1000)):
@@ -214,3 +214,25 @@ def test_empty_matrix(pattern):
 def test_out_of_bounds_edge_raises(pattern):
     with pytest.raises(Exception, match="out of bounds"):
         pattern([(0, 5)], 3).df.collect()
+
+
+def test_every_hub_is_split_however_many(spark, monkeypatch):
+    import coogrid.plans.skew as skew
+
+    hubs, m = 60, 12
+    left = spark.range(hubs * m).selectExpr("id AS a", f"id % {hubs} AS k")
+    right = spark.range(hubs * m).selectExpr("id AS b", f"id % {hubs} AS k")
+    assert hot_keys(left, right, ["k"], cell=20).count() == hubs
+    want = sorted((a, b) for a in range(hubs * m) for b in range(a % hubs, hubs * m, hubs))
+    for bound in (100_000, 0):  # with the table of hot keys broadcast, and joined
+        monkeypatch.setattr(skew, "BROADCAST_KEYS", bound)
+        got = spread_join(left, right, ["k"], ["a"], ["b"], cell=20)
+        assert sorted((r["a"], r["b"]) for r in got.collect()) == want
+    assert hot_keys(left, right, ["k"], cell=m * m) is None
+
+
+def test_pattern_operands_of_a_boolean_semiring(pattern):
+    A = pattern([(0, 1), (1, 2)], 3)
+    assert cells(cg.mxm(A, A, "bool_or_and").df) == {(0, 2): True}
+    assert cells(cg.mxm_add(A, A, A, "bool_or_and").df) == {(0, 1): True, (0, 2): True, (1, 2): True}
+    assert cells(cg.ewise_add(A, A, "bool_or_and").df) == {(0, 1): True, (1, 2): True}

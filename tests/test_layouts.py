@@ -6,6 +6,7 @@ from helpers import cells, pairs, rows, values
 from pyspark.sql import functions as F
 
 import coogrid as cg
+import coogrid.operators.spmv as sp
 
 
 @pytest.fixture
@@ -155,3 +156,94 @@ def test_bicgstab_on_a_nonsymmetric_system(spark, valued):
     done = cg.bicgstab(A, b, rtol=1e-6, precond="diagonal")
     assert done.converged
     assert residual(A, done.x, b) < 1e-5
+
+
+def _fails(df, text):
+    with pytest.raises(Exception, match=text):
+        df.collect()
+
+
+def test_vectors_of_different_length_fail(spark, vector):
+    long, short = vector([1, 2, 3]), vector([1])
+    for made in (cg.dot(long, short), cg.ewise(long, short, "*"), cg.axpy(2.0, short, long), cg.axpby(1.0, long, 1.0, short)):
+        _fails(made, "vectors differ in length")
+
+
+def test_short_right_operands_fail(spark, valued, vector):
+    A = valued([(0, 0, 1.0), (1, 2, 2.0)], 2, 3)
+    _fails(cg.spmv(A, vector([1, 1])), "lacks index 2")
+    rows = spark.createDataFrame([(0, [1.0, 2.0]), (1, [3.0, 4.0])], "i long, v array<double>")
+    _fails(cg.spmm(A, sp.to_blocks(rows, "i", "v", 2), 2), "lacks index 2")
+
+
+def test_blocks_need_arrays_of_the_stated_length(spark):
+    for values in ([1.0] * 5, [1.0], None):
+        rows = spark.createDataFrame([(0, values)], "i long, v array<double>")
+        _fails(sp.to_blocks(rows, "i", "v", 3), "not 3 numbers in row 0")
+
+
+def test_layouts_out_of_bounds_fail(spark):
+    flat = spark.createDataFrame([(99, 1.0)], "pos long, val double")
+    _fails(cg.from_dense_flat(flat, 2, 2).df, "out of bounds")
+    _fails(cg.from_adjacency(spark.createDataFrame([(9, [9])], "row_id long, cols array<long>"), 2, 2).df, "out of bounds")
+    _fails(cg.from_dense(spark.createDataFrame([(0, [0.0, 0.0, 1.0])], "row_id long, vals array<double>"), 2, 2).df, "out of bounds")
+    offsets = spark.createDataFrame([(0, 0), (1, 1), (2, 1)], "idx long, offset long")
+    cols = spark.createDataFrame([(0, 7)], "pos long, col_id long")
+    _fails(cg.from_csr(offsets, cols, 2, 2).df, "out of bounds")
+    with pytest.raises(ValueError, match="offsets end"):
+        cg.from_csr(offsets, cols.limit(0), 2, 2)
+
+
+def test_exact_spmv_keeps_every_term(spark, valued, vector):
+    inf, nan = float("inf"), float("nan")
+    A = valued(
+        [(0, 0, 1e-35), (0, 1, 2e-35), (1, 0, 1e20), (1, 1, 1e-18), (1, 2, -1e20), (2, 0, nan), (2, 1, 1.0), (3, 0, inf),
+         (3, 1, 1.0), (4, 0, inf), (4, 1, -inf), (5, 0, 5e-324), (5, 1, 1.7e308), (6, 0, -0.1), (6, 1, 0.3)],
+        7, 3,
+    )
+    got = values(cg.spmv(A, vector([1, 1, 1]), exact=True))
+    assert got[0] == 3e-35 and got[1] == 1e-18 and got[2] != got[2] and got[3] == inf and got[4] != got[4]
+    assert got[5] == 1.7e308 and got[6] == math.fsum([-0.1, 0.3])
+
+
+def test_exact_spmv_does_not_depend_on_the_layout(spark):
+    import random
+
+    rng = random.Random(1)
+    terms = [(0, j, rng.choice([-1, 1]) * 10 ** rng.uniform(-12, 12)) for j in range(3000)]
+    df = spark.createDataFrame(terms, "r long, c long, v double")
+    x = spark.range(3000).selectExpr("id AS idx", "1.0D AS val")
+    found = {
+        cg.spmv(cg.Matrix.from_edges(df.repartition(n), "r", "c", 1, 3000, "v", "sum"), x, exact=True).first()["val"]
+        for n in (1, 5, 13)
+    }
+    assert len(found) == 1 and found.pop() == pytest.approx(math.fsum(v for _, _, v in terms), rel=4e-16)
+
+
+def test_solvers_take_every_index_of_the_system(spark, valued):
+    A = valued([(0, 0, 2.0), (0, 1, -1.0), (1, 0, -1.0), (1, 1, 2.0)], 2)
+    b = spark.createDataFrame([(0, 1.0)], "idx long, val double")
+    for solver in (cg.cg, cg.bicgstab):
+        found = solver(A, b, rtol=1e-10)
+        assert found.converged and values(found.x) == pytest.approx({0: 2 / 3, 1: 1 / 3})
+        with pytest.raises(Exception, match="out of bounds"):
+            solver(A, spark.createDataFrame([(5, 1.0)], "idx long, val double"))
+        again = solver(A, b, atol=1e-8, x0=found.x)
+        assert again.iterations == 0 and again.converged
+        near = solver(A, b, atol=1e-9, x0=spark.createDataFrame([(1, 0.3)], "idx long, val double"))
+        assert values(near.x) == pytest.approx({0: 2 / 3, 1: 1 / 3})
+
+
+def test_solver_keeps_a_constant_number_of_cuts(spark, valued):
+    from pathlib import Path
+
+    def cuts():
+        top = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+        return sum(1 for p in Path(top).rglob("rdd-*") if p.is_dir())
+
+    n = 60
+    A = valued([(i, j, 2.0 if i == j else -1.0) for i in range(n) for j in (i - 1, i, i + 1) if 0 <= j < n], n)
+    b = spark.range(n).selectExpr("id AS idx", "1.0D AS val")
+    before = cuts()
+    assert cg.cg(A, b, rtol=1e-30, max_iter=20).iterations == 20
+    assert cuts() - before <= 3

@@ -174,3 +174,13 @@ def test_ordered_entries(pattern):
     A = pattern([(2, 0), (0, 3), (0, 1)], 4)
     assert [(r[0], r[1]) for r in A.ordered().collect()] == [(0, 1), (0, 3), (2, 0)]
     assert rows(cg.ordered_positions(A), "pos", "row_id", "col_id") == [(0, 0, 1), (1, 0, 3), (2, 2, 0)]
+
+
+def test_narrow_buckets_stay_bounded(spark, monkeypatch):
+    import coogrid.plans.ordered as ordered
+
+    monkeypatch.setattr(ordered, "MOST_BUCKETS", 10)
+    df = spark.range(1000).selectExpr("id AS at", "1L AS v")
+    assert ordered.add_bucket(df, "at", 1).select(ordered.BUCKET).distinct().count() <= 10
+    got = ordered.scan(df, "at", "v", width=1)
+    assert got.where("scan <> at + 1").count() == 0

@@ -181,3 +181,29 @@ def test_summaries(spark, write, tmp_path):
     assert rows(cg.read_summary_text(spark, text), "file", "name", "iterations", "expectation_ms", "sd_ms") == [
         ("runs-t.txt", "data/one/one.mtx", 10, 7.9, 0.25)
     ]
+
+
+def test_missing_values_fail(spark, tmp_path):
+    df = spark.createDataFrame([(0, 1, None)], "r long, c long, v double")
+    with pytest.raises(Exception, match="no value at"):
+        cg.Matrix.from_edges(df, "r", "c", 2, 2, "v", "sum").df.collect()
+    raw = cg.Matrix(df.selectExpr("r AS row_id", "c AS col_id", "v AS val"), 2, 2)
+    with pytest.raises(Exception, match="no value at"):
+        cg.write_mtx_values(raw, str(tmp_path / "null.mtx"))
+
+
+def test_white_space_and_the_bad_entry_in_the_message(spark, tmp_path):
+    good = tmp_path / "tabs.mtx"
+    good.write_text("%%banner\n\t 2 2 1\t\n\t1\t2 \n")
+    assert pairs(cg.read_mtx(spark, str(good)).df) == [(0, 1)]
+    bad = tmp_path / "bad.mtx"
+    bad.write_text("% one\n% two\n2 2 1\n7 1\n")
+    with pytest.raises(ValueError, match=r"\['7 1'\]"):
+        cg.read_mtx(spark, str(bad))
+
+
+def test_cut_off_records_fail(spark, tmp_path):
+    points = tmp_path / "points.txt"
+    points.write_text("multiply a.mtx 0 10\n2021/03/04 10:00:00.5\n2021/03/04 10:00:01.5\nadd a.mtx 0 10\n2021/03/04 10:00:02.5\n")
+    with pytest.raises(Exception, match="cut off"):
+        cg.read_time_points(spark, str(points)).collect()
