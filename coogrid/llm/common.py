@@ -29,6 +29,18 @@ def fold(doc_id: str, modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % modulus == remainder, F.lit(False))
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, in a session whose Arrow batches hold ``SLICE_ROWS`` rows at most.
+
+    The default of 10,000 rows is meant for numbers; as many texts would fill a
+    worker, and the JVM's buffers beside it.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= SLICE_ROWS:
+        conf.set(key, str(SLICE_ROWS))
+    return df
+
+
 def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
@@ -55,7 +67,7 @@ def arrow_map(
                 columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), arrow.types, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(run, schema)
 
 
 def keep_rows(df: DataFrame, column: str, make: Callable[[], Callable[[list], list[bool]]]) -> DataFrame:
@@ -67,7 +79,7 @@ def keep_rows(df: DataFrame, column: str, make: Callable[[], Callable[[list], li
             at = part.schema.get_field_index(column)
             yield part.filter(pa.array(kernel(part.column(at).to_pylist()), pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return small_batches(df).mapInArrow(run, df.schema)
 
 
 def labelled_sample(labels: DataFrame, label: str, bound: int, held: tuple[int, int] | None = None) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import arrow_map, fold, keep_rows, labelled_sample
 
 #: Labelled documents that the model is fitted on, at most (give or take a square root).
-SAMPLE_DOCS = 20_000
+SAMPLE_DOCS = 8_000
 #: Features kept: the most telling ones of those in enough sampled documents and with enough evidence.
 FEATURES, LEAST_DOCS, LEAST_G = 4096, 3, 15.0
 #: A document is toxic from this probability on, a sentence is reported from this one on.
@@ -73,7 +73,7 @@ def fit(docs: DataFrame, labels: DataFrame, held: tuple[int, int] | None = None)
 
         return kernel
 
-    counts = arrow_map(sample, count, "f string, y int, n long").groupBy("f").agg(
+    counts = arrow_map(sample, count, "f string, y int, n long", rows=64).groupBy("f").agg(
         F.sum(F.col("n") * F.col("y")).alias("bad"), F.sum(F.col("n") * (1 - F.col("y"))).alias("good")
     )
     total = counts.where(F.col("f") == "").first()

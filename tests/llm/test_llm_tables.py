@@ -1,0 +1,367 @@
+"""The operators as Spark jobs: odd inputs, brute force over small tables, held-out figures."""
+
+import hashlib
+import re
+from pathlib import Path
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import __spark_entry__ as entry_points
+import corpus_pipeline
+from coogrid.llm import embeddings, language, licenses, ordermin, packing, pii, quality, segmentation, simhash, tokens, toxicity
+from coogrid.llm.common import components, labelled_sample
+from test_llm_kernels import ODD_TEXTS, plain_fingerprint, plain_order_minhash, plain_spans
+
+SF_DIR = "/root/testdata/sf0.001"
+LARGER = "/root/testdata/sf0.01"
+pytestmark = pytest.mark.skipif(not Path(SF_DIR).exists(), reason="tables not mounted")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+#: Columns that clash with names the operators use inside or return.
+CLASHES = {"score": 1, "y": "y", "t": 2.0, "fp": "x", "component_id": 3, "node": None, "piece": "p", "__salt": 1}
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Odd texts, repeated rows, nulls in every column, a null id, clashing columns."""
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(ODD_TEXTS)]
+    rows += [(100, None, None, None, None), (101, "same text here", None, None, 14), (102, "same text here", "de", "s", None)]
+    rows += [(103, "same text here", "xx", "s", 14)] * 2 + [(None, "no id at all", "en", "s", 12)]
+    rows += [(200, "lorem ipsum " * 20000, "la", "s", 240000)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    return df.withColumns({k: F.lit(v) for k, v in CLASHES.items()})
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    rows = [(0, 0, 0), (4, 1, 0), (5, 1, 1), (6, 0, None), (7, None, 1), (None, 1, 1), (4, 0, 0), (999, 1, 1), (101, 5, 7)]
+    return spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
+
+
+def docs_of(spark, folder=SF_DIR):
+    return spark.read.parquet(f"{folder}/documents.parquet")
+
+
+def operators(labels):
+    return {
+        "embedding-free": lambda d: segmentation.segment_documents(d),
+        "quality": lambda d: quality.score_quality(d, quality.fit(d, labels)),
+        "packing": lambda d: packing.token_pieces(d),
+        "licenses": lambda d: licenses.scan_licenses(d),
+        "simhash": lambda d: simhash.near_duplicates(d),
+        "language": lambda d: language.predict_language(d, language.fit(d)),
+        "pii": lambda d: pii.find_spans(d, pii.fit(d)),
+        "ordermin": lambda d: ordermin.edited_fingerprints(d),
+        "toxicity": lambda d: toxicity.score_toxicity(d, toxicity.fit(d, labels)),
+    }
+
+
+@pytest.mark.parametrize("name", list(operators(None)))
+def test_odd_and_empty_tables(odd, empty, labels, name):
+    run = operators(labels)[name]
+    got = run(odd).collect()
+    ids = sorted((r["doc_id"] for r in got), key=lambda i: (i is None, i))
+    want = sorted((r["doc_id"] for r in odd.select("doc_id").collect()), key=lambda i: (i is None, i))
+    if name == "packing":
+        assert sorted(set(ids), key=lambda i: (i is None, i)) == sorted(set(want), key=lambda i: (i is None, i))
+    else:
+        assert ids == want
+    assert run(empty).collect() == []
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
+def test_stages_keep_columns_on_odd_tables(spark, odd, empty, tmp_path, labels, name, stage):
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    got = stage(spark, odd, str(tmp_path))
+    rows = got.collect()
+    if name != "packing":
+        assert got.columns == odd.columns
+        assert {r["doc_id"] for r in rows} <= {r["doc_id"] for r in odd.collect()}
+    assert stage(spark, empty, str(tmp_path)).collect() == []
+
+
+def test_queries_are_registered():
+    names = entry_points.queries()
+    for n in range(1, 11):
+        assert sum(k.startswith(f"op{n}_") for k in names) == 1
+    assert "pipeline" in names and set(entry_points.oracle_sql()) <= set(names)
+
+
+def test_labelled_sample_is_bounded(spark):
+    labels = spark.range(20000).selectExpr("id AS doc_id", "cast(id % 2 AS int) AS quality")
+    n = labelled_sample(labels, "quality", 1000).count()
+    assert 800 < n < 1200 and labelled_sample(labels, "quality", 10**6).count() == 20000
+
+
+def test_components_of_a_path_a_star_and_a_loop(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, 100 + j) for j in range(1, 30)] + [(7000, 7000), (901, 900), (900, 901)]
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    want = {i: 0 for i in range(41)} | {100 + j: 100 for j in range(30)} | {900: 900, 901: 900}
+    assert got == want
+    assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+# --- embeddings
+
+
+def brute_links(vectors):
+    ids = [i for i, _ in vectors]
+    x = np.array([v for _, v in vectors], float)
+    n = np.sqrt((x * x).sum(1))
+    near = x @ x.T / (n[:, None] * n[None, :]) >= 0.95
+    np.fill_diagonal(near, False)
+    least = np.arange(len(ids))
+    while True:
+        new = np.minimum(least, np.where(near, least[None, :], len(ids)).min(1))
+        if (new == least).all():
+            return {i: (int(near[k].sum()), ids[least[k]]) for k, i in enumerate(ids)}
+        least = new
+
+
+@pytest.mark.parametrize("points,block", [(8192, 8192), (25, 16)])
+def test_embedding_links_are_those_of_brute_force(spark, monkeypatch, points, block):
+    monkeypatch.setattr(embeddings, "CELL_POINTS", points)
+    monkeypatch.setattr(embeddings, "BLOCK_ROWS", block)
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(12, 16))
+    spread = [c + s * rng.normal(size=16) for c in centres for s in (0.0, 0.0, 0.1, 0.15, 0.2, 0.25, 0.3, 0.3)]
+    chain = [np.r_[np.cos(a), np.sin(a), np.zeros(14)] for a in np.arange(0, 3, 0.29)]
+    vectors = [(int(i), [float(c) for c in v]) for i, v in zip(rng.permutation(1000), [*spread, *chain], strict=False)]
+    vectors.sort()
+    table = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_vectors(table).collect()}
+    assert got == brute_links(vectors)
+
+
+def test_odd_embeddings(spark):
+    inf, nan = float("inf"), float("nan")
+    rows = [
+        (1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [1.0, 0.0]), (4, None), (5, [0.0, 0.0]), (6, [nan, 1.0]), (7, [1.0, None]),
+        (8, []), (9, [1e300, 1e290]), (10, [1e-300, 0.0]), (None, [1.0, 0.0]), (12, [1.0, 0.0, 0.0]), (13, [inf, 1.0]),
+        (14, [0.95, 0.3122498999199199]), (15, [0.9, 0.5]),
+    ]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"n_links": F.lit("x"), "node": F.lit(1)})
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embeddings.near_vectors(table).collect()}
+    alone = {i: (0, i, True) for i in (4, 5, 6, 7, 8, 12, 13)}
+    group = {i: (5, 1, i == 1) for i in (1, 2, 3, 9, 10)}
+    assert {i: got[i] for i in alone} == alone and got[None] == (0, None, False)
+    near = brute_links([(i, v if i != 9 else [1.0, 1e-10]) for i, v in rows if i in (1, 2, 3, 9, 14, 15)])
+    assert near[14][0] >= 4 and got[14][:2] == (near[14][0] + 1, 1)
+    assert {i: (got[i][0] - 1, *got[i][1:]) for i in group} == group
+    assert embeddings.near_vectors(table.limit(0)).collect() == []
+
+
+# --- SimHash
+
+
+def test_simhash_components_are_those_of_brute_force(spark):
+    docs = docs_of(spark, LARGER)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    rows = simhash.simhash_query(spark, LARGER).collect()
+    got = {r["doc_id"]: int(r["fingerprint"], 16) for r in rows}
+    assert all(got[i] == plain_fingerprint(texts[i]) for i in list(texts)[:40])
+    ids = sorted(got)
+    bits = np.array([got[i] for i in ids], np.uint64)
+    near = np.bitwise_count(bits[:, None] ^ bits[None, :]) <= 2
+    least = np.arange(len(ids))
+    while True:
+        new = np.where(near, least[None, :], len(ids)).min(1)
+        if (new == least).all():
+            break
+        least = new
+    assert {r["doc_id"]: r["component_id"] for r in rows} == {i: ids[k] for i, k in zip(ids, least, strict=True)}
+    kept = simhash.simhash_stage(spark, docs, LARGER)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted({ids[k] for k in least})
+
+
+def test_large_posting_joins_as_pairs_do(spark):
+    values = sorted({(7 << 40) | (a << 8) | b for a in range(0, 60, 2) for b in range(0, 40, 3)})
+    nodes = spark.createDataFrame([(v,) for v in values], "fp long")
+    roots = {r["node"]: r["root"] for r in components(simhash.links(nodes)).collect()}
+    least = {v: v for v in values}
+    changed = True
+    while changed:
+        changed = False
+        for a in values:
+            for b in values:
+                if (a ^ b).bit_count() <= 2 and least[a] != least[b]:
+                    least[a] = least[b] = min(least[a], least[b])
+                    changed = True
+    assert {v: roots.get(v, v) for v in values} == least
+
+
+# --- packing
+
+
+def test_packing_is_gapless_and_whole(spark):
+    rows = packing.packing_query(spark, SF_DIR).collect()
+    encode = tokens.encoder()
+    texts = {r["doc_id"]: r["text"] for r in docs_of(spark).collect()}
+    by_doc, by_sequence = {}, {}
+    for r in rows:
+        by_doc.setdefault(r["doc_id"], []).append(r)
+        by_sequence.setdefault(r["sequence_id"], []).append(r)
+    assert set(by_doc) == set(texts)
+    import zlib
+
+    for i, pieces in by_doc.items():
+        ids = np.array([*encode(texts[i] or ""), 0], "<u4")
+        at = 0
+        for k, r in enumerate(sorted(pieces, key=lambda r: r["piece"])):
+            assert (r["piece"], r["start"]) == (k, at)
+            assert r["ids_crc32"] == zlib.crc32(ids[at : at + r["length"]].tobytes())
+            assert r["length"] == 2048 or k == 0
+            at += r["length"]
+        assert at == len(ids) and (len(pieces) == 1 or len(ids) > 2048)
+    for pieces in by_sequence.values():
+        at = 0
+        for r in sorted(pieces, key=lambda r: r["offset"]):
+            assert r["offset"] == at
+            at += r["length"]
+        assert at <= 2048
+    assert len(by_sequence) <= 1.02 * sum(r["length"] for r in rows) / 2048 + 1
+
+
+def test_pack_spreads_a_hot_length(spark):
+    pieces = spark.range(5000).selectExpr("id AS doc_id", "if(id % 3 = 0, 700L, 1 + id % 2048) AS length")
+    got = packing.pack(pieces)
+    assert got.columns == ["doc_id", "length", "sequence_id", "offset"]
+    assert got.count() == 5000 and got.select("sequence_id", "offset").distinct().count() == 5000
+    assert got.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").count() == 0
+    with pytest.raises(ValueError):
+        packing.pack(spark.createDataFrame([(1, 4000)], "doc_id long, length long"))
+
+
+# --- order MinHash
+
+
+def test_order_minhash_is_the_described_one(spark):
+    texts = [*ODD_TEXTS[:8], "a b a b a b a", "to be or not to be " * 30]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r["fp"] for r in ordermin.with_fingerprint(df, "t", "fp").collect()]
+    for t, fp in zip(texts, got, strict=True):
+        assert fp == plain_order_minhash(t)
+
+
+@pytest.mark.parametrize("parts", ["2", "16"])
+def test_edited_texts_follow_the_next_document(spark, parts):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        rows = {r["doc_id"]: r for r in ordermin.ordermin_query(spark, SF_DIR).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    texts = sorted(((r["doc_id"], r["text"] or "") for r in docs_of(spark).collect()), reverse=True)
+    assert len(rows) == len(texts)
+    for (i, own), (k, after) in zip(texts, texts[1:] + texts[:1], strict=True):
+        half = len(own) // 2
+        edited = own[: len(own) - half] + after[:half]
+        r = rows[i]
+        assert r["n_chars"] == len(own) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+        pairs = lambda a, b: sum(a[j : j + 4] == b[j : j + 4] for j in range(0, len(a), 4)) / ordermin.HASHES
+        assert r["near_next"] == pairs(r["fingerprint"], rows[k]["fingerprint"])
+        assert r["near_edited"] == pairs(r["fingerprint"], r["edited_fingerprint"])
+    assert np.mean([r["near_edited"] > r["near_next"] for r in rows.values()]) > 0.9
+
+
+def test_order_minhash_feels_moves(spark):
+    words = [f"w{i}" for i in range(300)]
+    texts = [words, words[150:] + words[:150], words[:290] + ["z"] * 10, list(reversed(words))]
+    df = spark.createDataFrame([(" ".join(w),) for w in texts], "t string")
+    fps = [r["fp"] for r in ordermin.with_fingerprint(df, "t", "fp").collect()]
+    same = [np.mean([a == b for a, b in zip(fps[0], fp, strict=True)]) for fp in fps]
+    assert same[0] == 1 and same[2] > 0.8 and same[1] < 0.75 and same[3] < 0.1
+
+
+# --- licences and personal data over tables
+
+
+def test_license_lines_are_found(spark):
+    lines = {names[0]: k for k, names in licenses.TEMPLATES.items() if len(names[0]) < 80}
+    texts = {r["doc_id"]: r["text"] for r in docs_of(spark, LARGER).collect()}
+    for r in licenses.licenses_query(spark, LARGER).collect():
+        want = sorted(k for line, k in lines.items() for _ in range(texts[r["doc_id"]].count(line)))
+        assert sorted(re.findall(r"([^,:]+):\d+:\d+:[\d.]+", r["notices"])) == want
+
+
+def test_personal_data_of_all_documents(spark):
+    texts = {r["doc_id"]: r["text"] for r in docs_of(spark, LARGER).collect()}
+    extra = 0
+    for r in pii.pii_query(spark, LARGER).collect():
+        want = plain_spans(texts[r["doc_id"]])
+        joined = ",".join(f"{k}:{a}:{b}" for k, a, b in want)
+        assert r["base_sha256"] == hashlib.sha256(joined.encode()).hexdigest()
+        assert [r[f"n_{k}"] for k in pii.BASE_KINDS] == [sum(s[0] == k for s in want) for k in pii.BASE_KINDS]
+        assert r["spans"].startswith(joined)
+        for a, b in re.findall(r"secret:(\d+):(\d+)", r["spans"]):
+            assert re.fullmatch("[0-9a-fA-F]{40}", texts[r["doc_id"]][int(a) : int(b)])
+            extra += 1
+    assert extra == sum(len(re.findall('(?i)token = "[0-9a-f]{40}"', t)) for t in texts.values()) > 0
+
+
+# --- learned operators on rows they have not seen
+
+
+def test_language_of_unseen_documents(spark):
+    found = language.language_query(spark, LARGER).join(docs_of(spark, LARGER).select("doc_id", "lang"), "doc_id")
+    rows = found.where("held_out").collect()
+    assert len(rows) > 200 and np.mean([r["lang"] == r["lang_pred"] for r in rows]) > 0.97
+    assert all(0 <= r["score"] <= 1 for r in rows)
+
+
+def test_quality_of_unseen_documents(spark):
+    found = quality.quality_query(spark, LARGER).join(spark.read.parquet(f"{LARGER}/labels.parquet"), "doc_id")
+    rows = found.where("held_out").collect()
+    good, bad = ([r["score"] for r in rows if r["quality"] == k] for k in (1, 0))
+    assert np.mean([g > b for g in good for b in bad]) > 0.97
+    assert all(r["predicted"] == int(r["score"] >= 0.3) for r in rows)
+
+
+def test_toxicity_of_unseen_documents(spark):
+    found = toxicity.toxicity_query(spark, LARGER).join(spark.read.parquet(f"{LARGER}/labels.parquet"), "doc_id")
+    rows = found.where("held_out").collect()
+    bad, good = ([r["score"] for r in rows if r["toxic"] == k] for k in (1, 0))
+    assert np.mean([b > g for g in good for b in bad]) > 0.85
+    flagged = [r for r in rows if r["predicted"]]
+    assert len(flagged) >= 0.4 * len(bad) and np.mean([r["toxic"] for r in flagged]) > 0.9
+    assert all(r["predicted"] == int(r["score"] >= 0.7) for r in rows)
+
+
+# --- the pipeline, stage by stage against plain computation
+
+
+def test_pipeline_is_its_stages(spark):
+    docs = [r.asDict() for r in docs_of(spark).collect()]
+    table = docs_of(spark)
+    predict = language.predictor(language.fit(table))
+    docs = [d for d, p in zip(docs, predict([d["text"] for d in docs]), strict=True) if not p[2]]
+    table = spark.createDataFrame(docs, SCHEMA)
+    score = toxicity.scorer(toxicity.fit(table, spark.read.parquet(f"{SF_DIR}/labels.parquet")))
+    docs = [d for d in docs if score(d["text"])[0] < toxicity.THRESHOLD]
+    prints = {d["doc_id"]: plain_fingerprint(d["text"]) for d in docs}
+    least = {i: i for i in prints}
+    changed = True
+    while changed:
+        changed = False
+        for a in prints:
+            for b in prints:
+                if least[b] < least[a] and (prints[a] ^ prints[b]).bit_count() <= 2:
+                    least[a], changed = least[b], True
+    docs = [d for d in docs if least[d["doc_id"]] == d["doc_id"]]
+    find = pii.finder(pii.fit(spark.createDataFrame(docs, SCHEMA)))
+    encode, want = tokens.encoder(), {}
+    for d in docs:
+        text = pii.redacted(d["text"], sum(find(d["text"]), []))
+        assert not plain_spans(text)
+        want[d["doc_id"]] = len(encode(text)) + 1
+    rows = corpus_pipeline.run(spark, SF_DIR).collect()
+    got = {}
+    for r in rows:
+        got[r["doc_id"]] = got.get(r["doc_id"], 0) + r["length"]
+    assert got == want
