@@ -63,7 +63,7 @@ from .sources.mtx import (
     write_mtx_values,
 )
 from .sources.samples import read_mem_samples, read_time_points, read_usage_samples
-from .sources.summary import append_summary, read_summaries, read_summary_text, section_report
+from .sources.summary import append_summary, append_summary_text, read_summaries, read_summary_text, section_report
 from .sources.workload import load_workload, read_workload, workload_entry
 
 __all__ = [n for n in dir() if not n.startswith("_")]

@@ -47,6 +47,16 @@ def duplicate_entries(t: Tables):
     return build.duplicate_entries(raw)
 
 
+@query(
+    "duplicate_entries_undirected",
+    """WITH p AS (SELECT least(l_suppkey, l_partkey) AS row_id, greatest(l_suppkey, l_partkey) AS col_id FROM lineitem)
+SELECT row_id, col_id, count(*) AS n FROM p GROUP BY row_id, col_id HAVING count(*) > 1""",
+)
+def duplicate_entries_undirected(t: Tables):
+    raw = t.read("lineitem").select(F.col("l_suppkey").alias("row_id"), F.col("l_partkey").alias("col_id"))
+    return build.duplicate_entries(raw, undirected=True)
+
+
 @query("dedup", f"WITH {G} SELECT row_id, col_id FROM g")
 def dedup(t: Tables):
     return build.dedup(t.raw_pairs().drop("l_linenumber"))

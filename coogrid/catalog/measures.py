@@ -13,7 +13,15 @@ from coogrid.functions import micros
 from coogrid.matrix import Matrix
 from coogrid.operators.stats import mxm_workload
 from coogrid.plans.durable import scratch_path
-from coogrid.sources.summary import append_summary, read_summaries, section_lines
+import coogrid.streaming.live as live
+from coogrid.sources.summary import (
+    append_summary,
+    append_summary_text,
+    read_summaries,
+    read_summary_text,
+    section_lines,
+    section_report as write_report,
+)
 
 from .registry import query
 from .tables import CENTS, SECTIONS, Tables
@@ -132,6 +140,64 @@ def summaries(t: Tables):
     return read_summaries(t.spark, base)
 
 
+_MEMORY = f"""WITH {SECTIONS},
+m AS (SELECT s.section_id, count(*) AS n, min(cents) AS lo, max(cents) AS hi
+      FROM s JOIN c ON c.ts >= s.b AND c.ts < s.last GROUP BY s.section_id),
+r AS (SELECT event_id AS section_id, event_type AS name, coalesce(n, 0) AS samples, lo AS min_mib, hi AS max_mib,
+             hi - lo AS used_mib FROM events LEFT JOIN m ON event_id = section_id)"""
+
+
+@query(
+    "summary_text",
+    """SELECT event_type AS name, count(*) AS iterations,
+       round(coalesce(avg(value) FILTER (WHERE event_id > 0), 0), 6) AS expectation_ms,
+       round(coalesce(stddev_samp(value), 0), 6) AS sd_ms FROM events GROUP BY event_type""",
+)
+def summary_text(t: Tables):
+    """The summaries as fixed-width text, read back."""
+    path = scratch_path(t.spark, "summary-text")
+    append_summary_text(_rounded_stats(t), path, "multiply")
+    return read_summary_text(t.spark, path).drop("file")
+
+
+@query(
+    "section_report_text",
+    _MEMORY
+    + r""" SELECT section_id, name, min_mib, max_mib, used_mib FROM r WHERE samples > 0""",
+)
+def section_report_text(t: Tables):
+    """The report written as text and read back: figures of the sections that are not empty."""
+    path = scratch_path(t.spark, "report")
+    experiments = t.experiments()
+    table = iv.section_memory(t.samples(), experiments)
+    write_report(table.join(experiments.select("section_id", "name"), "section_id"), path)
+    shape = r"(?s)^\[(\d+)\] ([^\n]+)\nmin= (\d+) MiB max= (\d+) MiB used= (\d+) MiB"
+    text = t.spark.read.option("lineSep", "\n\n").text(path)
+    text = text.where(F.col("value").rlike(shape))
+
+    def group(i: int, kind: str = "bigint"):
+        return F.regexp_extract("value", shape, i).cast(kind)
+
+    return text.select(
+        group(1).alias("section_id"),
+        group(2, "string").alias("name"),
+        group(3).alias("min_mib"),
+        group(4).alias("max_mib"),
+        group(5).alias("used_mib"),
+    )
+
+
+@query(
+    "live_section_memory",
+    f"""WITH {CENTS}, e AS (SELECT event_id AS section_id, ts AS b, ts + INTERVAL 37 MINUTE AS f FROM events)
+SELECT section_id, count(*) AS samples, min(cents) AS min_mib, max(cents) AS max_mib, max(cents) - min(cents) AS used_mib
+FROM e JOIN c ON c.ts >= e.b AND c.ts <= e.f GROUP BY section_id""",
+)
+def live_section_memory(t: Tables):
+    """The live figures over all samples as one batch."""
+    return live.live_section_memory(t.samples(), t.experiments())
+
+
 def _asof_sql(match: str) -> str:
     return f"""WITH p AS (SELECT event_id, ts + INTERVAL 37 MINUTE AS t FROM events),
 b AS (SELECT min(ts) AS lo, max(ts) AS hi FROM events)
@@ -163,13 +229,6 @@ def sections(t: Tables):
     return iv.sections(t.samples(), t.experiments()).select("section_id", "seq")
 
 
-_MEMORY = f"""WITH {SECTIONS},
-m AS (SELECT s.section_id, count(*) AS n, min(cents) AS lo, max(cents) AS hi
-      FROM s JOIN c ON c.ts >= s.b AND c.ts < s.last GROUP BY s.section_id),
-r AS (SELECT event_id AS section_id, event_type AS name, coalesce(n, 0) AS samples, lo AS min_mib, hi AS max_mib,
-             hi - lo AS used_mib FROM events LEFT JOIN m ON event_id = section_id)"""
-
-
 @query("section_memory", _MEMORY + " SELECT section_id, samples, min_mib, max_mib, used_mib FROM r")
 def section_memory(t: Tables):
     return iv.section_memory(t.samples(), t.experiments())

@@ -8,7 +8,7 @@ import coogrid.sources.mtx as mtx
 from coogrid.functions import micros
 from coogrid.matrix import Matrix
 from coogrid.plans.durable import scratch_path
-from coogrid.sources.samples import read_mem_samples, read_time_points
+from coogrid.sources.samples import read_mem_samples, read_time_points, read_usage_samples
 from coogrid.sources.workload import load_workload, read_workload
 
 from .registry import query
@@ -36,6 +36,20 @@ def mtx_values_roundtrip(t: Tables):
     return mtx.read_mtx_values(t.spark, path).df
 
 
+@query(
+    "mtx_values_nonzero",
+    """SELECT l_suppkey AS row_id, l_partkey AS col_id, CAST(sum(CAST(round(l_discount * 100) AS BIGINT)) AS DOUBLE) AS val
+FROM lineitem GROUP BY l_suppkey, l_partkey HAVING sum(CAST(round(l_discount * 100) AS BIGINT)) <> 0""",
+)
+def mtx_values_nonzero(t: Tables):
+    """Summed discounts in hundredths as text, read back without the zeros."""
+    path = scratch_path(t.spark, "discounts.mtx")
+    lines = t.read("lineitem").withColumn("cents", F.round(F.col("l_discount") * 100).cast("bigint"))
+    shape = t.size("supplier"), t.size("part")
+    mtx.write_mtx_values(Matrix.from_edges(lines, "l_suppkey", "l_partkey", *shape, "cents", "sum"), path)
+    return mtx.read_mtx_values(t.spark, path, keep_zeros=False).df
+
+
 @query("mtx_square_roundtrip", f"WITH {G2} SELECT row_id, col_id FROM g2")
 def mtx_square_roundtrip(t: Tables):
     path = scratch_path(t.spark, "square.mtx")
@@ -83,6 +97,21 @@ def mem_samples_read(t: Tables):
     return read_mem_samples(t.spark, path).select(micros("ts").alias("ts_us"), "pstate", "total_mib", "used_mib")
 
 
+@query(
+    "usage_samples_read",
+    "SELECT 8117 + user_id AS total_mib, CAST(round(value * 100) AS BIGINT) AS used_mib FROM events",
+)
+def usage_samples_read(t: Tables):
+    """The events as the two-column form of a sampler's CSV."""
+    path = scratch_path(t.spark, "usage.csv")
+    rows = t.cents().select(
+        F.concat((F.col("user_id") + 8117).cast("string"), F.lit(" MiB")).alias("memory.total [MiB]"),
+        F.concat(F.lit(" "), "cents", F.lit(" MiB")).alias(" memory.used [MiB]"),
+    )
+    rows.write.option("header", True).option("ignoreLeadingWhiteSpace", False).csv(path)
+    return read_usage_samples(t.spark, path)
+
+
 @query(
     "time_points_read",
     """SELECT event_id AS section_id, event_type AS target, 'data/' || user_id || '.mtx' AS matrix,

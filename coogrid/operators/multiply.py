@@ -17,12 +17,16 @@ from pyspark.sql import functions as F
 from ..functions.semiring import Semiring, semiring as resolve
 from ..matrix import COL, ROW, VAL, Matrix
 from ..plans.durable import scratch_path
-from ..plans.skew import spread_join
+from ..plans.skew import CELL_ROWS, GRID_COL, GRID_ROW, grid_of, spread_join
 
 #: Join hints behind the ``strategy`` argument; None leaves the choice to Catalyst and AQE.
 STRATEGIES = {None: None, "hash": "shuffle_hash", "merge": "merge"}
 
 
+#: Pairs of a Kronecker cell at least.
+LEAST_CELL = 1 << 16
+
+
 def _products(
     a: DataFrame,
     b: DataFrame,
@@ -137,24 +141,34 @@ def square_workload(entries: DataFrame, out: str | None = None) -> DataFrame:
 def kronecker(A: Matrix, B: Matrix) -> Matrix:
     """Kronecker product: entry pairs (a, b) land at a * shape(B) + b; values multiply.
 
-    Every pair is an output entry, so the work is the output size.  A is cut into
-    strips by hash and B is copied to each strip, which keeps it an equi-join: with
-    a small B Catalyst sees the size and broadcasts, with a large one the strips
-    share the pairs evenly.  The positions are all different, nothing is deduped.
+    Every pair is an output entry, so the work is the output size.  The pairs are laid
+    out on a p x q grid sized from both counts: entries of A choose a grid row by hash
+    and are copied to its q cells, entries of B choose a column and are copied to its p
+    cells, so the smaller operand is copied more.  Each pair meets in one cell; the
+    positions are all different, nothing is deduped.
     """
     spark = A.df.sparkSession
-    strips = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    a = A.df.withColumn("__strip", F.pmod(F.xxhash64(ROW, COL), F.lit(strips)).cast("int"))
-    a = a.select("__strip", F.col(ROW).alias("__ar"), F.col(COL).alias("__ac"), *_val(A, "__av"))
-    b = B.df.select(F.col(ROW).alias("__br"), F.col(COL).alias("__bc"), *_val(B, "__bv"))
-    b = b.withColumn("__strip", F.explode(F.sequence(F.lit(0), F.lit(strips - 1))))
+    ins, outs = A.nvals(), B.nvals()
+    tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    cell = max(LEAST_CELL, min(CELL_ROWS, ins * outs // (4 * tasks)))
+    p, q = grid_of(ins, outs, cell) if ins and outs else (1, 1)
+
+    def spread(df: DataFrame, own: str, own_n: int, copy: str, copy_n: int) -> DataFrame:
+        mine = F.pmod(F.xxhash64(ROW, COL), F.lit(own_n)).cast("int")
+        return df.withColumn(own, mine).withColumn(copy, F.explode(F.sequence(F.lit(0), F.lit(copy_n - 1))))
+
+    at = [GRID_ROW, GRID_COL]
+    a = spread(A.df, GRID_ROW, p, GRID_COL, q)
+    a = a.select(*at, F.col(ROW).alias("__ar"), F.col(COL).alias("__ac"), *_val(A, "__av"))
+    b = spread(B.df, GRID_COL, q, GRID_ROW, p)
+    b = b.select(*at, F.col(ROW).alias("__br"), F.col(COL).alias("__bc"), *_val(B, "__bv"))
     row = F.col("__ar") * F.lit(B.nrows) + F.col("__br")
     col = F.col("__ac") * F.lit(B.ncols) + F.col("__bc")
     cells = [row.alias(ROW), col.alias(COL)]
     values = [F.col(c) for m, c in ((A, "__av"), (B, "__bv")) if m.valued]
     if values:
         cells.append((values[0] if len(values) == 1 else values[0] * values[1]).alias(VAL))
-    return Matrix(a.join(b, "__strip").select(*cells), A.nrows * B.nrows, A.ncols * B.ncols)
+    return Matrix(a.join(b, at).select(*cells), A.nrows * B.nrows, A.ncols * B.ncols)
 
 
 def _val(m: Matrix, name: str) -> list[Column]:

@@ -143,24 +143,48 @@ def read_mtx_square(spark: SparkSession, path: str) -> Matrix:
     return read_mtx(spark, path + "2")
 
 
+def _banner(spark: SparkSession, path: str) -> str:
+    """The symmetry that the banner of a text states; general without a banner."""
+    lines = _lines(spark, path, path).where(F.lower("line").startswith("%%matrixmarket"))
+    found = lines.orderBy("at").select(F.lower("line").alias("line")).first()
+    if found is None:
+        return "general"
+    kind = (found["line"].split() + [""] * 5)[4] or "general"
+    if kind not in ("general", "symmetric", "skew-symmetric"):
+        raise ValueError(f"{path}: the banner states {kind!r}")
+    return kind
+
+
 def read_mtx_values(
     spark: SparkSession,
     path: str,
     undirected: bool = False,
     keep_zeros: bool = True,
     dup: str = "sum",
+    symmetry: str = "caller",
 ) -> Matrix:
     """Real values from the third number of each line; a line without one counts as 1.
 
-    Repeats follow ``dup``: sum, max or min.
+    Repeats follow ``dup``: sum, max or min.  ``symmetry="caller"`` mirrors as
+    ``undirected`` says; with ``"banner"`` the ``%%MatrixMarket`` line of the text
+    decides: general, symmetric, or skew-symmetric (the mirror image is negated).
     """
+    if symmetry not in ("caller", "banner"):
+        raise ValueError(f"symmetry is caller or banner, not {symmetry!r}")
+    kind = _banner(spark, path) if symmetry == "banner" else ("symmetric" if undirected else "general")
     body, nrows, ncols = _single(spark, path)
     value = F.coalesce(_token(2).cast("double"), F.lit(1.0))
     entries = body.select((_index(0) - 1).alias(ROW), (_index(1) - 1).alias(COL), value.alias(VAL))
     if not keep_zeros:
         entries = entries.where(F.col(VAL) != 0)
+    if kind == "skew-symmetric":
+        if nrows != ncols:
+            raise ValueError(f"{path}: only a square matrix can be mirrored")
+        image = entries.where(F.col(ROW) != F.col(COL))
+        image = image.select(F.col(COL).alias(ROW), F.col(ROW).alias(COL), (-F.col(VAL)).alias(VAL))
+        entries = entries.union(image)
     A = Matrix.from_edges(entries, ROW, COL, nrows, ncols, VAL, dup, check=False)
-    return mirror(A) if undirected else A
+    return mirror(A) if kind == "symmetric" else A
 
 
 def write_mtx(A: Matrix, path: str) -> int:

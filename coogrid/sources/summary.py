@@ -49,6 +49,39 @@ def read_summary_text(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+#: Column widths of the text form of a summary.
+_NAME_WIDTH, _FIGURE_WIDTH = 50, 15
+
+
+def append_summary_text(stats: DataFrame, path: str, target: str) -> None:
+    """Append timing statistics as fixed-width text below ``path``, one folder of text parts per target.
+
+    Title and column heads go to a part of their own when the folder is new;
+    :func:`read_summary_text` reads the folder.
+    """
+    spark = stats.sparkSession
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def aligned(value, width: int):
+        text = value.cast("string")
+        return F.when(F.length(text) < width, F.lpad(text, width, " ")).otherwise(text)
+
+    if not files.exists(place):
+        names = ("Friendly name", "iterations", "expectation ms", "sd ms")
+        widths = (_NAME_WIDTH, *[_FIGURE_WIDTH] * 3)
+        heads = "".join(f"{n:>{w}}| " for n, w in zip(names, widths, strict=True))
+        title = spark.createDataFrame([(f"Benchmarking: {target}\n\n{heads}",)], "value string")
+        title.write.mode("append").text(path)
+    figures = ("iterations", "avg_drop_first_ms", "sd_ms")
+    line = F.concat(
+        aligned(F.col("experiment"), _NAME_WIDTH),
+        F.lit(": "),
+        F.concat_ws("  ", *(aligned(F.col(c), _FIGURE_WIDTH) for c in figures)),
+    )
+    stats.select(line.alias("value")).write.mode("append").text(path)
+
+
 def section_lines(sections: DataFrame) -> DataFrame:
     """Report text ``section_id, line`` of ``section_id, name, min_mib, max_mib, used_mib``.
 

@@ -8,36 +8,45 @@ from pyspark.sql import functions as F
 from ..functions.timecols import micros
 from ..operators.order import int_div
 
-#: Time cells laid over the span of all sections.
-CELLS = 4096
+#: Cells that a section of mean length touches, about, and parts that the sections of a cell are dealt to.
+SECTION_CELLS, PARTS = 8, 16
+#: Most cells over the span of all sections.
+MOST_CELLS = 1 << 30
 
 
 def live_section_memory(
-    stream: DataFrame, experiments: DataFrame, used: str = "used_mib", cells: int = CELLS
+    stream: DataFrame, experiments: DataFrame, used: str = "used_mib", cells: int | None = None, parts: int = PARTS
 ) -> DataFrame:
     """``section_id, samples, min_mib, max_mib, used_mib`` of a stream of samples ``ts, used_mib``.
 
-    The sections are a static table and meet the stream on time cells.  State is one
-    row per section, combined map-side before it shuffles; write it in update or
-    complete mode.  While a section is open its newest sample counts too: which one
-    closes it is known only to the batch operator.
+    The sections are a static table and meet the stream on time cells, sized from the
+    mean length of a section.  What arrives at one moment lies in one cell, so the
+    sections of a cell are dealt to ``parts`` parts and a sample goes to each: the
+    work of a moment is spread without relying on a re-plan inside the stream.
+    State is one row per section, combined map-side before it shuffles; write it in
+    update or complete mode.  While a section is open its newest sample counts too:
+    which one closes it is known only to the batch operator.
     """
     bounds = experiments.agg(F.min("t_begin").alias("lo"), F.max("t_end").alias("hi"))
     row = bounds.select(micros("lo").alias("lo"), micros("hi").alias("hi")).first()
     lo, hi = row["lo"] or 0, row["hi"] or 0
+    spans = experiments.select("section_id", micros("t_begin").alias("__b"), micros("t_end").alias("__e"))
+    spans = spans.where("__b <= __e")
+    if cells is None:
+        length = spans.agg(F.avg(F.col("__e") - F.col("__b"))).first()[0] or 0
+        cells = min(MOST_CELLS, int(SECTION_CELLS * (hi - lo + 1) / (length + 1)) + 1)
     width = max(1, -(-(hi - lo + 1) // cells))
 
     def cell(us):
         return int_div(us - F.lit(lo), width)
 
-    spans = experiments.select("section_id", micros("t_begin").alias("__b"), micros("t_end").alias("__e"))
-    spans = spans.where("__b <= __e").withColumn(
-        "__cell", F.explode(F.sequence(cell(F.col("__b")), cell(F.col("__e"))))
-    )
+    spans = spans.withColumn("__cell", F.explode(F.sequence(cell(F.col("__b")), cell(F.col("__e")))))
+    spans = spans.withColumn("__part", F.pmod(F.xxhash64("section_id"), F.lit(parts)).cast("int"))
     t = F.col("__t")
     samples = stream.select(micros("ts").alias("__t"), F.col(used).alias("__u"))
     samples = samples.where((t >= lo) & (t <= hi)).withColumn("__cell", cell(t))
-    met = samples.join(spans, "__cell").where((t >= F.col("__b")) & (t <= F.col("__e")))
+    samples = samples.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    met = samples.join(spans, ["__cell", "__part"]).where((t >= F.col("__b")) & (t <= F.col("__e")))
     return met.groupBy("section_id").agg(
         F.count(F.lit(1)).alias("samples"),
         F.min("__u").alias("min_mib"),

@@ -236,3 +236,13 @@ def test_pattern_operands_of_a_boolean_semiring(pattern):
     assert cells(cg.mxm(A, A, "bool_or_and").df) == {(0, 2): True}
     assert cells(cg.mxm_add(A, A, A, "bool_or_and").df) == {(0, 1): True, (0, 2): True, (1, 2): True}
     assert cells(cg.ewise_add(A, A, "bool_or_and").df) == {(0, 1): True, (1, 2): True}
+
+
+def test_kronecker_with_the_large_operand_on_either_side(pattern, monkeypatch):
+    import coogrid.operators.multiply as multiply
+
+    monkeypatch.setattr(multiply, "LEAST_CELL", 50)
+    small, large = [(0, 1)], [(i, (3 * i) % 40) for i in range(40)]
+    for a, b, n, m in ((small, large, 2, 40), (large, small, 40, 2), (large, large, 40, 40)):
+        got = cg.kronecker(pattern(a, n), pattern(b, m))
+        assert pairs(got.df) == sorted((i * m + k, j * m + l) for i, j in a for k, l in b)

@@ -207,3 +207,30 @@ def test_cut_off_records_fail(spark, tmp_path):
     points.write_text("multiply a.mtx 0 10\n2021/03/04 10:00:00.5\n2021/03/04 10:00:01.5\nadd a.mtx 0 10\n2021/03/04 10:00:02.5\n")
     with pytest.raises(Exception, match="cut off"):
         cg.read_time_points(spark, str(points)).collect()
+
+
+def test_the_banner_may_decide(spark, tmp_path):
+    def text(kind):
+        p = tmp_path / f"{kind}.mtx"
+        p.write_text(f"%%MatrixMarket matrix coordinate real {kind}\n2 2 2\n1 1 4\n2 1 3\n")
+        return str(p)
+
+    half = {(0, 0): 4.0, (1, 0): 3.0}
+    read = lambda kind, **how: cells(cg.read_mtx_values(spark, text(kind), **how).df)
+    assert read("symmetric") == half
+    assert read("general", symmetry="banner") == half
+    assert read("symmetric", symmetry="banner") == half | {(0, 1): 3.0}
+    assert read("skew-symmetric", symmetry="banner") == half | {(0, 1): -3.0}
+    with pytest.raises(ValueError, match="hermitian"):
+        read("hermitian", symmetry="banner")
+
+
+def test_summary_text_is_appended(spark, tmp_path):
+    stats = spark.createDataFrame([("a.mtx", 10, 1.25, 0.5)], "experiment string, iterations long, avg_drop_first_ms double, sd_ms double")
+    path = str(tmp_path / "Summary")
+    for _ in range(2):
+        cg.append_summary_text(stats, path, "multiply")
+    got = cg.read_summary_text(spark, path)
+    assert [tuple(r)[1:] for r in got.collect()] == [("a.mtx", 10, 1.25, 0.5)] * 2
+    lines = [r["value"] for r in spark.read.text(path).collect()]
+    assert sum(v.startswith("Benchmarking") for v in lines) == 1
