@@ -27,7 +27,7 @@ MODEL = public_tokenizers.path("piece_bpe_32k.model")
 BEST = 4
 SPACE = "▁"
 #: Words remembered per task (the first ones met: frequent words come early), and the longest one that is.
-_CACHE, _CACHED_CHARS = 500_000, 48
+_CACHE, _CACHED_CHARS = 250_000, 48
 _WORD = re.compile(f"{SPACE}+[^{SPACE}]*")
 
 _NEVER = float("-inf")

@@ -148,6 +148,9 @@ def scorer(model: ToxicityModel) -> Callable[[str | None], tuple[float, list[tup
     A null or empty text has no sentence and scores 0.
     """
     weights, bias = model.weights, model.bias
+    # Most words have no weight: those that begin as no weighted feature does are passed over at once.
+    least = min(PREFIXES)
+    starts = {f.removeprefix("^")[:least] for f in weights}
 
     class Words(dict):
         def __missing__(self, word: str) -> float:
@@ -163,11 +166,15 @@ def scorer(model: ToxicityModel) -> Callable[[str | None], tuple[float, list[tup
     def score(text: str | None) -> tuple[float, list[tuple[int, int, float]]]:
         if not text:
             return 0.0, []
+        met = {w: v for w in set(_WORD.findall(text.lower())) if w[:least] in starts and (v := words[w])}
+        if not met:
+            return -math.expm1(-plain * len(_SENTENCE.findall(text))), []
         none, found = 0.0, []
         for m in _SENTENCE.finditer(text):
-            known = sum(map(words.__getitem__, set(_WORD.findall(m[0].lower()))))
-            if known:
-                z = max(-30.0, min(30.0, bias + known))
+            lower = m[0].lower()
+            here = met.keys() & _WORD.findall(lower) if any(map(lower.__contains__, met)) else ()
+            if here:
+                z = max(-30.0, min(30.0, bias + sum(map(met.__getitem__, here))))
                 none += math.log1p(math.exp(z))
                 if z >= cut:
                     found.append((*m.span(), 1 / (1 + math.exp(-z))))
