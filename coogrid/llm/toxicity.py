@@ -172,7 +172,9 @@ def scorer(model: ToxicityModel) -> Callable[[str | None], tuple[float, list[tup
         none, found = 0.0, []
         for m in _SENTENCE.finditer(text):
             lower = m[0].lower()
-            here = met.keys() & _WORD.findall(lower) if any(map(lower.__contains__, met)) else ()
+            # With few weighted words most sentences hold none of them, which is soon seen.
+            look = len(met) > 4 or any(map(lower.__contains__, met))
+            here = met.keys() & _WORD.findall(lower) if look else ()
             if here:
                 z = max(-30.0, min(30.0, bias + sum(map(met.__getitem__, here))))
                 none += math.log1p(math.exp(z))
