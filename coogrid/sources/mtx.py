@@ -8,8 +8,8 @@ checks the body.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -220,33 +220,75 @@ def write_mtx_values(A: Matrix, path: str) -> int:
     return nnz
 
 
+def _named_lines(spark: SparkSession, entries: Sequence[tuple[str, str, bool]]) -> DataFrame:
+    """The lines of several texts from one scan, as :func:`_lines` gives them for one.
+
+    A file belongs to every text whose path it is or lies below; the driver lists
+    the files, as planning the scan does.
+    """
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+
+    def place(path: str) -> str:
+        found = hadoop(path)
+        return found.getFileSystem(conf).makeQualified(found).toUri().getPath()
+
+    names: dict[str, list[str]] = {}
+    for name, path, _ in entries:
+        names.setdefault(place(path), []).append(name)
+    raw = spark.read.option("recursiveFileLookup", "true").text(sorted({path for _, path, _ in entries}))
+    scheme = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
+    owners = []
+    for uri in raw.inputFiles():
+        file = re.sub(scheme, "", uri)  # as written in the URI, like _metadata.file_path
+        parts = spark.sparkContext._jvm.java.net.URI(uri).getPath().split("/")
+        for n in range(1, len(parts) + 1):
+            owners += [(file, name) for name in names.get("/".join(parts[:n]), ())]
+    owned = spark.createDataFrame(owners, "__file string, matrix_id string")
+    at = F.struct(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"),
+    )
+    lines = raw.select(F.regexp_replace("value", r"^\s+|\s+$", "").alias("line"), at.alias("at"))
+    met = lines.where(F.col("line") != "").join(owned, F.regexp_replace("at.file", scheme, "") == F.col("__file"))
+    return met.select("matrix_id", "line", "at")
+
+
 def read_many(spark: SparkSession, entries: Sequence[tuple[str, str, bool]]) -> tuple[DataFrame, DataFrame]:
     """Several matrices as one table.
 
     ``entries`` lists (matrix_id, path, undirected).  Returns the distinct positions
-    ``matrix_id, row_id, col_id`` and the shapes ``matrix_id, nrows, ncols``.
+    ``matrix_id, row_id, col_id`` and the shapes ``matrix_id, nrows, ncols``.  All
+    texts are one scan, surveyed by one aggregation; the number of jobs does not
+    depend on the number of texts.
     """
     if not entries:
         raise ValueError("the workload is empty")
-    lines = reduce(DataFrame.union, (_lines(spark, path, name) for name, path, _ in entries))
+    lines = _named_lines(spark, entries)
     infos = {x["matrix_id"]: x for x in _survey(lines)}
     missing = [name for name, _, _ in entries if name not in infos]
     if missing:
         raise ValueError(f"no header line in {missing}")
-    shapes, bodies = [], []
-    for name, path, undirected in entries:
+    shapes, heads = [], []
+    for name, _, undirected in entries:
         nrows, ncols, _ = _check(infos[name], lines)
+        if undirected and nrows != ncols:
+            raise ValueError(f"{name}: only a square matrix can be mirrored")
         shapes.append((name, nrows, ncols))
-        stated = _lines(spark, path, name).where(~F.col("line").startswith("%"))
-        body = _body(stated, infos[name])
-        pairs = body.select("matrix_id", (_index(0) - 1).alias(ROW), (_index(1) - 1).alias(COL))
-        if undirected:
-            if nrows != ncols:
-                raise ValueError(f"{name}: only a square matrix can be mirrored")
-            here, there = F.struct(ROW, COL), F.struct(F.col(COL).alias(ROW), F.col(ROW).alias(COL))
-            pairs = pairs.select("matrix_id", F.explode(F.array(here, there)).alias("__e"))
-            pairs = pairs.select("matrix_id", "__e.*")
-        bodies.append(pairs)
-    table = reduce(DataFrame.union, bodies).distinct()
-    schema = "matrix_id string, nrows bigint, ncols bigint"
-    return table, spark.createDataFrame(shapes, schema)
+        heads.append((name, infos[name]["header"], bool(undirected)))
+    known = spark.createDataFrame(heads, "matrix_id string, __header string, __both boolean")
+    stated = lines.where(~F.col("line").startswith("%")).join(known, "matrix_id")
+    body = stated.where(F.col("line") != F.col("__header")).select("matrix_id", "line", "__both")
+    doubtful = [name for name, _, _ in entries if infos[name]["triples"] > 1]
+    if doubtful:
+        # Entries of three numbers may repeat the header's text: all copies but one are entries.
+        same = stated.where(F.col("matrix_id").isin(doubtful) & (F.col("line") == F.col("__header")))
+        copies = same.groupBy("matrix_id", "line", "__both").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
+        again = F.explode(F.sequence(F.lit(2).cast("long"), F.col("__n")))
+        body = body.union(copies.withColumn("__again", again).select("matrix_id", "line", "__both"))
+    pairs = body.select("matrix_id", "__both", (_index(0) - 1).alias(ROW), (_index(1) - 1).alias(COL))
+    here, there = F.struct(ROW, COL), F.struct(F.col(COL).alias(ROW), F.col(ROW).alias(COL))
+    images = F.when(F.col("__both"), F.array(here, there)).otherwise(F.array(here))
+    table = pairs.select("matrix_id", F.explode(images).alias("__e")).select("matrix_id", "__e.*").distinct()
+    return table, spark.createDataFrame(shapes, "matrix_id string, nrows bigint, ncols bigint")

@@ -234,3 +234,28 @@ def test_summary_text_is_appended(spark, tmp_path):
     assert [tuple(r)[1:] for r in got.collect()] == [("a.mtx", 10, 1.25, 0.5)] * 2
     lines = [r["value"] for r in spark.read.text(path).collect()]
     assert sum(v.startswith("Benchmarking") for v in lines) == 1
+
+
+def test_jobs_do_not_grow_with_the_texts(spark, tmp_path):
+    from coogrid.sources.mtx import read_many
+
+    def load(n):
+        top = tmp_path / str(n)
+        top.mkdir()
+        listed = []
+        for i in range(n):
+            p = top / f"m {i}.mtx"
+            p.write_text(f"3 3 2\n1 {i % 3 + 1}\n3 3 1\n")
+            listed.append((f"m{i}", str(p), i % 2 == 0))
+        group = f"texts-{n}"
+        spark.sparkContext.setJobGroup(group, group)
+        table, shapes = read_many(spark, listed)
+        got = sorted(tuple(r) for r in table.collect())
+        want = {(f"m{i}", *e) for i in range(n) for e in ((0, i % 3), (2, 2))}
+        want |= {(f"m{i}", i % 3, 0) for i in range(0, n, 2)}
+        assert got == sorted(want) and shapes.count() == n
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    few = load(2)
+    assert load(50) <= few + 1  # many paths are listed by a job of their own
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
