@@ -128,6 +128,23 @@ def test_sections_match_index_search(series, experiments, cells):
     assert rows(listed, "section_id", "count") == [(i, n) for i, n, *_ in expected if n]
 
 
+def test_a_burst_and_a_section_over_the_whole_series(series, experiments):
+    # Nearly all instants lie in one second of a long series.
+    times = [0.0, 50_000.0] + [100 + i / 2000 for i in range(1500)]
+    data = sorted((t, int(t * 7) % 97) for t in times)
+    spans = [(0, 50_000), (99, 101), (100.2, 100.4), (100.2001, 60_000), (-5, 100.1)]
+    s, e = series(data), experiments(spans)
+    want = []
+    for i, (b, f) in enumerate(spans):
+        last = max(n for n, (t, _) in enumerate(data) if t <= f)
+        inside = [u for t, u in data[:last] if t >= b]
+        want.append((i, len(inside), min(inside), max(inside)))
+    got = sorted((r["section_id"], r["samples"], r["min_mib"], r["max_mib"]) for r in cg.section_memory(s, e).collect())
+    assert got == want
+    listed = cg.sections(s, e).groupBy("section_id").count()
+    assert rows(listed, "section_id", "count") == [(i, n) for i, n, *_ in want]
+
+
 def test_section_report(spark, series, experiments, tmp_path):
     e = experiments([(0.5, 3.5), (50, 60)])
     table = cg.section_memory(series(BASE), e).join(e.select("section_id", "name"), "section_id")
