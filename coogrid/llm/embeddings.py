@@ -25,8 +25,27 @@ COSINE = 0.95
 CELL_POINTS, MOST_PIVOTS, BLOCK_ROWS = 8192, 1024, 8192
 #: Rows of a block compared at a time.
 _STRIP = 256
-#: Slack on distances, far above rounding and far below any distance that matters.
+#: Slack on the radius, far above the rounding of a cosine near the limit and far below any distance that matters.
 _SLACK = 1e-9
+#: Least distance of two pivots for the bound by the plane between them: nearer ones say nothing about a radius.
+_APART = 1e-3
+
+
+def _rounding(dim: int) -> float:
+    """Most that a square of :func:`_distances` between unit vectors is off: about 2 (dim + 2) eps, taken 8 times.
+
+    The distance itself is off by the root of this, near 0: 5e-7 in 64 dimensions.
+    """
+    return 16 * (dim + 8) * float(np.finfo(float).eps)
+
+
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T, 0))
+
+
+def _between(centres: np.ndarray) -> np.ndarray:
+    """Distances among pivots from differences: equal to rounding also where pivots are almost equal."""
+    return np.stack([np.sqrt(((centres - c) ** 2).sum(1)) for c in centres])
 
 
 def _matrix(blobs: list[bytes], dim: int) -> np.ndarray:
@@ -69,18 +88,25 @@ def valid(column: str):
     return F.coalesce(F.col(column).isNotNull() & finite & F.exists(column, lambda c: c != 0), F.lit(False))
 
 
-def _guests(d: np.ndarray, home: np.ndarray, between: np.ndarray, reach: np.ndarray, r: float) -> np.ndarray:
+def _guests(
+    d: np.ndarray, home: np.ndarray, between: np.ndarray, reach: np.ndarray, r: float, rounding: float
+) -> np.ndarray:
     """Which cells each vector must visit: no bound excludes a partner there.
 
     ``d`` holds distances to pivots, ``between`` those among pivots, ``reach`` the
     greatest distance of a cell's own vectors.  A partner y at home in j has
-    d(y, j) <= d(y, home) and d(y, j) <= reach[j].
+    d(y, j) <= d(y, home) and d(y, j) <= reach[j].  All of these are rounded, also
+    those that y was dealt by: ``rounding`` bounds the error of a squared distance,
+    and up to four distances stand in a bound (with two squares of pivots' lengths).
     """
     own = d[np.arange(len(d)), home]
-    near = d - own[:, None] <= 2 * r  # triangle inequality on both pivots
-    near &= d <= reach[None, :] + r  # triangle inequality on the cell's ball
-    apart = np.maximum(between[home], 1e-300)
-    near &= (d * d - (own * own)[:, None]) / (2 * apart) <= r  # distance from the plane between the pivots
+    slack = 4 * np.sqrt(rounding)
+    near = d - own[:, None] <= 2 * r + slack  # triangle inequality on both pivots
+    near &= d <= reach[None, :] + r + slack  # triangle inequality on the cell's ball
+    apart = between[home]
+    # Distance from the plane between the pivots.
+    plane = d * d - (own * own)[:, None] - 6 * rounding <= 2 * r * apart
+    near &= plane | (apart < _APART)
     near[np.arange(len(d)), home] = False
     return near
 
@@ -105,10 +131,8 @@ def links(nodes: DataFrame, cosine: float = COSINE) -> DataFrame:
 
 
 def _cells(spark: SparkSession, own: DataFrame, dim: int, centres: np.ndarray, r: float, cosine: float) -> DataFrame:
-    squares = lambda x, y: np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T, 0))
-
     def distances(x: np.ndarray) -> np.ndarray:
-        return squares(_unit(x), centres)
+        return _distances(_unit(x), centres)
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,11 +146,11 @@ def _cells(spark: SparkSession, own: DataFrame, dim: int, centres: np.ndarray, r
     k = len(centres)
     reach, homes = np.full(k, -np.inf), np.zeros(k, np.int64)
     for row in settled.groupBy("home").agg(F.max("far"), F.count("*")).collect():  # one row per pivot
-        reach[row[0]], homes[row[0]] = row[1] + _SLACK, row[2]
-    between = squares(centres, centres)
+        reach[row[0]], homes[row[0]] = row[1], row[2]
+    between, rounding = _between(centres), _rounding(dim)
 
     def visits(x: np.ndarray, home: np.ndarray) -> np.ndarray:
-        return _guests(distances(x), home, between, reach, r)
+        return _guests(distances(x), home, between, reach, r, rounding)
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(k, np.int64)

@@ -139,6 +139,18 @@ def test_embedding_links_are_those_of_brute_force(spark, monkeypatch, points, bl
     assert got == brute_links(vectors)
 
 
+@pytest.mark.parametrize("noise", [3e-10, 1e-9])
+def test_links_of_a_hot_group_over_several_pivots(spark, monkeypatch, noise):
+    monkeypatch.setattr(embeddings, "CELL_POINTS", 20)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 64))
+    x[::3] = x[0] + noise * rng.normal(size=(100, 64))
+    vectors = [(i, [float(c) for c in v]) for i, v in enumerate(x)]
+    table = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_vectors(table).collect()}
+    assert got == brute_links(vectors)
+
+
 def test_odd_embeddings(spark):
     inf, nan = float("inf"), float("nan")
     rows = [
