@@ -3,8 +3,9 @@
 A template is laid over a stretch of text by anchors: words that occur once in both,
 kept as far as their order agrees (the longest increasing subsequence).  The gaps
 between anchors are aligned in the same way, down to gaps without such words, whose
-equal ends are matched.  A notice is found where the aligned words cover enough of
-the template.
+equal ends are matched.  A notice is found where the aligned words cover enough of the
+template and hold the words that tell it from others, with no words between them that
+name another licence.
 """
 
 from __future__ import annotations
@@ -20,8 +21,9 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map
 
-#: Least share of a template's words that must be aligned.
+#: Least share of a template's words that must be aligned; all of them in templates of fewer words than ONE_LINE.
 COVERAGE = 0.8
+ONE_LINE = 16
 #: A stretch may be longer than its template by this share (and a few words).
 _SLACK, _FEW = 0.25, 4
 
@@ -80,6 +82,33 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "Unlicense": ("This is free and unencumbered software released into the public domain.",),
 }
 
+#: Words of longer templates that must be aligned, at their first place: names, versions, what is granted.
+TELLING: dict[str, tuple[str, ...]] = {
+    "MIT": ("charge", "person", "sublicense", "sell", "included"),
+    "Apache-2.0": ("apache", "version", "2", "0"),
+    "GPL-3.0": ("gnu", "general", "public", "version", "3"),
+    "GPL-2.0": ("gnu", "general", "public", "version", "2"),
+    "BSD-2-Clause": ("redistribution", "source", "binary", "modification", "retain", "reproduce"),
+    "MPL-2.0": ("mozilla", "public", "2", "0"),
+    "ISC": ("use", "copy", "modify", "distribute", "purpose", "fee", "granted", "provided"),
+}
+_TERMS = ("nc", "sa", "nd", "noncommercial", "commercial", "sharealike", "alike", "noderivatives", "noderivs", "derivatives", "derivs")
+#: Words that make another licence of a notice when they stand among its words.
+OTHER: dict[str, frozenset[str]] = {
+    "MIT": frozenset(("modified",)),
+    "GPL-3.0": frozenset(("lesser", "library", "affero")),
+    "GPL-2.0": frozenset(("lesser", "library", "affero")),
+    "CC-BY-4.0": frozenset(_TERMS),
+    "CC-BY-NC-4.0": frozenset(_TERMS),
+    "ISC": frozenset(("documentation", "supporting")),
+}
+#: Words that make another licence of it among the next _NEXT words: a further clause.
+FURTHER: dict[str, frozenset[str]] = {
+    "BSD-2-Clause": frozenset(("neither", "endorse", "advertising")),
+    "ISC": frozenset(("documentation", "advertising")),
+}
+_NEXT = 16
+
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -151,6 +180,23 @@ def scanner(templates: dict[str, tuple[str, ...]] = TEMPLATES, least: float = CO
     prepared = [(name, words(t), Counter(words(t))) for name, ts in templates.items() for t in ts]
     known = frozenset(w for _, t, _ in prepared for w in t)
 
+    def share(t: list[str]) -> float:
+        return 1.0 if len(t) < ONE_LINE else least
+
+    def telling(name: str, t: list[str]) -> list[int]:
+        return [t.index(w) for w in TELLING.get(name, ()) if w in t] if len(t) >= ONE_LINE else []
+
+    def holds(name: str, t: list[str], content: list[str], a: int, matched: list[tuple[int, int]]) -> bool:
+        """Whether the words aligned from place ``a`` on are a notice of this licence and not of one like it."""
+        if len(matched) < share(t) * len(t) or not {j for _, j in matched}.issuperset(telling(name, t)):
+            return False
+        first, last = a + matched[0][0], a + matched[-1][0]
+        aligned = {a + i for i, _ in matched}
+        inserted = [content[p] for p in range(first, last + 1) if p not in aligned]
+        if any(w in OTHER.get(name, ()) or (w.isdigit() and len(t) < ONE_LINE) for w in inserted):
+            return False
+        return not FURTHER.get(name, frozenset()).intersection(content[last + 1 : last + 1 + _NEXT])
+
     def stretches(where: dict[str, list[int]], template: list[str], total: int) -> list[tuple[int, int]]:
         """Stretches of the text that hold enough of the template's words near the places they would have.
 
@@ -162,7 +208,7 @@ def scanner(templates: dict[str, tuple[str, ...]] = TEMPLATES, least: float = CO
         slack = int(_SLACK * n) + _FEW
         starts = sorted(p - q for q, w in enumerate(template) for p in where.get(w, ()))
         found, i = [], 0
-        need = max(1, int(least * n))
+        need = max(1, int(share(template) * n))
         for j, s in enumerate(starts):
             while s - starts[i] > slack:
                 i += 1
@@ -183,7 +229,7 @@ def scanner(templates: dict[str, tuple[str, ...]] = TEMPLATES, least: float = CO
         present = known.intersection(_WORD.findall(lower))
         # A template can't be covered where too few of its words occur at all.
         likely = [
-            (name, t) for name, t, count in prepared if sum(count[w] for w in count.keys() & present) >= least * len(t)
+            (name, t) for name, t, count in prepared if sum(count[w] for w in count.keys() & present) >= share(t) * len(t)
         ]
         if not likely:
             return []
@@ -201,8 +247,8 @@ def scanner(templates: dict[str, tuple[str, ...]] = TEMPLATES, least: float = CO
                     piece = content[a : min(b, a + 2 * len(t) + 2 * _FEW)]
                     matched = align(piece, t)
                     matched = _dense(matched, len(t))
-                    coverage = len(matched) / len(t)
-                    if coverage >= least:
+                    if holds(name, t, content, a, matched):
+                        coverage = len(matched) / len(t)
                         first, last = a + matched[0][0], a + matched[-1][0]
                         found.append((-len(t) * coverage, spans[first][0], spans[last][1], name, coverage))
                         a = last + 1

@@ -262,6 +262,43 @@ def test_notices_are_found_where_they_stand():
     assert len(scan("Released under the MIT License. " * 40)) == 40
 
 
+NEAR_MISSES = [
+    "Released under the BSD License.", "It was released under the new license in May.", "Released under the modified MIT License.",
+    "Licensed under the Educational License, Version 2.0.", "Licensed under the Apache License, Version 1.1.",
+    "This work is licensed under the GNU General Public License, version 2.",
+    "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "This work is licensed under the GNU Affero General Public License, version 3.",
+    "Licensed under CC BY-SA 4.0.", "Licensed under CC BY-ND 4.0.", "Licensed under CC BY-NC-SA 4.0.", "Licensed under CC BY 3.0.",
+    "Licensed under CC BY-NC 3.0.", "Licensed under CC BY 3.0. See section 4.0.",
+    "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
+    "This work is licensed under a Creative Commons Attribution 3.0 International License.",
+    "This is free and unencumbered software released into the public library.",
+    licenses.TEMPLATES["GPL-3.0"][1].replace("General", "Lesser General"),
+    licenses.TEMPLATES["GPL-2.0"][0].replace("General", "Library General"),
+    licenses.TEMPLATES["GPL-3.0"][1].replace("version 3", "version 1"),
+    licenses.TEMPLATES["MPL-2.0"][0].replace("v. 2.0", "v. 1.1"),
+    licenses.TEMPLATES["MPL-2.0"][0].replace("Mozilla", "Other"),
+    licenses.TEMPLATES["Apache-2.0"][1].replace("Apache License", "Educational Community License"),
+    licenses.TEMPLATES["MIT"][1].replace("sublicense, and/or sell", "and/or lend"),
+    licenses.TEMPLATES["ISC"][0].replace("this software", "this software and its documentation"),
+    licenses.TEMPLATES["BSD-2-Clause"][0] + " Neither the name of the holder may be used to endorse products.",
+]
+
+
+@pytest.mark.parametrize("text", NEAR_MISSES)
+def test_notices_of_other_licences_are_not_taken(text):
+    scan = licenses.scanner()
+    assert scan(text) == scan("Some words before. " + text + " Some words after.") == []
+
+
+@pytest.mark.parametrize("name,k", [(name, k) for name, ts in licenses.TEMPLATES.items() for k in range(len(ts))])
+def test_every_template_is_its_own_notice(name, k):
+    text = licenses.TEMPLATES[name][k]
+    found = licenses.scanner()(f"Some words before. {text} Some words after.")
+    assert [(n.license, n.coverage) for n in found] == [(name, 1.0)]
+
+
 # --- learned kernels without training data
 
 
