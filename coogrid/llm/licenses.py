@@ -11,7 +11,7 @@ name another licence.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -220,6 +220,58 @@ def scanner(templates: dict[str, tuple[str, ...]] = TEMPLATES, least: float = CO
                     found.append((a, b))
         return found
 
+    def copies(name: str, t: list[str], content: list[str], a: int, b: int) -> list[tuple[int, int, float]]:
+        """First and last place and coverage of the copies of a template between two places; none overlap.
+
+        Every occurrence of a word names a start.  Starts that most words name come
+        first and are aligned within the template's length, then with a few words
+        and with the slack around it, between the copies found so far, so words of
+        other copies do not hide the anchors.  What lies between the copies found
+        is searched again, until nothing more is found.
+        """
+        n = len(t)
+        slack = int(_SLACK * n) + _FEW
+        places: dict[str, list[int]] = {}
+        for q, w in enumerate(t):
+            places.setdefault(w, []).append(q)
+        found: list[tuple[int, int, float]] = []
+        todo = [(a, b)]
+        while todo:
+            a, b = todo.pop()
+            if b - a < share(t) * n:
+                continue
+            votes = Counter(p - q for p in range(a, b) for q in places.get(content[p], ()))
+            hits: list[tuple[int, int, float]] = []
+            missed: set[int] = set()  # starts without a copy, with those nearer than a few words
+            for s, _ in sorted(votes.items(), key=lambda v: (-v[1], v[0])):
+                if s in missed:
+                    continue
+                # The free words about the middle of the copy that would start here.
+                k = bisect_left(hits, (s + n // 2 + 1,))
+                low = hits[k - 1][1] + 1 if k else a
+                high = hits[k][0] if k < len(hits) else b
+                if high - low < share(t) * n:
+                    continue
+                best = None
+                for wide in (0, _FEW, slack):
+                    at, to = max(low, s - wide), min(high, s + n + wide)
+                    if to - at < share(t) * n:
+                        continue
+                    matched = _dense(align(content[at:to], t), n)
+                    if holds(name, t, content, at, matched) and (best is None or len(matched) > best[2] * n):
+                        best = (at + matched[0][0], at + matched[-1][0], len(matched) / n)
+                    if best and best[2] == 1:
+                        break
+                if best:
+                    insort(hits, best)
+                else:
+                    missed.update(range(s - _FEW // 2, s + _FEW // 2 + 1))
+            if hits:
+                edges = [a - 1, *(x for h in hits for x in h[:2]), b]
+                todo += [(edges[i] + 1, edges[i + 1]) for i in range(0, len(edges), 2)]
+            found += hits
+        return found
+
     def scan(text: str | None) -> list[Notice]:
         if not text:
             return []
@@ -227,9 +279,12 @@ def scanner(templates: dict[str, tuple[str, ...]] = TEMPLATES, least: float = CO
         if len(lower) != len(text):  # a few letters change their number when lowered; places must hold
             lower = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
         present = known.intersection(_WORD.findall(lower))
-        # A template can't be covered where too few of its words occur at all.
+        # A template can't be covered where too few of its words, or not all telling ones, occur at all.
         likely = [
-            (name, t) for name, t, count in prepared if sum(count[w] for w in count.keys() & present) >= share(t) * len(t)
+            (name, t)
+            for name, t, count in prepared
+            if sum(count[w] for w in count.keys() & present) >= share(t) * len(t)
+            and present.issuperset(t[q] for q in telling(name, t))
         ]
         if not likely:
             return []
@@ -242,23 +297,14 @@ def scanner(templates: dict[str, tuple[str, ...]] = TEMPLATES, least: float = CO
         found = []
         for name, t in likely:
             for a, b in stretches(where, t, len(content)):
-                while a < b:
-                    # One stretch may hold several copies: what lies before and after the best alignment is tried again.
-                    piece = content[a : min(b, a + 2 * len(t) + 2 * _FEW)]
-                    matched = align(piece, t)
-                    matched = _dense(matched, len(t))
-                    if holds(name, t, content, a, matched):
-                        coverage = len(matched) / len(t)
-                        first, last = a + matched[0][0], a + matched[-1][0]
-                        found.append((-len(t) * coverage, spans[first][0], spans[last][1], name, coverage))
-                        a = last + 1
-                    else:
-                        a += max(1, len(t) // 2)
-        taken: list[Notice] = []
+                for first, last, coverage in copies(name, t, content, a, b):
+                    found.append((-len(t) * coverage, spans[first][0], spans[last][1], name, coverage))
+        taken: list[tuple[int, int, Notice]] = []
         for _, start, end, name, coverage in sorted(found):
-            if all(end <= x.start or start >= x.end for x in taken):
-                taken.append(Notice(name, start, end, coverage))
-        return sorted(taken, key=lambda x: x.start)
+            k = bisect_left(taken, (start,))
+            if (k == 0 or taken[k - 1][1] <= start) and (k == len(taken) or end <= taken[k][0]):
+                taken.insert(k, (start, end, Notice(name, start, end, coverage)))
+        return [x for _, _, x in taken]
 
     return scan
 

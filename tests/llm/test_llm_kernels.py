@@ -299,6 +299,32 @@ def test_every_template_is_its_own_notice(name, k):
     assert [(n.license, n.coverage) for n in found] == [(name, 1.0)]
 
 
+@pytest.mark.parametrize("name,line", [(k, t) for k, ts in licenses.TEMPLATES.items() for t in ts])
+@pytest.mark.parametrize("before", [0, 1, 3, 6, 10, 17])
+def test_repeats_behind_other_text_are_all_found(name, line, before):
+    scan = licenses.scanner()
+    for times in (2, 3, 40):
+        text = "other " * before + f"{line} " * times + "and more."
+        places = [m.start() for m in re.finditer(re.escape(line), text)]
+        assert [(n.license, n.start, n.coverage) for n in scan(text)] == [(name, p, 1.0) for p in places]
+
+
+def test_repeats_beside_changed_copies_are_found():
+    scan = licenses.scanner()
+    apache, cc = licenses.TEMPLATES["Apache-2.0"][0], "Licensed under CC BY-SA 4.0. Licensed under CC BY 4.0. "
+    changed = apache.replace("the Apache", "the terms of the Apache")
+    assert [n.license for n in scan("Some words. " + f"{changed} {apache} " * 20)] == ["Apache-2.0"] * 40
+    assert [n.license for n in scan("Some words. " + cc * 20)] == ["CC-BY-4.0"] * 20
+    mit = licenses.TEMPLATES["MIT"][1]
+    assert len(scan("Some words. " + (mit.replace("Software", "Program") + " " + mit + " ") * 5)) == 10
+
+
+def test_repeated_notices_take_linear_time():
+    scan = licenses.scanner()
+    for line in (licenses.TEMPLATES["MIT"][0], licenses.TEMPLATES["GPL-3.0"][1]):
+        assert len(scan("Some words. " + f"{line} " * 2000)) == 2000
+
+
 # --- learned kernels without training data
 
 
