@@ -220,15 +220,15 @@ def reliabilities(counts: dict[str, int], rounds: int = 100) -> tuple[float, np.
     return prior, table, dict(zip(patterns, q.tolist(), strict=True))
 
 
-def _train(rows: list[list[int]], y: np.ndarray, steps: int = 300) -> np.ndarray:
-    """Logistic regression on probabilities; the last weight is the bias."""
+def _train(rows: list[list[int]], y: np.ndarray, n: np.ndarray, steps: int = 300) -> np.ndarray:
+    """Logistic regression on probabilities, each row with its weight ``n``; the last weight of the model is the bias."""
     at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     cell = np.array([f for r in rows for f in r], int)
     w = np.zeros((1 << FEATURE_BITS) + 1)
     total = np.full_like(w, 1e-8)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(w[-1] + np.bincount(at, w[cell], len(rows)), -30, 30)))
-        g = (y - p) / len(rows)
+        g = n * (y - p) / n.sum()
         grad = np.append(np.bincount(cell, g[at], len(w) - 1), g.sum()) - 1e-5 * w
         total += grad * grad
         w += 0.3 * grad / np.sqrt(total)
@@ -244,10 +244,16 @@ class SpanModel:
 
 
 def fit(docs: DataFrame, text: str = "text") -> SpanModel:
-    """Reliabilities from the vote patterns of all documents, the classifier from about ``SAMPLE_CANDIDATES`` of them.
+    """Reliabilities from the vote patterns of all documents, the classifier from a sample of their candidates.
 
     There are at most ``3 ** len(LABELERS)`` patterns, so their counts are few
     whatever the corpus.  Without candidates the model adds nothing.
+
+    Candidates with equal votes and features are one row with their number n.  With
+    s the share that ``SAMPLE_CANDIDATES`` are of all candidates, a row is drawn with
+    probability s n by the hash of its content: always from n = 1 / s on, with weight
+    n, else with weight 1 / s.  So about ``SAMPLE_CANDIDATES`` rows at most are drawn,
+    and the weights stand for all candidates however often one repeats.
     """
 
     def make():
@@ -256,26 +262,23 @@ def fit(docs: DataFrame, text: str = "text") -> SpanModel:
                 if t:
                     for a, b in candidates(t, base_spans(t)):
                         s = _seen(t, a, b)
-                        yield votes(s), np.array(features(s), np.int16).tobytes(), zlib.crc32(f"{s}".encode("utf-8", "replace"))
+                        yield votes(s), np.array(features(s), np.int16).tobytes()
 
         return kernel
 
     plain = docs.select(F.col(text).cast("string").alias("t"))
-    found = materialize(arrow_map(plain, make, "pattern string, features binary, place long"))
+    found = materialize(arrow_map(plain, make, "pattern string, features binary"))
     counts = {r[0]: r[1] for r in found.groupBy("pattern").count().collect()}
     if not counts:
         return SpanModel(b"", ())
     _, table, belief = reliabilities(counts)
-    share = SAMPLE_CANDIDATES / sum(counts.values())
-    rows = found.where(F.pmod(F.xxhash64("place", "features"), F.lit(1 << 30)) < int(min(1.0, share) * (1 << 30)))
-    # Like candidates weigh together: distinct ones with their number.
-    grouped = rows.groupBy("pattern", "features").count().collect()
-    sample = sorted((r[0], bytes(r[1]), r[2]) for r in grouped)
-    repeats = np.array([min(64, r[2]) for r in sample])
+    share = min(1.0, SAMPLE_CANDIDATES / sum(counts.values()))
+    place = F.pmod(F.xxhash64("pattern", "features"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    grouped = found.groupBy("pattern", "features").agg(F.count("*").alias("n")).where(place < F.col("n") * F.lit(share))
+    sample = sorted((r[0], bytes(r[1]), r[2]) for r in grouped.collect())
     cells = [np.frombuffer(r[1], np.int16).tolist() for r in sample]
     y = np.array([belief[r[0]] for r in sample])
-    order = np.repeat(np.arange(len(sample)), repeats)
-    w = _train([cells[i] for i in order], y[order])
+    w = _train(cells, y, np.maximum(np.array([r[2] for r in sample], float), 1 / share))
     trust = tuple((n, float(table[j, 1, 1]), float(table[j, 0, 2])) for j, n in enumerate(LABELERS))
     return SpanModel(w.astype(np.float32).tobytes(), trust)
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+from collections import Counter
 from pathlib import Path
 
 import numpy as np
@@ -345,6 +346,32 @@ def test_toxicity_of_unseen_documents(spark):
     assert all(r["predicted"] == int(r["score"] >= 0.7) for r in rows)
 
 
+@pytest.mark.parametrize("limit", [20_000, 400])
+def test_frequent_candidates_weigh_with_their_number(spark, monkeypatch, limit):
+    monkeypatch.setattr(pii, "SAMPLE_CANDIDATES", limit)
+    texts = ["Call the desk at 5551 0199 2288 now."] * 700 + [f"My phone: 555 {i} 0{i}21, order no {i}{i}8 of item K{i}x9Z." for i in range(300)]
+    seen = [pii._seen(t, a, b) for t in texts for a, b in pii.candidates(t, pii.base_spans(t))]
+    kinds = Counter((pii.votes(s), tuple(pii.features(s))) for s in seen)
+    _, _, belief = pii.reliabilities(dict(Counter(pii.votes(s) for s in seen)))
+    caught = []
+    train = pii._train
+    monkeypatch.setattr(pii, "_train", lambda *a: caught.append(a) or train(*a))
+    pii.fit(spark.createDataFrame([(t,) for t in texts], "text string"))
+    rows, y, *n = caught[0]
+    drawn = Counter()
+    for r, p, w in zip(rows, y, n[0] if n else np.ones(len(rows)), strict=True):
+        drawn[tuple(r), round(float(p), 6)] += w
+    want = Counter()
+    for (v, f), k in kinds.items():
+        want[f, round(belief[v], 6)] += k
+    assert max(want.values()) >= 700
+    for k, number in want.items():
+        if number * limit >= len(seen):
+            assert drawn[k] == pytest.approx(number)
+    assert sum(drawn.values()) == pytest.approx(len(seen), rel=0.25)
+    assert len(rows) <= 1.5 * limit
+
+
 # --- the pipeline, stage by stage against plain computation
 
 
