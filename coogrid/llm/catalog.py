@@ -13,9 +13,12 @@ from .ordermin import ordermin_query
 from .packing import packing_query
 from .pii import pii_query
 from .quality import quality_query
+from .resampling import RESAMPLING_SQL, resampling_query
 from .segmentation import segmentation_query
 from .simhash import simhash_query
 from .toxicity import toxicity_query
+from .warc import WARC_SQL, warc_query
+from .whitening import whitening_query
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_pivots": embeddings_query,
@@ -28,5 +31,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii_weak": pii_query,
     "op9_order_minhash": ordermin_query,
     "op10_toxicity_mil": toxicity_query,
+    "op11_importance_resampling": resampling_query,
+    "op12_warc_index": warc_query,
+    "op13_embedding_whitening": whitening_query,
 }
-SQL: dict[str, str] = {}
+#: The others cannot be expressed: learnt models, compression, tokenizers, iterated components, eigenvectors.
+SQL: dict[str, str] = {"op11_importance_resampling": RESAMPLING_SQL, "op12_warc_index": WARC_SQL}
