@@ -2,77 +2,130 @@
 
 An un-partitioned window sends every row to one task.  The passes here cut the
 order into buckets, run the window inside each bucket, reduce each bucket to one
-row, and carry those few rows (one per bucket, a number fixed by the session)
-across the bucket edges.  Bucket bounds are literals of the plan, so a bucket
+row, and carry those few rows (one per bucket) across the bucket edges.  The number
+of buckets follows from the number of rows.  Bucket bounds are literals of the plan, so a bucket
 recomputed after a lost executor holds the same rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from .durable import materialize
 
-BUCKET = "__bucket"
+BUCKET, KEY = "__bucket", "__key"
 _ID_BITS = 33  # low bits of monotonically_increasing_id(): row number inside the partition
 
 
 #: Buckets per task, so that hashing them over the tasks comes out even, and most buckets of one pass.
-BUCKETS_PER_TASK, MOST_BUCKETS = 8, 100_000
-#: Rows of a bucket aimed at where the number of rows is known.
-BUCKET_ROWS = 1 << 22
+BUCKETS_PER_TASK, MOST_BUCKETS = 8, 1_000_000
+#: Rows of a bucket: fewer are not worth one of their own, more do not go into one.
+LEAST_BUCKET_ROWS, BUCKET_ROWS = 1 << 12, 1 << 22
+#: Quantiles read in the pass that counts the rows, and the accuracy of their sketch.
+_GRID, _ACCURACY = 2048, 20_000
+#: Buckets whose carry is worked out in one window, and that form a group where there are more.
+CARRY_FAN = 1024
 
 
 class Width(int):
     """A bucket width that is known to make a bounded number of buckets."""
 
+    buckets = MOST_BUCKETS
 
-def bucket_count(spark: SparkSession, n: int | None = None) -> int:
-    """Buckets of a pass: several per task, more where that leaves too many of ``n`` rows to one."""
+
+def bucket_count(spark: SparkSession, n: int) -> int:
+    """Buckets for ``n`` rows: several per task where the rows fill them, more where a bucket would grow too large."""
     tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    wanted = BUCKETS_PER_TASK * tasks if n is None else max(BUCKETS_PER_TASK * tasks, -(-n // BUCKET_ROWS))
-    return min(MOST_BUCKETS, wanted)
+    even = min(BUCKETS_PER_TASK * tasks, -(-n // LEAST_BUCKET_ROWS))
+    return max(1, min(MOST_BUCKETS, max(even, -(-n // BUCKET_ROWS))))
 
 
 def dense_width(spark: SparkSession, n: int) -> Width:
     """Bucket width for an order column that takes each of 0..n-1 once."""
-    return Width(max(1, -(-n // bucket_count(spark, n))))
+    width = Width(max(1, -(-n // bucket_count(spark, n))))
+    width.buckets = -(-n // width)
+    return width
 
 
-def _bounded_width(df: DataFrame, order: str, width: int) -> int:
+def _bounded_width(df: DataFrame, order: str, width: int) -> Width:
     """``width``, or the least one that keeps to MOST_BUCKETS over the range of ``order``."""
     if isinstance(width, Width):
         return width
     ends = df.agg(F.min(order).alias("lo"), F.max(order).alias("hi")).first()
-    return width if ends["lo"] is None else max(width, -(-(ends["hi"] - ends["lo"] + 1) // MOST_BUCKETS))
+    span = 0 if ends["lo"] is None else ends["hi"] - ends["lo"] + 1
+    kept = Width(max(width, -(-span // MOST_BUCKETS)))
+    kept.buckets = span // kept + 2
+    return kept
 
 
-def add_bucket(df: DataFrame, order: str, width: int | None = None) -> DataFrame:
-    """Tag rows with a bucket that grows with the numeric column ``order``.
+def _bounds(df: DataFrame, order: str) -> list[float]:
+    """Bounds of even buckets, as many as the rows ask for.
 
-    ``width`` serves dense orders (positions, row numbers).  Otherwise the bounds
-    are approximate quantiles, so buckets are even however the values lie.  Whatever
-    the width asked for, there are MOST_BUCKETS buckets at most.
+    One pass both counts the rows and sketches their quantiles; partial sketches
+    merge, so only a bounded summary per task moves.  Where more buckets are needed
+    than the sketch tells apart, a finer one is read.
     """
+    x = F.col(order).cast("double")
+    grid = F.percentile_approx(x, [i / _GRID for i in range(1, _GRID)], _ACCURACY)
+    seen = df.agg(F.count(order).alias("n"), grid.alias("cuts")).first()
+    n = bucket_count(df.sparkSession, seen["n"])
+    if n <= _GRID:
+        cuts = [seen["cuts"][_GRID * i // n - 1] for i in range(1, n)]
+    else:
+        (cuts,) = df.select(x.alias("__order")).approxQuantile(["__order"], [i / n for i in range(1, n)], 0.25 / n)
+    return sorted(set(cuts))
+
+
+def _bucketed(df: DataFrame, order: str, width: int | None) -> tuple[DataFrame, int]:
+    """:func:`add_bucket` and how many buckets there are at most."""
     if width is not None:
         width = _bounded_width(df, order, width)
-        return df.withColumn(BUCKET, F.call_function("div", F.col(order), F.lit(width).cast("long")))
-    n = bucket_count(df.sparkSession)
-    as_double = df.withColumn("__order", F.col(order).cast("double"))
-    probs = [i / n for i in range(1, n)]
-    cuts: list[float] = []
-    if probs:
-        (cuts,) = as_double.approxQuantile(["__order"], probs, max(1e-5, 0.25 / n))
-    inner = sorted(set(cuts))
+        return df.withColumn(BUCKET, F.call_function("div", F.col(order), F.lit(int(width)).cast("long"))), width.buckets
+    inner = _bounds(df, order)
     if not inner:
-        return df.withColumn(BUCKET, F.lit(0).cast("long"))
+        return df.withColumn(BUCKET, F.lit(0).cast("long")), 1
+    as_double = df.withColumn("__order", F.col(order).cast("double"))
     splits = [float("-inf"), *inner, float("inf")]
     tagged = Bucketizer(splits=splits, inputCol="__order", outputCol="__cut").transform(as_double)
-    return tagged.withColumn(BUCKET, F.col("__cut").cast("long")).drop("__order", "__cut")
+    return tagged.withColumn(BUCKET, F.col("__cut").cast("long")).drop("__order", "__cut"), len(splits)
+
+
+def add_bucket(df: DataFrame, order: str, width: int | None = None) -> DataFrame:
+    """Tag rows with a bucket that grows with the numeric column ``order``.
+
+    ``width`` serves dense orders (positions, row numbers).  Otherwise the bounds
+    are approximate quantiles, so buckets are even however the values lie, and their
+    number follows from the number of rows.
+    """
+    return _bucketed(df, order, width)[0]
+
+
+def _before(keys: Sequence[str], order: str) -> WindowSpec:
+    return Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _carried(
+    totals: DataFrame, keys: Sequence[str], fold: Callable[[str], Column], combine: Callable[[Column, Column], Column], buckets: int
+) -> DataFrame:
+    """``*keys, bucket, __carry``: ``__total`` folded over all buckets of the key that lie before.
+
+    Many buckets are carried in two levels, groups of ``CARRY_FAN`` and the buckets of a
+    group, so no window holds them all; few go to every task.
+    """
+    if buckets <= CARRY_FAN:
+        carry = totals.select(*keys, BUCKET, fold("__total").over(_before(keys, BUCKET)).alias("__carry"))
+        return carry if keys else F.broadcast(carry)  # one row per bucket
+    above = [*keys, "__group"]
+    grouped = totals.withColumn("__group", F.call_function("div", F.col(BUCKET), F.lit(CARRY_FAN).cast("long")))
+    inner = grouped.withColumn("__inner", fold("__total").over(_before(above, BUCKET)))
+    whole = Window.partitionBy(*above).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    tops = grouped.select(*above, fold("__total").over(whole).alias("__top")).groupBy(*above).agg(F.first("__top").alias("__top"))
+    tops = tops.select(*above, fold("__top").over(_before(keys, "__group")).alias("__upper"))
+    return inner.join(tops, above).select(*keys, BUCKET, combine(F.col("__upper"), F.col("__inner")).alias("__carry"))
 
 
 def _sum_two(a: Column, b: Column) -> Column:
@@ -106,18 +159,16 @@ def scan(
     fold, combine = _OPS[op]
     if identity is None and op == "sum":
         identity = 0
-    keys = list(keys)
     columns = df.columns
-    tagged = add_bucket(df, order, width)  # a bounded number of buckets: one row each is carried
-    cells = [*keys, BUCKET]
+    tagged, buckets = _bucketed(df, order, width)
+    if keys:
+        tagged = tagged.withColumn(KEY, F.struct(*keys))  # a struct of nulls equals itself
+    part = [KEY] if keys else []
+    cells = [*part, BUCKET]
     rows = Window.partitionBy(*cells).orderBy(order)
     rows = rows.rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
-    earlier = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-
     totals = tagged.groupBy(*cells).agg(fold(val).alias("__total"))
-    carry = totals.select(*cells, fold("__total").over(earlier).alias("__carry"))
-    if not keys:
-        carry = F.broadcast(carry)  # one row per bucket
+    carry = _carried(totals, part, fold, combine, buckets)
     local = tagged.withColumn("__local", fold(val).over(rows))
     value = combine(F.col("__carry"), F.col("__local"))
     if identity is not None:
@@ -130,14 +181,14 @@ def with_previous(
 ) -> DataFrame:
     """Add the struct of ``cols`` of the row just before in ``order`` (NULL for the first row)."""
     columns = df.columns
-    tagged = add_bucket(df, order, width)
+    tagged, buckets = _bucketed(df, order, width)
     record = F.struct(*cols)
     inside = Window.partitionBy(BUCKET).orderBy(order)
-    last = tagged.groupBy(BUCKET).agg(F.max_by(record, F.col(order)).alias("__last"))
-    carry = last.select(BUCKET, F.lag("__last").over(Window.orderBy(BUCKET)).alias("__carry"))
+    last = tagged.groupBy(BUCKET).agg(F.max_by(record, F.col(order)).alias("__total"))
+    carry = _carried(last, [], F.last, lambda upper, inner: F.coalesce(inner, upper), buckets)
     return (
         tagged.withColumn("__lag", F.lag(record).over(inside))
-        .join(F.broadcast(carry), BUCKET)  # one row per bucket
+        .join(carry, BUCKET)
         .select(*columns, F.coalesce("__lag", "__carry").alias(out))
     )
 

@@ -6,7 +6,15 @@ from pyspark.sql import functions as F
 
 import coogrid as cg
 from coogrid.operators.order import _expand_copies
-from coogrid.plans.ordered import add_bucket, with_previous
+from coogrid.plans import ordered as plans
+from coogrid.plans.ordered import add_bucket, bucket_count, with_previous
+
+
+@pytest.fixture(autouse=True)
+def small_buckets(monkeypatch):
+    """Small tables make many buckets here, whose carry goes through two levels."""
+    monkeypatch.setattr(plans, "LEAST_BUCKET_ROWS", 8)
+    monkeypatch.setattr(plans, "CARRY_FAN", 4)
 
 
 def prefix(values, op, exclusive, identity):
@@ -20,7 +28,8 @@ def prefix(values, op, exclusive, identity):
 
 @pytest.mark.parametrize("op,fn", [("sum", lambda a, b: a + b), ("min", min), ("max", max)])
 @pytest.mark.parametrize("exclusive", [False, True])
-def test_scan(spark, op, fn, exclusive):
+def test_scan(spark, monkeypatch, op, fn, exclusive):
+    monkeypatch.setattr(plans, "CARRY_FAN", 1024 if exclusive else 4)
     rng = random.Random(1)
     keys = sorted(rng.sample(range(10**6), 300))
     vals = [rng.randrange(-50, 50) for _ in keys]
@@ -40,10 +49,39 @@ def test_buckets_grow_with_the_order_and_are_even(spark):
     skewed = spark.range(4000).select((F.col("id") * F.col("id") * F.col("id")).alias("t"))
     sizes = add_bucket(skewed, "t").groupBy("__bucket").agg(F.count("*").alias("n"), F.min("t"), F.max("t"))
     got = sizes.orderBy("__bucket").collect()
-    assert len(got) == 8 and max(r["n"] for r in got) < 1000
+    n = bucket_count(spark, 4000)
+    assert n == 64 and n / 2 < len(got) <= n and max(r["n"] for r in got) < 3 * 4000 / n
     assert all(a["max(t)"] < b["min(t)"] for a, b in zip(got, got[1:]))
 
 
+def test_bucket_number_follows_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(plans, "LEAST_BUCKET_ROWS", 100)
+    monkeypatch.setattr(plans, "BUCKET_ROWS", 500)
+    for n, want in ((0, 1), (1, 1), (350, 4), (6400, 64), (20_000, 64), (40_000, 80)):
+        assert bucket_count(spark, n) == want
+        rows_ = spark.range(n).selectExpr("id * id AS t")
+        found = add_bucket(rows_, "t").groupBy("__bucket").count().collect()
+        assert len(found) in (want, want - 1) and max((r["count"] for r in found), default=0) <= max(500, 3 * n / want)
+
+
+def test_more_buckets_than_the_first_sketch_tells_apart(spark, monkeypatch):
+    monkeypatch.setattr(plans, "_GRID", 16)
+    df = spark.range(2000).selectExpr("id AS t", "1L AS v")
+    assert add_bucket(df, "t").select("__bucket").distinct().count() > 50
+    assert cg.scan(df, "t", "v").where("scan <> t + 1").count() == 0
+
+
+def test_null_keys_are_a_key(spark):
+    data = [(None if i % 3 else i % 2, i, 1) for i in range(300)]
+    df = spark.createDataFrame(data, "k bigint, p bigint, v bigint").repartition(4)
+    got = rows(cg.scan_by_key(df, "k", "p", "v"), "p", "scan")
+    seen, expected = {}, []
+    for k, p, v in data:
+        seen[k] = seen.get(k, 0) + v
+        expected.append((p, seen[k]))
+    assert got == expected
+
+
 def test_scan_by_key_with_hot_key(spark):
     rng = random.Random(2)
     data = [(0 if rng.random() < 0.5 else rng.randrange(1, 9), i, rng.randrange(100)) for i in range(600)]
