@@ -247,3 +247,43 @@ def test_solver_keeps_a_constant_number_of_cuts(spark, valued):
     before = cuts()
     assert cg.cg(A, b, rtol=1e-30, max_iter=20).iterations == 20
     assert cuts() - before <= 3
+
+
+def nearest(terms):
+    exact = sum(map(Fraction, terms))
+    try:
+        return float(exact)
+    except OverflowError:
+        return math.inf if exact > 0 else -math.inf
+
+
+def exact_groups():
+    rng, top = random.Random(11), sys.float_info.max
+    edges = [2.0 ** (8 * k) for k in range(-134, 128)]
+    groups = [[e] for e in edges] + [[math.nextafter(e, 0)] for e in edges] + [[-math.nextafter(e, math.inf)] for e in edges]
+    groups += [[top], [-top], [5e-324], [2.2250738585072014e-308, -5e-324], [1e300, -1e300, 5e-324], [255.99999999999997]]
+    groups += [[1.0, 2**-53], [1.0, 2**-53, 2**-300], [1.0, 2**-53, -(2**-300)], [0.0, -0.0], [0.1] * 10]
+    groups += [[top, top / 2, -top], [top, top, -top], [2.0**1023, 2.0**1023, -(2.0**1016) + 2.0**900], [top, top], [-top, -top]]
+    for _ in range(300):
+        spread = rng.choice([2, 60, 1000])
+        terms = [math.ldexp(rng.uniform(-1, 1), rng.randint(-spread, spread)) for _ in range(rng.randint(1, 40))]
+        groups.append(terms + [-x for x in terms[1:]] if rng.random() < 0.5 else terms)
+    return groups
+
+
+@pytest.mark.parametrize("parts", [1, 13])
+def test_exact_sums_are_the_nearest_doubles(spark, parts):
+    groups = exact_groups()
+    rows = [(k, x) for k, terms in enumerate(groups) for x in terms]
+    random.Random(parts).shuffle(rows)
+    df = spark.createDataFrame(rows, "idx bigint, __term double").repartition(parts)
+    got = {r["idx"]: r["__sum"] for r in exact_sums(df).collect()}
+    assert [(k, got[k]) for k in sorted(got)] == [(k, nearest(terms)) for k, terms in enumerate(groups)]
+
+
+def test_exact_sums_of_what_is_not_finite(spark):
+    inf, nan = math.inf, math.nan
+    groups = [[1.0, inf], [-inf, 1e308], [inf, -inf], [nan, 1.0], [inf, nan]]
+    df = spark.createDataFrame([(k, x) for k, terms in enumerate(groups) for x in terms], "idx bigint, __term double")
+    got = [r["__sum"] for r in exact_sums(df).orderBy("idx").collect()]
+    assert got[:2] == [inf, -inf] and all(map(math.isnan, got[2:]))
