@@ -6,12 +6,12 @@ grows with the longest row.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..matrix import COL, ROW, VAL, Matrix, _checked
 from ..plans.durable import materialize
-from ..plans.ordered import dense_width, scan
+from ..plans.ordered import dense_width, last_mark, scan
 from .order import int_div
 
 #: Columns per adjacency record; also the bound on the length of its array.
@@ -40,22 +40,21 @@ def from_csr(offsets: DataFrame, cols: DataFrame, nrows: int, ncols: int) -> Mat
     """Entries from row pointers ``idx, offset`` and column indices ``pos, col_id``.
 
     The row of a position is the last row that starts at or before it: each
-    non-empty row is marked at its first position and a max-scan carries the mark
-    on, so a long row is not expanded inside one record.  There must be as many
-    columns as the last offset says, and no index may be out of bounds.
+    non-empty row is a mark at its first position that is carried on, so a long row
+    is not expanded inside one record.  There must be as many columns as the last
+    offset says, and no index may be out of bounds.
     """
-    spark = cols.sparkSession
-    n = cols.count()
-    stated = offsets.agg(F.max("offset").alias("n"), F.max("idx").alias("last")).first()
-    if (stated["n"] or 0) != n or (stated["last"] is not None and stated["last"] != nrows):
-        raise ValueError(f"offsets end at index {stated['last']} with {stated['n']}; there are {nrows} rows and {n} columns")
+    n, seen = cols.count(), Observation()
+    offsets = offsets.observe(seen, F.max("offset").alias("n"), F.max("idx").alias("last"))
     # Empty rows share the offset of the next non-empty row, which has the largest index.
-    starts = offsets.groupBy(F.col("offset").alias("pos")).agg(F.max("idx").alias("__start"))
-    marked = materialize(cols.join(starts, "pos", "left"))  # read three times by the scan
-    width = dense_width(spark, n)
-    rows = scan(marked, "pos", "__start", op="max", out=ROW, width=width)
-    kept = [ROW, COL, *([VAL] if VAL in cols.columns else [])]
-    return _inside(rows.select(*kept), nrows, ncols)
+    starts = materialize(offsets.groupBy(F.col("offset").alias("pos")).agg(F.max("idx").alias("__start")))
+    stated, last = seen.get["n"], seen.get["last"]
+    if (stated or 0) != n or (last is not None and last != nrows):
+        raise ValueError(f"offsets end at index {last} with {stated}; there are {nrows} rows and {n} columns")
+    starts = starts.where(F.col("pos") < n)
+    kept = [COL, *([VAL] if VAL in cols.columns else [])]
+    rows = last_mark(cols.select("pos", *kept), starts, "pos", "__start", n, ROW)
+    return _inside(rows.select(ROW, *kept), nrows, ncols)
 
 
 def to_adjacency(A: Matrix, width: int = ADJACENCY_WIDTH) -> DataFrame:

@@ -1,5 +1,7 @@
 import math
 import random
+import sys
+from fractions import Fraction
 
 import pytest
 from helpers import cells, pairs, rows, values
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 
 import coogrid as cg
 import coogrid.operators.spmv as sp
+from coogrid.operators.spmv import exact_sums
 
 
 @pytest.fixture
