@@ -22,7 +22,7 @@ from .common import arrow_map, fold, keep_rows, labelled_sample
 
 #: Labelled documents that the model is fitted on, at most (give or take a square root).
 SAMPLE_DOCS = 8_000
-#: Features kept: the most telling ones of those in enough sampled documents and with enough evidence.
+#: Features kept (a bound on the size of the model): the most telling ones of those in enough sampled documents and with enough evidence.
 FEATURES, LEAST_DOCS, LEAST_G = 4096, 3, 15.0
 #: A document is toxic from this probability on, a sentence is reported from this one on.
 THRESHOLD, SENTENCE_THRESHOLD = 0.7, 0.5
@@ -153,10 +153,10 @@ def scorer(model: ToxicityModel) -> Callable[[str | None], tuple[float, list[tup
     starts = {f.removeprefix("^")[:least] for f in weights}
 
     class Words(dict):
-        def __missing__(self, word: str) -> float:
+        def __missing__(self, word: str) -> tuple[str, ...]:
             if len(self) > _CACHE:
                 self.clear()
-            value = self[word] = sum(weights.get(f, 0.0) for f in features(word))
+            value = self[word] = tuple(f for f in features(word) if f in weights)
             return value
 
     words = Words()
@@ -176,7 +176,9 @@ def scorer(model: ToxicityModel) -> Callable[[str | None], tuple[float, list[tup
             look = len(met) > 4 or any(map(lower.__contains__, met))
             here = met.keys() & _WORD.findall(lower) if look else ()
             if here:
-                z = max(-30.0, min(30.0, bias + sum(map(met.__getitem__, here))))
+                # As learnt: a feature counts once in a sentence, whichever words share it.
+                once = sorted({f for w in here for f in met[w]})
+                z = max(-30.0, min(30.0, bias + sum(map(weights.__getitem__, once))))
                 none += math.log1p(math.exp(z))
                 if z >= cut:
                     found.append((*m.span(), 1 / (1 + math.exp(-z))))

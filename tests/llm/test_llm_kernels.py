@@ -168,7 +168,8 @@ def test_segmentations_decode_to_the_text(pieces, text):
 
 def test_leader_agrees_with_the_search(pieces):
     for word in ("▁the", "▁international", "▁漢é", "▁" * 9, "▁x" + "y" * 40):
-        score, loss, ids = pieces.leader(word)
+        score, loss, ids, spelt = pieces.leader(word)
+        assert spelt
         paths = pieces.search(word, 2)
         assert paths[0][0] == score and pieces.spell(np.frombuffer(ids, "<u4")) == word.encode()
         assert loss == (score - paths[1][0] if len(paths) > 1 else np.inf)
@@ -405,3 +406,26 @@ def plain_order_minhash(text):
         ordered = sorted((c & ~top, (c >> 30) & ((1 << 34) - 1)) for c in chosen)
         out.append(_hash([(h, "q") for _, h in ordered]) & 65535)
     return out
+
+
+def test_one_rule_rejects_at_all_lengths():
+    import zstandard
+
+    texts = ["the cat sat on the mat and " * 20, "le chat est sur la table et " * 20]
+    model = language.LanguageModel(("en", "fr"), tuple(t.encode() for t in texts))
+    predict = language.predictor(model)
+    asked = ["the mat", "la table", "zq", "qxqz " * 9, "the cat and the mat", "le chat et la table" * 50, "12", None]
+    for text, (lang, score, rejected) in zip(asked, predict(asked), strict=True):
+        if text is None or not any(c.isalpha() for c in text):
+            assert (lang, score, rejected) == ("und", 0.0, True)
+            continue
+        # A fresh compressor for every text, nothing precomputed.
+        sizes = []
+        for held in model.dictionaries:
+            parameters = zstandard.ZstdCompressionParameters(**language._PARAMETERS)
+            content = zstandard.ZstdCompressionDict(held, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            pack = zstandard.ZstdCompressor(dict_data=content, compression_params=parameters)
+            data = text.encode()
+            sizes.append(sum(len(pack.compress(data[k : k + 8192])) for k in range(0, len(data), 8192)))
+        assert lang == model.languages[sizes.index(min(sizes))]
+        assert rejected == (max(sizes) - min(sizes) <= 0.002 * max(sizes))

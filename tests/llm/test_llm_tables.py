@@ -20,7 +20,7 @@ LARGER = "/root/testdata/sf0.01"
 pytestmark = pytest.mark.skipif(not Path(SF_DIR).exists(), reason="tables not mounted")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Columns that clash with names the operators use inside or return.
-CLASHES = {"score": 1, "y": "y", "t": 2.0, "fp": "x", "component_id": 3, "node": None, "piece": "p", "__salt": 1}
+CLASHES = {"__id": 5, "__th": 6, "__rank": 7, "__n": 8, "__copies": 9, "score": 1, "y": "y", "t": 2.0, "fp": "x", "component_id": 3, "node": None, "piece": "p", "__salt": 1}
 
 
 @pytest.fixture(scope="module")
@@ -89,7 +89,7 @@ def test_stages_keep_columns_on_odd_tables(spark, odd, empty, tmp_path, labels,
 
 def test_queries_are_registered():
     names = entry_points.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(k.startswith(f"op{n}_") for k in names) == 1
     assert "pipeline" in names and set(entry_points.oracle_sql()) <= set(names)
 
@@ -170,6 +170,13 @@ def test_odd_embeddings(spark):
     assert embeddings.near_vectors(table.limit(0)).collect() == []
 
 
+def test_rows_that_share_an_id(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 2.0]), (3, [1.0, 0.01]), (5, [1.0, 1.0]), (5, [1.0, 1.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = sorted(tuple(r) for r in embeddings.near_vectors(table).collect())
+    assert got == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (5, 1, 5, True), (5, 1, 5, True)]
+
+
 # --- SimHash
 
 
@@ -241,6 +248,13 @@ def test_packing_is_gapless_and_whole(spark):
     assert len(by_sequence) <= 1.02 * sum(r["length"] for r in rows) / 2048 + 1
 
 
+def test_pack_keeps_columns_that_clash(spark):
+    pieces = spark.range(50).selectExpr("id AS doc_id", "1 + id AS length", "id * 3 AS __rank", "id AS __salt", "-id AS `__n`", "'x' AS sequence_id")
+    got = packing.pack(pieces)
+    assert got.columns == ["doc_id", "length", "__rank", "__salt", "__n", "sequence_id", "offset"]
+    assert got.where("__rank <> 3 * doc_id OR __n <> -doc_id OR __salt <> doc_id").count() == 0 and got.count() == 50
+
+
 def test_pack_spreads_a_hot_length(spark):
     pieces = spark.range(5000).selectExpr("id AS doc_id", "if(id % 3 = 0, 700L, 1 + id % 2048) AS length")
     got = packing.pack(pieces)
@@ -346,6 +360,25 @@ def test_toxicity_of_unseen_documents(spark):
     assert all(r["predicted"] == int(r["score"] >= 0.7) for r in rows)
 
 
+def test_toxicity_scores_are_the_noisy_or_of_what_was_learnt(spark):
+    docs, labels = docs_of(spark, LARGER), spark.read.parquet(f"{LARGER}/labels.parquet")
+    model = toxicity.fit(docs, labels)
+    score = toxicity.scorer(model)
+    for text in [r["text"] for r in docs.select("text").collect()] + ["", None, "idiot idiots. Idiots!"]:
+        none = 1.0
+        for a, b in toxicity.sentences(text or ""):
+            words = re.findall(r"[^\W\d_]+", text[a:b].lower())
+            found = {f for w in words for f in toxicity.features(w)}
+            z = max(-30.0, min(30.0, model.bias + sum(w for f, w in model.weights.items() if f in found)))
+            none *= 1 - 1 / (1 + np.exp(-z))
+        assert score(text)[0] == pytest.approx(1 - none, abs=1e-9)
+
+
+def test_a_shared_beginning_counts_once():
+    model = toxicity.ToxicityModel(-6.0, {"idiot": 2.0, "^idio": 3.0, "idiots": 2.0, "^idiot": 1.0})
+    assert toxicity.scorer(model)("idiot idiots")[0] == pytest.approx(1 / (1 + np.exp(-2.0)))
+
+
 @pytest.mark.parametrize("limit", [20_000, 400])
 def test_frequent_candidates_weigh_with_their_number(spark, monkeypatch, limit):
     monkeypatch.setattr(pii, "SAMPLE_CANDIDATES", limit)
