@@ -62,24 +62,38 @@ def _scaled(x: np.ndarray) -> np.ndarray:
     return np.ldexp(x, -exponent[:, None])
 
 
+def _key(column: str) -> list:
+    """128 bits that stand for a vector where only its identity counts."""
+    return [F.xxhash64(column).alias("h1"), F.xxhash64(F.lit(1), column).alias("h2")]
+
+
+def _vectors(vectors: DataFrame, column: str) -> DataFrame:
+    """``vec_id, x``: the vector as doubles without negative zeros, null where it cannot link."""
+    x = F.transform(F.col(column).cast("array<double>"), lambda c: c + F.lit(0.0))
+    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(valid(column), x).alias("x"))
+
+
 def points(vectors: DataFrame, column: str = "embedding") -> DataFrame:
-    """``node, n, dim, v``: different valid vectors as doubles, with the smallest id and the number of copies."""
-    x = F.col(column).cast("array<double>")
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x")).where(
-        F.col("vec_id").isNotNull() & valid("x")
-    )
-    grouped = rows.groupBy("x").agg(F.min("vec_id").alias("node"), F.count("*").alias("n"))
-    schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("dim", pa.int32()), ("v", pa.binary())])
+    """``node, h1, h2, least, n, dim, v``: different valid vectors, their smallest id and the number of copies.
+
+    ``node`` numbers the vectors; it is fixed once the frame is kept.  An id that
+    several vectors share is the smallest id of each of them.
+    """
+    rows = _vectors(vectors, column).where("vec_id IS NOT NULL AND x IS NOT NULL")
+    grouped = rows.groupBy("x").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"))
+    grouped = grouped.select(F.monotonically_increasing_id().alias("node"), *_key("x"), "least", "n", "x")
+    names = ["node", "h1", "h2", "least", "n"]
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, n, lists = batch.columns
+            *kept, lists = batch.columns
             sizes = np.asarray(lists.value_lengths())
             values, ends = np.asarray(lists.flatten()), np.cumsum(sizes)
             blobs = [_scaled(values[None, e - s : e])[0].astype("<f8").tobytes() for s, e in zip(sizes, ends, strict=True)]
-            yield pa.RecordBatch.from_arrays([node, n, pa.array(sizes, pa.int32()), pa.array(blobs)], schema=schema)
+            columns = [*kept, pa.array(sizes, pa.int32()), pa.array(blobs, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*names, "dim", "v"])
 
-    return grouped.select("node", "n", "x").mapInArrow(pack, "node long, n long, dim int, v binary")
+    return grouped.mapInArrow(pack, ", ".join(f"{c} long" for c in names) + ", dim int, v binary")
 
 
 def valid(column: str):
@@ -253,33 +267,29 @@ def _compare(block: pa.Table, dim: int, cosine: float) -> Iterator[list[pa.Array
 
 
 def near_vectors(vectors: DataFrame, column: str = "embedding", cosine: float = COSINE) -> DataFrame:
-    """``vec_id, n_links, component_id, kept`` for every row of ``vectors``.
+    """``vec_id, n_links, component_id, kept`` for every row of ``vectors``, one row each.
 
     Vectors that are null, zero, empty or hold a null or non-finite component link
-    with nothing, nor does a row without an id (its component is null).  Ids are
-    taken to be unique; equal rows that repeat count as links of each other.
+    with nothing, nor does a row without an id (its component is null).  Equal rows
+    that repeat count as links of each other.  Where rows share an id but not the
+    vector, each has the links and the component of its own vector.
     """
     nodes = materialize(points(vectors, column))
-    found = materialize(links(nodes, cosine))
+    found = materialize(links(nodes.select("node", "n", "dim", "v"), cosine))
     numbers = found.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("near"))
     roots = components(found.where("b IS NOT NULL").select("a", "b"))
-    placed = nodes.select("node", "n").join(numbers, "node", "left").join(roots, "node", "left")
-    placed = placed.select("node", (F.col("n") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"), F.col("root"))
-    x = F.col(column).cast("array<double>")
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(valid(column), x).alias("x"))
-    # The same grouping as in points(): a row finds its class by the vector itself.
-    classes = rows.where("vec_id IS NOT NULL AND x IS NOT NULL").groupBy("x").agg(F.min("vec_id").alias("node"))
-    named = rows.join(classes, "x", "left").where("vec_id IS NOT NULL").join(placed, "node", "left")
-    whole = named.select(
-        "vec_id",
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce("root", "node", "vec_id").alias("component_id"),
-    )
-    nameless = rows.where("vec_id IS NULL").select(
-        "vec_id", F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long").alias("component_id")
-    )
+    placed = nodes.select("node", "h1", "h2", "least", "n").join(numbers, "node", "left").join(roots, "node", "left")
+    placed = placed.withColumn("root", F.coalesce("root", "node"))
+    smallest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    n_links = (F.col("n") - 1 + F.coalesce("near", F.lit(0))).cast("long").alias("n_links")
+    placed = placed.join(smallest, "root").select("h1", "h2", n_links, "component_id")
+    # A row finds its class by the key of its vector, unique there; a vector that very many rows share is split by AQE.
+    rows = _vectors(vectors, column).select("vec_id", F.col("x").isNotNull().alias("linked"), *_key("x"))
+    linked = F.col("linked") & F.col("vec_id").isNotNull()
+    whole = rows.where(linked).join(placed, ["h1", "h2"], "left").select("vec_id", "n_links", "component_id")
+    alone = rows.where(~linked).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     kept = F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept")
-    return whole.union(nameless).select("*", kept)
+    return whole.union(alone).select("*", kept)
 
 
 def embeddings_query(spark: SparkSession, sf_dir: str) -> DataFrame:
