@@ -20,8 +20,8 @@ UNKNOWN = "und"
 SAMPLE_TEXTS, SAMPLE_BYTES, DICTIONARY_BYTES = 400, 320, 64 * 1024
 #: Whole texts are compressed in blocks, so that a dictionary counts throughout a long text.
 BLOCK_BYTES = 8192
-#: A text of at least ``NARROW_BYTES`` is rejected when the runner-up is within this share of the smallest size.
-NARROW_MARGIN, NARROW_BYTES = 0.002, 256
+#: A text is rejected when the best language saves at most this share of the runner-up's bytes: always where both are equal.
+NARROW_MARGIN = 0.002
 #: Margin that scores a half.
 HALF_MARGIN = 0.02
 _PARAMETERS = {
@@ -48,7 +48,10 @@ class LanguageModel:
 
 
 def fit(docs: DataFrame, held: tuple[int, int] | None = None, text: str = "text", lang: str = "lang") -> LanguageModel:
-    """Learn dictionaries from ``SAMPLE_TEXTS`` windows per language; ids in the fold ``held`` take no part.
+    """Learn dictionaries from windows of about ``SAMPLE_TEXTS`` texts per language; ids in the fold ``held`` take no part.
+
+    A sampled text gives up to four windows of ``SAMPLE_BYTES``, apart from each other; they fill
+    ``DICTIONARY_BYTES`` in an order drawn by hash, and what is left over is not used.
 
     Rows with a null language or a text without letters teach nothing; with no row left
     the model has no language and predicts ``und`` everywhere.
@@ -70,7 +73,8 @@ def fit(docs: DataFrame, held: tuple[int, int] | None = None, text: str = "text"
         def kernel(ids: list, langs: list, texts: list):
             for i, g, t in zip(ids, langs, texts, strict=True):
                 content = t.lower().encode("utf-8", "replace")
-                step = max(1, len(content) // 4)
+                # Up to four windows a text, spread over it, none over another.
+                step = max(SAMPLE_BYTES, len(content) // 4)
                 for at in range(0, len(content), step):
                     yield hash_order(f"{i}:{at}"), g, content[at : at + SAMPLE_BYTES]
 
@@ -96,8 +100,9 @@ def predictor(model: LanguageModel) -> Callable[[Sequence[str | None]], list[tup
     """Kernel that gives (language, score, rejected) per text; made once per task.
 
     The score is margin / (margin + ``HALF_MARGIN``) where the margin is the share
-    by which the smallest size is below the next; a single language scores 1.  Null
-    texts and texts without a letter are ``und`` with score 0 and rejected.
+    by which the smallest size is below the next; a single language scores 1.  One rule
+    rejects at all lengths: a margin of ``NARROW_MARGIN`` or less.  Null texts and texts
+    without a letter are ``und`` with score 0 and rejected.
     """
     compressors = model.compressors()
 
@@ -116,8 +121,7 @@ def predictor(model: LanguageModel) -> Callable[[Sequence[str | None]], list[tup
             return model.languages[0], 1.0, False
         rival = min(found[:at] + found[at + 1 :])
         margin = (rival - best) / rival
-        rejected = len(content) >= NARROW_BYTES and margin < NARROW_MARGIN
-        return model.languages[at], margin / (margin + HALF_MARGIN), rejected
+        return model.languages[at], margin / (margin + HALF_MARGIN), margin <= NARROW_MARGIN
 
     return lambda texts: [one(t) for t in texts]
 
