@@ -29,6 +29,17 @@ def fold(doc_id: str, modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % modulus == remainder, F.lit(False))
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """``names``, made longer until no column of ``df`` has them."""
+    taken = {c.lower() for c in df.columns}
+    longer = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        longer.append(name)
+    return longer
+
+
 def small_batches(df: DataFrame) -> DataFrame:
     """``df``, in a session whose Arrow batches hold ``SLICE_ROWS`` rows at most.
 

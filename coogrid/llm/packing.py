@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.durable import materialize
-from .common import arrow_map
+from .common import arrow_map, unused
 from .tokens import VOCABULARY, encoder
 
 CAPACITY = 2048
@@ -230,18 +230,20 @@ def token_pieces(docs: DataFrame, text: str = "text", path: str = VOCABULARY, ca
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Add ``sequence_id, offset`` to pieces of lengths 1 to ``capacity``; other columns stay.
+    """Add ``sequence_id, offset`` to pieces of lengths 1 to ``capacity``; other columns stay, but for any of these two names.
 
     The histogram on the driver has at most ``capacity`` rows and the plan a number of
     runs bounded by it.  Pieces of equal length are numbered within salts, so a
     length that a third of all pieces have is still spread over all tasks; an
     empty table gives an empty result.
     """
-    pieces = materialize(pieces)
+    pieces = materialize(pieces.drop("sequence_id", "offset"))
+    salt, rank, before, n = unused(pieces, "__salt", "__rank", "__before", "__n")
     salts = max(1, int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    salted = pieces.withColumn("__salt", F.pmod(F.xxhash64(*pieces.columns), F.lit(salts)).cast("int"))
-    counts = salted.groupBy("length", "__salt").agg(F.count("*").alias("__n"))
-    histogram = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("__n")).collect()}
+    columns_ = [F.col(f"`{c}`") for c in pieces.columns]
+    salted = pieces.withColumn(salt, F.pmod(F.xxhash64(*columns_), F.lit(salts)).cast("int"))
+    counts = salted.groupBy("length", salt).agg(F.count("*").alias(n))
+    histogram = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum(n)).collect()}
     if any(not 0 < n <= capacity for n in histogram):
         raise ValueError(f"lengths must be from 1 to {capacity}")
     runs, _ = plan(histogram, capacity)
@@ -255,11 +257,11 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     begins = np.zeros(capacity + 2, np.int64)
     if len(runs):
         begins[: capacity + 1] = np.concatenate(([0], ends))[np.searchsorted(lengths, np.arange(capacity + 1))]
-    earlier = Window.partitionBy("length").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("length", "__salt", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
-    inside = Window.partitionBy("length", "__salt").orderBy(*pieces.columns)
-    ranked = salted.withColumn("__rank", F.row_number().over(inside) - 1).join(starts, ["length", "__salt"])
-    ranked = ranked.select(*pieces.columns, (F.col("__before") + F.col("__rank")).alias("__rank"))
+    earlier = Window.partitionBy("length").orderBy(salt).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("length", salt, F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(before))
+    inside = Window.partitionBy("length", salt).orderBy(*columns_)
+    ranked = salted.withColumn(rank, F.row_number().over(inside) - 1).join(starts, ["length", salt])
+    ranked = ranked.select(*columns_, (F.col(before) + F.col(rank)).alias(rank))
     kept = [f for f in pieces.schema.fields]
     names = pieces.columns
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "sequence_id long, offset long"])

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.durable import materialize
-from .common import arrow_map, components
+from .common import arrow_map, components, unused
 
 SHINGLE_WORDS, SEED, MOST_BITS = 3, 42, 2
 BYTES = 8
@@ -186,14 +186,16 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     id stay: no id tells them apart.
     """
     rows, named = _grouped(docs, "text")
-    kept = named.select(F.col("least.doc_id").alias("__id"), F.col("least.th").alias("__th")).distinct()
-    counts = rows.groupBy(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).count()
-    kept = kept.join(counts, ["__id", "__th"])
-    keyed = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__th": F.xxhash64(F.col("text").cast("string"))})
-    single = keyed.join(kept.where("count = 1"), ["__id", "__th"], "left_semi")
+    id_, th = unused(docs, "__id", "__th")
+    kept = named.select(F.col("least.doc_id").alias(id_), F.col("least.th").alias(th)).distinct()
+    counts = rows.groupBy(F.col("doc_id").alias(id_), F.col("th").alias(th)).agg(F.count("*").alias("__copies"))
+    kept = kept.join(counts, [id_, th])
+    keyed = docs.withColumns({id_: F.col("doc_id").cast("long"), th: F.xxhash64(F.col("text").cast("string"))})
+    single = keyed.join(kept.where("__copies = 1"), [id_, th], "left_semi")
     # Repeats of whole (id, text) pairs: the pre-aggregated first row, however many there are.
-    repeated = keyed.join(kept.where("count > 1"), ["__id", "__th"], "left_semi").dropDuplicates(["__id", "__th"])
-    return single.unionByName(repeated).unionByName(keyed.where(F.col("__id").isNull())).drop("__id", "__th")
+    repeated = keyed.join(kept.where("__copies > 1"), [id_, th], "left_semi").dropDuplicates([id_, th])
+    whole = single.unionByName(repeated).unionByName(keyed.where(F.col(id_).isNull()))
+    return whole.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def simhash_query(spark: SparkSession, sf_dir: str) -> DataFrame:
