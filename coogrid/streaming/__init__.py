@@ -1,5 +1,5 @@
 """Live variants of the measurement operators."""
 
-from .live import live_section_memory
+from .live import closed_section_memory, live_section_memory
 
-__all__ = ["live_section_memory"]
+__all__ = ["closed_section_memory", "live_section_memory"]

@@ -2,16 +2,78 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import sys
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState
 
 from ..functions.timecols import micros
+from ..operators.intervals import FAN, cells_above, covering
 from ..operators.order import int_div
+from ..plans.skew import BROADCAST_KEYS
+
+# Kernels travel with their code, so executors need not have the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: Cells that a section of mean length touches, about, and parts that the sections of a cell are dealt to.
+#: Finest cells that a short section touches, about, and parts that samples are dealt to where sections are many.
 SECTION_CELLS, PARTS = 8, 16
-#: Most cells over the span of all sections.
-MOST_CELLS = 1 << 30
+
+
+class _Placed:
+    """Sections on the cells of a tower over time: a bounded number of cells a level, however long a section is.
+
+    The finest cells are sized from a short section (the tenth part is shorter); a
+    sample is copied only to levels that some section uses.  A table of few cells
+    goes to every task; otherwise samples are dealt to ``parts`` parts by hash and every
+    part has a copy of the sections, so that what arrives at one moment is spread.
+    """
+
+    def __init__(self, experiments: DataFrame, cells: int | None, parts: int):
+        spans = experiments.select("section_id", micros("t_begin").alias("__b"), micros("t_end").alias("__e"))
+        spans = spans.where("__b <= __e")
+        length = F.percentile_approx(F.col("__e") - F.col("__b"), 0.1)
+        row = spans.agg(F.min("__b").alias("lo"), F.max("__e").alias("hi"), length.alias("length")).first()
+        self.lo, self.hi = row["lo"] or 0, row["hi"] or 0
+        span = self.hi - self.lo + 1
+        self.width = max(1, -(-span // cells) if cells else (row["length"] or 0) // SECTION_CELLS)
+        levels = 1
+        while FAN**levels * self.width < span:
+            levels += 1
+        whole = covering(self._cell(F.col("__b")), self._cell(F.col("__e")) + 1, levels)
+        placed = spans.withColumn("__c", F.explode(whole)).select(
+            "section_id", "__b", "__e", F.col("__c.level").alias("__level"), F.col("__c.cell").alias("__cell")
+        )
+        counted = placed.groupBy("__level").count().collect()  # one row a level
+        self.levels = sorted(r[0] for r in counted)
+        few = sum(r[1] for r in counted) <= BROADCAST_KEYS
+        self.parts = 1 if few else parts
+        copies = placed.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(self.parts - 1))))
+        self.table = F.broadcast(copies) if few else copies
+
+    def _cell(self, us: Column) -> Column:
+        return int_div(us - F.lit(self.lo), self.width)
+
+    def met(self, stream: DataFrame, *columns: Column, how: str = "inner") -> DataFrame:
+        """``section_id, __e, __t`` and ``columns`` for every sample inside a section, both ends included.
+
+        With ``how="left"`` samples outside all sections stay too, under no section.
+        """
+        t = F.col("__t")
+        samples = stream.select(micros("ts").alias("__t"), *columns).where("__t IS NOT NULL")
+        names = samples.columns
+        samples = samples.withColumn("__c", F.explode(cells_above(self._cell(t), self.levels)))
+        part = F.pmod(F.xxhash64(*names), F.lit(self.parts)).cast("int").alias("__part")
+        samples = samples.select(*names, F.col("__c.level").alias("__level"), F.col("__c.cell").alias("__cell"), part)
+        table = self.table.withColumnsRenamed({c: c + "_" for c in ("__level", "__cell", "__part")})
+        same = [F.col(c) == F.col(c + "_") for c in ("__level", "__cell", "__part")]
+        met = samples.join(table, [*same, t >= F.col("__b"), t <= F.col("__e")], how)
+        return met.select("section_id", "__e", *names)
 
 
 def live_section_memory(
@@ -19,37 +81,135 @@ def live_section_memory(
 ) -> DataFrame:
     """``section_id, samples, min_mib, max_mib, used_mib`` of a stream of samples ``ts, used_mib``.
 
-    The sections are a static table and meet the stream on time cells, sized from the
-    mean length of a section.  What arrives at one moment lies in one cell, so the
-    sections of a cell are dealt to ``parts`` parts and a sample goes to each: the
-    work of a moment is spread without relying on a re-plan inside the stream.
-    State is one row per section, combined map-side before it shuffles; write it in
-    update or complete mode.  While a section is open its newest sample counts too:
-    which one closes it is known only to the batch operator.
+    The sections are a static table and meet the stream on the cells of a tower over
+    time.  State is one row per section, combined map-side before it shuffles; write
+    it in update or complete mode.  While a section is open its newest sample counts
+    too: see :func:`closed_section_memory` for final figures.
     """
-    bounds = experiments.agg(F.min("t_begin").alias("lo"), F.max("t_end").alias("hi"))
-    row = bounds.select(micros("lo").alias("lo"), micros("hi").alias("hi")).first()
-    lo, hi = row["lo"] or 0, row["hi"] or 0
-    spans = experiments.select("section_id", micros("t_begin").alias("__b"), micros("t_end").alias("__e"))
-    spans = spans.where("__b <= __e")
-    if cells is None:
-        length = spans.agg(F.avg(F.col("__e") - F.col("__b"))).first()[0] or 0
-        cells = min(MOST_CELLS, int(SECTION_CELLS * (hi - lo + 1) / (length + 1)) + 1)
-    width = max(1, -(-(hi - lo + 1) // cells))
-
-    def cell(us):
-        return int_div(us - F.lit(lo), width)
-
-    spans = spans.withColumn("__cell", F.explode(F.sequence(cell(F.col("__b")), cell(F.col("__e")))))
-    spans = spans.withColumn("__part", F.pmod(F.xxhash64("section_id"), F.lit(parts)).cast("int"))
-    t = F.col("__t")
-    samples = stream.select(micros("ts").alias("__t"), F.col(used).alias("__u"))
-    samples = samples.where((t >= lo) & (t <= hi)).withColumn("__cell", cell(t))
-    samples = samples.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    met = samples.join(spans, ["__cell", "__part"]).where((t >= F.col("__b")) & (t <= F.col("__e")))
+    met = _Placed(experiments, cells, parts).met(stream, F.col(used).alias("__u"))
     return met.groupBy("section_id").agg(
         F.count(F.lit(1)).alias("samples"),
         F.min("__u").alias("min_mib"),
         F.max("__u").alias("max_mib"),
         (F.max("__u") - F.min("__u")).alias("used_mib"),
     )
+
+
+# Figures of some samples: their number, how many have a value, the least and the greatest value (0 without any).
+Figures = tuple[int, int, float, float]
+_NAMES = ("n", "v", "lo", "hi")
+
+
+def _plus(a: Figures, b: Figures) -> Figures:
+    if not a[1] or not b[1]:
+        return (a[0] + b[0], *(a if a[1] else b)[1:])
+    return a[0] + b[0], a[1] + b[1], min(a[2], b[2]), max(a[3], b[3])
+
+
+def _merge(a: tuple, b: tuple) -> tuple:
+    """Two parts of a section as one: time and number of its last sample, figures of the others, figures of the last.
+
+    The last sample of a section is left out, and which one it is shows only when all
+    have arrived; so it is held apart, and joins the others when a later one comes.
+    """
+    if a[:2] < b[:2]:
+        a, b = b, a
+    if a[:2] == b[:2]:
+        return (*a[:2], _plus(a[2], b[2]), _plus(a[3], b[3]))
+    return (*a[:2], _plus(_plus(a[2], b[2]), b[3]), a[3])
+
+
+def _reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per section and batch: the part of :func:`_merge`, in columns."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        coded = batch.column(0).dictionary_encode(null_encoding="encode")
+        at, k = coded.indices.to_numpy(), len(coded.dictionary)
+        end, t, seq = (batch.column(i).fill_null(0).to_numpy() for i in (1, 2, 3))
+        valid = batch.column(4).is_valid().to_numpy(zero_copy_only=False)
+        u = batch.column(4).fill_null(0).to_numpy()
+        bounds = np.iinfo(u.dtype) if u.dtype.kind == "i" else np.finfo(u.dtype)
+
+        def extreme(over, where, values, start):
+            out = np.full(k, start, values.dtype)
+            over.at(out, at[where], values[where])
+            return out
+
+        every = np.ones(len(at), bool)
+        last = extreme(np.maximum, every, t, np.iinfo(np.int64).min)
+        at_last = t == last[at]
+        number = extreme(np.maximum, at_last, seq, np.iinfo(np.int64).min)
+        held = at_last & (seq == number[at])
+        columns = [coded.dictionary, extreme(np.maximum, every, end, np.iinfo(np.int64).min), last, number]
+        for part in (~held, held):
+            ok = part & valid
+            v = np.bincount(at[ok], minlength=k)
+            lo, hi = extreme(np.minimum, ok, u, bounds.max), extreme(np.maximum, ok, u, bounds.min)
+            columns += [np.bincount(at[part], minlength=k), v, np.where(v > 0, lo, 0), np.where(v > 0, hi, 0)]
+        columns.append(pa.array(last, pa.timestamp("us", tz="UTC")))
+        names = ["section_id", "end", "t", "seq", *_NAMES, *("h" + n for n in _NAMES), "event"]
+        arrays = [c if isinstance(c, pa.Array) else pa.array(c) for c in columns]
+        yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+
+def closed_section_memory(
+    stream: DataFrame,
+    experiments: DataFrame,
+    delay: str = "10 seconds",
+    used: str = "used_mib",
+    cells: int | None = None,
+    parts: int = PARTS,
+) -> DataFrame:
+    """``section_id, samples, min_mib, max_mib, used_mib``, once for every section that is over; append mode.
+
+    A section is over when the event-time watermark (the newest ``ts`` less ``delay``) has
+    passed its end.  Its figures are then those of the batch operator: the last sample
+    up to the end is left out (with ``seq``, of one instant the one numbered highest;
+    without, the whole last instant), and values are NULL where no sample is left.
+    The state of a section is one row, and it is freed when the section is over.
+
+    Samples that come after a section was emitted are ignored for it.  A section that
+    no sample met is not emitted.  Tasks combine their samples per section before the
+    shuffle, so a long section with most of the samples is no hot key.
+    """
+    kind = "double" if dict(stream.dtypes)[used] in ("double", "float") else "long"
+    number = (F.col("seq").cast("long") if "seq" in stream.columns else F.lit(0).cast("long")).alias("__seq")
+    # Samples outside all sections move the watermark as well: they stay, under no section.
+    met = _Placed(experiments, cells, parts).met(stream, number, F.col(used).cast(kind).alias("__u"), how="left")
+    met = met.select("section_id", "__e", "__t", "__seq", "__u")
+    id_type = dict(experiments.dtypes)["section_id"]
+    figures = f"n long, v long, lo {kind}, hi {kind}, hn long, hv long, hlo {kind}, hhi {kind}"
+    reduced = met.mapInArrow(_reduced, f"section_id {id_type}, `end` long, t long, seq long, {figures}, event timestamp")
+    reduced = reduced.withWatermark("event", delay)
+
+    def result(key: tuple, part: tuple) -> pd.DataFrame:
+        n, v, lo, hi = part[2]
+        none = pd.Series([None], dtype=object)
+        row = {"section_id": [key[0]], "samples": [n], "min_mib": [lo] if v else none, "max_mib": [hi] if v else none}
+        return pd.DataFrame(row | {"used_mib": [hi - lo] if v else none})
+
+    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = None
+        if pd.isna(key[0]):
+            return
+        if state.exists:
+            t, seq, *f = state.get
+            held = (t, seq, tuple(f[:4]), tuple(f[4:8]))
+        if state.hasTimedOut:
+            state.remove()
+            yield result(key, held)
+            return
+        close = None
+        for frame in frames:
+            for end, t, seq, *f in frame.drop(columns=["section_id", "event"]).itertuples(index=False, name=None):
+                close = -(-int(end) // 1000)
+                part = (int(t), int(seq), tuple(x.item() if hasattr(x, "item") else x for x in f[:4]), tuple(f[4:]))
+                held = part if held is None else _merge(held, part)
+        if close is not None and state.getCurrentWatermarkMs() <= close:
+            state.update((held[0], held[1], *held[2], *held[3]))
+            state.setTimeoutTimestamp(close)
+
+    value = f"section_id {id_type}, samples long, min_mib {kind}, max_mib {kind}, used_mib {kind}"
+    grouped = reduced.groupBy("section_id")
+    return grouped.applyInPandasWithState(update, value, f"t long, seq long, {figures}", "append", "EventTimeTimeout")

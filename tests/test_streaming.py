@@ -1,9 +1,13 @@
 import datetime as dt
+import random
+from pathlib import Path
 
 import pytest
 from helpers import rows
 
-from coogrid.streaming import live_section_memory
+import coogrid as cg
+from coogrid.streaming import closed_section_memory, live_section_memory
+from coogrid.streaming import live
 
 T0 = dt.datetime(2024, 5, 1)
 
@@ -41,3 +45,71 @@ def test_live_sections_grow_with_the_stream(spark, tmp_path, mode):
         assert {r[0]: r for r in sorted(latest, key=lambda r: r[1])} == {0: (0, 3, 4, 7, 3), 1: (1, 3, 4, 20, 16)}
     finally:
         query.stop()
+
+
+SECTIONS = "section_id bigint, t_begin timestamp_ntz, t_end timestamp_ntz"
+
+
+@pytest.mark.parametrize("tied,few", [(True, 100_000), (False, 0)])
+def test_closed_sections_equal_the_batch(spark, tmp_path, monkeypatch, tied, few):
+    monkeypatch.setattr(live, "BROADCAST_KEYS", few)
+    rng = random.Random(5)
+    # Short sections, one over everything, one between samples, one before all, one not over at the end.
+    spans = [(i, at(rng.randrange(200)), at(rng.randrange(200))) for i in range(40)]
+    spans += [(50, at(0), at(200)), (51, at(3.2), at(3.4)), (52, at(-9), at(-5)), (53, at(100), at(5000)), (54, at(7), at(7))]
+    sections = spark.createDataFrame(spans, SECTIONS)
+    times = sorted(rng.choice([rng.uniform(0, 230), rng.randrange(230)]) for _ in range(500)) + [400.0]
+    samples = [(at(t), rng.choice([None, rng.randrange(100)]), i) for i, t in enumerate(times)]
+    schema = "ts timestamp_ntz, used_mib bigint, seq bigint" if tied else "ts timestamp_ntz, used_mib bigint"
+    kept = [s if tied else s[:2] for s in samples]
+    inbox = str(tmp_path / "in")
+    Path(inbox).mkdir()
+    stream = spark.readStream.schema(schema).parquet(inbox)
+    name = f"closed_{tied}"
+    query = (
+        closed_section_memory(stream, sections, delay="20 seconds")
+        .writeStream.outputMode("append").format("memory").queryName(name)
+        .option("checkpointLocation", str(tmp_path / "state")).start()
+    )
+    held = []
+    try:
+        # Five deliveries, each a little out of order, the last one far ahead.
+        for k in range(0, 500, 125):
+            part = kept[k : k + 125]
+            rng.shuffle(part)
+            spark.createDataFrame(part, schema).repartition(3).write.mode("append").parquet(inbox)
+            query.processAllAvailable()
+            held.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
+        spark.createDataFrame(kept[500:], schema).write.mode("append").parquet(inbox)
+        query.processAllAvailable()
+        held.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
+        cols = ("section_id", "samples", "min_mib", "max_mib", "used_mib")
+        got = rows(spark.table(name), *cols)
+    finally:
+        query.stop()
+    batch = {r[0]: r for r in rows(cg.section_memory(spark.createDataFrame(kept, schema), sections), *cols)}
+    assert len({r[0] for r in got}) == len(got) > 20
+    assert got == [batch[r[0]] for r in got]
+    # Whoever is missing is still open or met no sample.
+    assert all(k == 53 or batch[k][1] == 0 for k in set(batch) - {r[0] for r in got})
+    assert max(held) > 5 and held[-1] == 1
+
+
+def test_late_samples_do_not_reopen_a_section(spark, tmp_path):
+    schema = "ts timestamp_ntz, used_mib double"
+    sections = spark.createDataFrame([(0, at(1), at(5)), (1, at(1), at(500))], SECTIONS)
+    inbox = str(tmp_path / "in")
+    Path(inbox).mkdir()
+    stream = spark.readStream.schema(schema).parquet(inbox)
+    query = (
+        closed_section_memory(stream, sections, delay="1 second")
+        .writeStream.outputMode("append").format("memory").queryName("late")
+        .option("checkpointLocation", str(tmp_path / "state")).start()
+    )
+    try:
+        for part in ([(at(1), 2.5), (at(2), 4.0), (at(3), 9.0)], [(at(60), 1.0)], [(at(4), 100.0), (at(61), 1.0)]):
+            spark.createDataFrame(part, schema).write.mode("append").parquet(inbox)
+            query.processAllAvailable()
+        assert rows(spark.table("late"), "section_id", "samples", "min_mib", "max_mib") == [(0, 2, 2.5, 4.0)]
+    finally:
+        query.stop()
