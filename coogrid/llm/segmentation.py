@@ -14,6 +14,7 @@ import re
 import zlib
 from collections.abc import Callable, Iterator
 from itertools import product
+from struct import pack
 
 import numpy as np
 import public_tokenizers
@@ -72,19 +73,19 @@ class Pieces:
             if found is _NOTHING:
                 return
 
-    def leader(self, word: str) -> tuple[float, float, bytes]:
-        """Score of the best segmentation, what the second best loses, and the best ids (32-bit).
+    def leader(self, word: str) -> tuple[float, float, bytes, bool]:
+        """Score of the best segmentation, what the second best loses, the best ids (32-bit), and whether they spell the word.
 
         Read backwards, the second best follows the best down to some place and
         leaves it there by another arc, so it loses what the best such arc loses.
         """
-        n, matches, longest = len(word), self.matches, self.longest
+        n, get, longest, nothing = len(word), self.matches.get, self.longest, _NOTHING
         reach, second = [0.0] + [_NEVER] * n, [_NEVER] * (n + 1)
         back: list = [None] * (n + 1)
         for i in range(n):
             here = reach[i]
             for j in range(i + 1, min(n, i + longest) + 1):
-                found = matches.get(word[i:j], _NOTHING)
+                found = get(word[i:j], nothing)
                 if found:
                     score = here + found[1]
                 elif j == i + 1:
@@ -97,15 +98,22 @@ class Pieces:
                     second[j], reach[j], back[j] = reach[j], score, (i, found)
                 elif score > second[j]:
                     second[j] = score
-                if found is _NOTHING:
+                if found is nothing:
                     break
         place, loss, ids = n, np.inf, []
         while place:
-            loss = min(loss, reach[place] - second[place])
+            lost = reach[place] - second[place]
+            if lost < loss:
+                loss = lost
             start, found = back[place]
-            ids += (found[0],) if found else reversed(self.spelt(word[start]))
+            if found:
+                ids.append(found[0])
+            else:
+                ids += reversed(self.spelt(word[start]))
             place = start
-        return reach[n], loss, np.array(ids[::-1], "<u4").tobytes()
+        ids.reverse()
+        spelt = b"".join(map(self.spelling.__getitem__, ids)) == word.encode("utf-8", "replace")
+        return reach[n], loss, pack(f"<{len(ids)}I", *ids), spelt
 
     def search(self, word: str, best: int = BEST) -> list[tuple[float, bytes]]:
         """Scores and ids of the best segmentations of one word (or any string), best first.
@@ -172,23 +180,25 @@ def segmenter(pieces: Pieces, best: int = BEST) -> Callable[[str | None], list[P
 
     def segment(text: str | None) -> list[Path]:
         spelt = _WORD.findall(normalised(text or ""))
-        chain = list(map(words.__getitem__, spelt))
-        total = sum(c[0] for c in chain)
-        ids = [c[2] for c in chain]
+        scores, losses, ids, sound = map(list, zip(*map(words.__getitem__, spelt), strict=True)) if spelt else ([], [], [], [])
+        total = sum(scores)
+        # Words that spell themselves spell the text, but for a mark of its own, which decoding takes for a space.
+        whole_text = all(sound) and SPACE not in (text or "")
         # Of combinations that lose least, every word that departs from its best is among the
         # best - 1 words whose second path loses least: as many single departures lose no more.
-        losses = np.array([c[1] for c in chain])
-        places = sorted(k for k in np.argsort(losses, kind="stable")[: best - 1].tolist() if losses[k] < np.inf)
+        least = sorted(losses)[: best - 1]
+        near = [k for k, loss in enumerate(losses) if loss <= least[-1]] if least else []
+        places = sorted(k for k in sorted(near, key=losses.__getitem__)[: best - 1] if losses[k] < np.inf)
         paths = {k: rivals[spelt[k]] for k in places}
         choices = product(*(range(len(paths[k][0])) for k in places))
-        ranked = sorted((sum(chain[k][0] - paths[k][0][c][0] for k, c in zip(places, cs, strict=True)), cs) for cs in choices)
+        ranked = sorted((sum(scores[k] - paths[k][0][c][0] for k, c in zip(places, cs, strict=True)), cs) for cs in choices)
         found: list[Path] = []
         for loss, cs in ranked[:best]:
             for k, c in zip(places, cs, strict=True):
                 ids[k] = paths[k][0][c][1]
             whole = np.frombuffer(b"".join(ids), "<u4")
             # Other paths differ from the first in the searched words alone.
-            same = found[0][2] and all(paths[k][1] for k in places) if found else pieces.decode(whole) == (text or "")
+            same = found[0][2] and all(paths[k][1] for k in places) if found else whole_text
             found.append((total - loss, whole, same))
         return found
 
@@ -211,7 +221,7 @@ def segment_documents(docs: DataFrame, text: str = "text", path: str = MODEL, be
         def kernel(doc_ids: list, texts: list) -> Iterator[tuple]:
             for i, t in zip(doc_ids, texts, strict=True):
                 paths = segment(t)
-                crcs = [zlib.crc32(ids.tobytes()) for _, ids, _ in paths]
+                crcs = [zlib.crc32(ids) for _, ids, _ in paths]
                 scores = ",".join(f"{s:.0f}" for s, _, _ in paths)
                 same = all(p[2] for p in paths)
                 yield i, len(paths[0][1]), crcs[0], paths[0][0], scores, ",".join(map(str, crcs)), same
