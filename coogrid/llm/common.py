@@ -10,7 +10,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.durable import materialize
+from ..plans.durable import drop_cut, materialize
 
 # Kernels travel with their code, so executors need not have the package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__package__])
@@ -120,8 +120,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     node move to its smallest neighbour, in the small step the smaller ones do.
     Every step is one pre-aggregated minimum per node and one equi-join, so a hub
     with most of the edges is split by the join and never gathered.  Each step is
-    kept in the shared folder; the loop ends when a round changes nothing.
+    kept in the shared folder until the next one is complete; the loop ends when a
+    round changes nothing.
     """
+
+    def kept(new: DataFrame, old: DataFrame) -> DataFrame:
+        new = materialize(new)
+        drop_cut(old)
+        return new
+
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     e = materialize(e)
     state = _digest(e)
@@ -129,11 +136,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = materialize(large.where("u <> v").distinct())
+        e = kept(large.where("u <> v").distinct(), e)
         least = e.groupBy("u").agg(F.min("v").alias("m"))
         small = e.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.union(least.select("u", F.col("m").alias("v")))
-        e = materialize(small.distinct())
+        e = kept(small.distinct(), e)
         now = _digest(e)
         if now == state:
             break

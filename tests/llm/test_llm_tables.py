@@ -108,6 +108,18 @@ def test_components_of_a_path_a_star_and_a_loop(spark):
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+def cuts(spark):
+    root = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    return {p for p in root.glob("*/rdd-*")} | {p for p in root.glob("coogrid/*")}
+
+
+def test_components_leave_one_cut(spark):
+    before = cuts(spark)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(200)], "a long, b long")
+    assert components(edges).where("root <> 0").count() == 0
+    assert len(cuts(spark) - before) == 1
+
+
 # --- embeddings
 
 
