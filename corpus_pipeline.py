@@ -9,7 +9,7 @@ from coogrid.llm.packing import packing_stage
 from coogrid.llm.pii import pii_stage
 from coogrid.llm.simhash import simhash_stage
 from coogrid.llm.toxicity import toxicity_stage
-from coogrid.plans.durable import scratch_path
+from coogrid.plans.durable import drop_path, scratch_path
 
 #: Name and function (spark, docs, sf_dir) of each stage, in order.
 STAGES = [
@@ -25,10 +25,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole documents table."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the whole documents table; the table of a stage goes when the next one is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         path = scratch_path(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            drop_path(spark, before)
+        before = path
     return docs
