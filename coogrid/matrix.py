@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
@@ -28,6 +29,10 @@ def _checked(index: Column, size: int, what: str) -> Column:
     return F.coalesce(F.when(inside, index).otherwise(F.raise_error(message)), F.lit(-1))
 
 
+#: Steps of a plan that are not worth running twice.
+_COSTLY = re.compile(r"^\W*(Join|Generate|Window|MapIn\w+|FlatMap\w+)\b", re.MULTILINE)
+
+
 @dataclass(frozen=True)
 class Matrix:
     """Entries ``(row_id BIGINT, col_id BIGINT[, val])`` without duplicates, 0-based.
@@ -139,6 +144,15 @@ class Matrix:
             df = df.repartition(*by).sortWithinPartitions(*by)
         return replace(self, df=materialize(df), raw=None)
 
+    def once(self, by: Sequence[str] = ()) -> Matrix:
+        """This matrix, kept in the shared folder and laid out by ``by`` where working it out again would cost.
+
+        A cached or kept frame and one that only scans, filters and drops repeats stay as
+        they are; one with a join, a window or code of its own is evaluated here, once.
+        """
+        plan = self.sizing()._jdf.queryExecution().withCachedData().toString()
+        return self.materialized(by) if _COSTLY.search(plan) and "InMemoryRelation" not in plan else self
+
     def require_same_shape(self, other: Matrix) -> None:
         if self.shape != other.shape:
             raise ValueError(f"shapes differ: {self.shape} and {other.shape}")

@@ -16,13 +16,15 @@ from pyspark.sql import functions as F
 
 from ..functions.semiring import Semiring, semiring as resolve
 from ..matrix import COL, ROW, VAL, Matrix
-from ..plans.durable import scratch_path
+from ..plans.durable import drop_path, path_exists, scratch_path
 from ..plans.skew import CELL_ROWS, GRID_COL, GRID_ROW, grid_of, spread_join
 
 #: Join hints behind the ``strategy`` argument; None leaves the choice to Catalyst and AQE.
 STRATEGIES = {None: None, "hash": "shuffle_hash", "merge": "merge"}
 
 
+#: Entries of the matrices that one job squares, about.
+BATCH_ENTRIES = 1 << 30
 #: Pairs of a Kronecker cell at least.
 LEAST_CELL = 1 << 16
 
@@ -75,6 +77,16 @@ def _require_inner(A: Matrix, B: Matrix) -> None:
         raise ValueError(f"inner dimensions differ: {A.shape} times {B.shape}")
 
 
+def _operands(A: Matrix, B: Matrix, split: bool) -> tuple[Matrix, Matrix]:
+    """Both operands, ready to be read twice."""
+    if not split:
+        return A, B
+    if A is B:
+        kept = A.once()
+        return kept, kept
+    return A.once([COL]), B.once([ROW])
+
+
 def mxm(
     A: Matrix,
     B: Matrix,
@@ -90,15 +102,24 @@ def mxm(
     ``or_and`` and ``any_pair`` give the pattern; ``plus_times`` and the other valued
     semirings keep every structurally present cell, also one whose sum is 0.  A
     pattern operand counts as ones.  Hub indices are counted before the product is
-    planned, so an operand that is itself costly to make should be persisted or
-    materialized; ``split=False`` skips the count.
+    planned; an operand that is itself costly to make (a product) is laid out by the
+    inner index first, counted on that layout and joined from it, so it is evaluated
+    once.  ``split=False`` skips the count.
     """
     _require_inner(A, B)
+    A, B = _operands(A, B, split)
     sr = resolve(semiring, mul, add)
     paths = _products(A.df, B.df, [], sr, strategy, split, cell, (A.sizing(), B.sizing()))
     return Matrix(_reduce(paths, [], sr), A.nrows, B.ncols)
 
 
+def mxm_paths(A: Matrix, B: Matrix, split: bool = True) -> DataFrame:
+    """``row_id, col_id`` of every path of ``A . B``, repeats kept."""
+    _require_inner(A, B)
+    A, B = _operands(A, B, split)
+    return _products(A.df, B.df, [], resolve("or_and"), None, split, None, (A.sizing(), B.sizing()))
+
+
 def mxm_add(
     A: Matrix,
     B: Matrix,
@@ -112,6 +133,7 @@ def mxm_add(
     _require_inner(A, B)
     if C.shape != (A.nrows, B.ncols):
         raise ValueError(f"addend is {C.shape}, product is {(A.nrows, B.ncols)}")
+    A, B = _operands(A, B, split)
     sr = resolve(semiring)
     paths = _products(A.df, B.df, [], sr, strategy, split, cell, (A.sizing(), B.sizing()))
     if not sr.pattern_only and not C.valued:
@@ -126,16 +148,43 @@ def square_entries(entries: DataFrame, ids: Sequence[str] = ("matrix_id",), spli
     return _reduce(_products(entries, entries, list(ids), sr, None, split, None), ids, sr)
 
 
-def square_workload(entries: DataFrame, out: str | None = None) -> DataFrame:
-    """Square all matrices of a workload in one job and keep them, one folder per matrix.
-
-    The rebalance before the write gives files of even size: a matrix that holds
-    most of the result is written by many tasks, small ones by one each.
+def square_workload(
+    entries: DataFrame, out: str | None = None, resume: bool = False, batch: int = BATCH_ENTRIES
+) -> DataFrame:
+    """Square all matrices of a workload and keep them, one folder per matrix.
+
+    Matrices are squared in batches of about ``batch`` entries, a larger one alone; a
+    batch is one job.  When a batch is complete its matrices are marked as done below
+    ``out``; with ``resume`` those marked before are not squared again, and a batch that
+    broke off is written anew, without it ``out`` is emptied first.  The rebalance before
+    the write gives files of even size: a matrix that holds most of the result is
+    written by many tasks, small ones by one each.
     """
-    out = out or scratch_path(entries.sparkSession, "squares")
-    squares = square_entries(entries).hint("rebalance", "matrix_id")
-    squares.write.mode("overwrite").partitionBy("matrix_id").parquet(out)
-    return entries.sparkSession.read.schema("row_id bigint, col_id bigint, matrix_id string").parquet(out)
+    spark = entries.sparkSession
+    out = out or scratch_path(spark, "squares")
+    marks = f"{out}/_done"
+    done: set = set()
+    if not resume:
+        drop_path(spark, out)
+    elif path_exists(spark, marks):
+        done = {r[0] for r in spark.read.parquet(marks).collect()}  # one row per matrix
+    sizes = entries.groupBy("matrix_id").count().orderBy("matrix_id").collect()  # one row per matrix
+    batches: list[list] = []
+    held = batch
+    for matrix_id, n in ((str(r[0]), r[1]) for r in sizes if str(r[0]) not in done):
+        if held + n > batch:
+            batches.append([])
+            held = 0
+        batches[-1].append(matrix_id)
+        held += n
+    every = len(batches) == 1 and not done
+    for ids in batches:
+        part = entries if every else entries.where(F.col("matrix_id").isin(ids))
+        squares = square_entries(part).hint("rebalance", "matrix_id").write.mode("overwrite")
+        squares.option("partitionOverwriteMode", "dynamic").partitionBy("matrix_id").parquet(out)
+        spark.createDataFrame([(i,) for i in ids], "matrix_id string").coalesce(1).write.mode("append").parquet(marks)
+    schema = "row_id bigint, col_id bigint, matrix_id string"
+    return spark.read.schema(schema).parquet(out) if path_exists(spark, out) else spark.createDataFrame([], schema)
 
 
 def kronecker(A: Matrix, B: Matrix) -> Matrix:

@@ -4,14 +4,15 @@ The vectors of one solve live in one table ``idx, x, r, p, ...``, so an iteratio
 is a product with A plus column arithmetic; the driver holds scalars only.  A is
 laid out by column index once and kept in the shared folder; every iteration ends
 in the shared folder too, so its lineage stays one step long and a lost executor
-costs one step at most.
+costs one step at most.  The scalars of an iteration are sums observed while its
+vectors are being kept, so the state is not read again for them.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..matrix import COL, ROW, VAL, Matrix, _checked
@@ -20,6 +21,10 @@ from ..plans.skew import Stripes
 from .vector import IDX, diagonal
 
 
+#: Share of a sum of squares below which a difference of such sums is not trusted.
+_CANCELLED = 1e-8
+
+
 @dataclass(frozen=True)
 class Solution:
     """Result vector and how it was reached; running out of iterations is not an error."""
@@ -94,11 +99,13 @@ class _State:
         self.df = self._cut
         drop_cut(old)
 
-    def with_product(self, op: _Operator, v: Column, out: str) -> DataFrame:
+    def with_product(self, op: _Operator, v: Column, out: str, **sums: Column) -> dict[str, float]:
+        """Add ``out`` = A ``v`` to the state, keep it, and return the sums over it: one action."""
         product = op.times(self.df.select(IDX, v.alias("v"))).withColumnRenamed("q", out)
-        joined = self.df.join(product, IDX, "left")
-        self.keep(joined.withColumn(out, F.coalesce(out, F.lit(0.0))))
-        return self.df
+        joined = self.df.join(product, IDX, "left").withColumn(out, F.coalesce(out, F.lit(0.0)))
+        seen = Observation()
+        self.keep(joined.observe(seen, *(F.sum(e).alias(n) for n, e in sums.items())))
+        return {n: float(seen.get[n] or 0.0) for n in sums}
 
 
 def cg(
@@ -115,27 +122,25 @@ def cg(
     Stops when the residual norm falls to ``max(rtol * |b - A x0|, atol)``, at once where it is 0.
     """
     op = _Operator(A)
-    r, p, m = F.col("r"), F.col("p"), F.col("m")
-    start = _start(A, b, precond, x0, op).select(
-        IDX, "x", F.col("b").alias("r"), "m", (m * F.col("b")).alias("p")
-    )
+    x, r, p, s, w, m = (F.col(c) for c in "xrpswm")
+    zero = F.lit(0.0)
+    start = _start(A, b, precond, x0, op).select(IDX, "x", F.col("b").alias("r"), "m", zero.alias("p"), zero.alias("s"))
     kept = _State(start)
-    state = kept.df
-    first = _scalars(state, rr=r * r, rz=r * r * m)
-    norm, rz = first["rr"] ** 0.5, first["rz"]
+    # Each iteration multiplies the preconditioned residual, so both of its scalar products come from one pass;
+    # the product with the direction follows by recurrence.
+    sums = {"rr": r * r, "rz": r * r * m, "curvature": m * r * w}
+    at = kept.with_product(op, m * r, "w", **sums)
+    norm, rz, curvature, beta = at["rr"] ** 0.5, at["rz"], at["curvature"], 0.0
     goal, done = max(rtol * norm, atol), 0
-    while norm > goal and done < max_iter:
-        kept.df = state
-        state = kept.with_product(op, p, "q")
-        curvature = _scalars(state, pq=p * F.col("q"))["pq"]
-        if curvature == 0.0:
-            break
-        step = F.lit(rz / curvature)
-        state = state.withColumns({"x": F.col("x") + step * p, "r": r - step * F.col("q")})
-        now = _scalars(state, rr=r * r, rz=r * r * m)
-        state = state.withColumn("p", m * r + F.lit(now["rz"] / rz if rz else 0.0) * p).drop("q")
-        norm, rz, done = now["rr"] ** 0.5, now["rz"], done + 1
-    return Solution(state.select(IDX, F.col("x").alias(VAL)), done, norm, norm <= goal)
+    while norm > goal and done < max_iter and curvature != 0.0:
+        step = rz / curvature
+        state = kept.df.withColumns({"p": m * r + F.lit(beta) * p, "s": w + F.lit(beta) * s})
+        kept.df = state.withColumns({"x": x + F.lit(step) * p, "r": r - F.lit(step) * s}).drop("w")
+        at = kept.with_product(op, m * r, "w", **sums)
+        norm, beta, done = at["rr"] ** 0.5, (at["rz"] / rz if rz else 0.0), done + 1
+        rz = at["rz"]
+        curvature = at["curvature"] - (beta * rz / step if step else 0.0)
+    return Solution(kept.df.select(IDX, x.alias(VAL)), done, norm, norm <= goal)
 
 
 def bicgstab(
@@ -159,33 +164,33 @@ def bicgstab(
         "m",
     )
     kept = _State(start)
-    state = kept.df
-    rho = _scalars(state, rr=r * r)["rr"]
+    v, t, r0 = F.col("v"), F.col("t"), F.col("r0")
+    rho = _scalars(kept.df, rr=r * r)["rr"]
     norm, done = rho**0.5, 0
     goal = max(rtol * norm, atol)
     while norm > goal and done < max_iter and rho != 0.0:
-        kept.df = state
-        state = kept.with_product(op, m * p, "v")
-        shadow = _scalars(state, rv=F.col("r0") * F.col("v"))["rv"]
+        shadow = kept.with_product(op, m * p, "v", rv=r0 * v)["rv"]
         if shadow == 0.0:
             break
         alpha = rho / shadow
-        state = state.withColumn("s", r - F.lit(alpha) * F.col("v"))
-        kept.df = state
-        state = kept.with_product(op, m * s, "t")
-        at = _scalars(state, ts=F.col("t") * s, tt=F.col("t") * F.col("t"))
+        kept.df = kept.df.withColumn("s", r - F.lit(alpha) * v)
+        at = kept.with_product(op, m * s, "t", ts=t * s, tt=t * t, ss=s * s, shadow_s=r0 * s, shadow_t=r0 * t)
         omega = at["ts"] / at["tt"] if at["tt"] else 0.0
-        state = state.withColumns(
+        state = kept.df.withColumns(
             {
                 "x": F.col("x") + F.lit(alpha) * m * p + F.lit(omega) * m * s,
-                "r": s - F.lit(omega) * F.col("t"),
+                "r": s - F.lit(omega) * t,
             }
         )
-        now = _scalars(state, rr=r * r, rho=F.col("r0") * r)
-        beta = (now["rho"] / rho) * (alpha / omega) if omega else 0.0
-        state = state.withColumn("p", r + F.lit(beta) * (p - F.lit(omega) * F.col("v")))
-        state = state.drop("v", "s", "t")
-        norm, rho, done = now["rr"] ** 0.5, now["rho"], done + 1
+        # The products of the new residual s - omega t follow from those of s and t.
+        rr, before = at["ss"] - 2 * omega * at["ts"] + omega * omega * at["tt"], rho
+        if rr <= max(_CANCELLED * at["ss"], goal * goal):  # too few digits are left, or the end is near: added anew
+            rr = _scalars(state, rr=r * r)["rr"]
+        rho = at["shadow_s"] - omega * at["shadow_t"]
+        beta = (rho / before) * (alpha / omega) if omega else 0.0
+        state = state.withColumn("p", r + F.lit(beta) * (p - F.lit(omega) * v))
+        kept.df = state.drop("v", "s", "t")
+        norm, done = rr**0.5, done + 1
         if omega == 0.0:
             break
-    return Solution(state.select(IDX, F.col("x").alias(VAL)), done, norm, norm <= goal)
+    return Solution(kept.df.select(IDX, F.col("x").alias(VAL)), done, norm, norm <= goal)

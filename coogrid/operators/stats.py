@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..matrix import COL, ROW, Matrix
+from ..plans.durable import materialize
 from ..plans.ordered import scan
+from ..plans.skew import BROADCAST_KEYS
 from .add import ewise_add
-from .multiply import mxm
+from .multiply import mxm, mxm_paths
 
 
 def row_nnz(A: Matrix) -> DataFrame:
@@ -51,9 +53,31 @@ def mxm_workload(A: Matrix, B: Matrix) -> DataFrame:
     return met.groupBy(ROW).agg(F.sum(F.coalesce("__n", F.lit(0))).alias("work"))
 
 
-def mxm_row_nnz(A: Matrix, B: Matrix) -> DataFrame:
-    """Exact entries per row of ``A . B``, ``row_id, nnz``, without keeping the product."""
-    return row_nnz(mxm(A.pattern(), B.pattern()))
+#: Columns of one bitmap, and paths per bitmap from which a row is counted in bitmaps.
+BITMAP_COLUMNS, DENSE_PATHS = 32_768, 1024
+
+
+def mxm_row_nnz(A: Matrix, B: Matrix, dense: int = DENSE_PATHS) -> DataFrame:
+    """Exact entries per row of ``A . B``, ``row_id, nnz``, without keeping the product.
+
+    Sparse rows are counted as distinct positions.  A row with many paths for the bitmaps
+    its columns need sets bits instead: a task sends 4 KB per row and 32,768 columns at
+    most, however many paths it has.  Whether there can be such rows is told by the
+    longest rows of both operands; which ones, by the work estimate.
+    """
+    A, B = A.pattern(), B.pattern()
+    least = dense * -(-B.ncols // BITMAP_COLUMNS)
+    longest = [row_nnz(m).agg(F.coalesce(F.max("nnz"), F.lit(0)).alias("n")) for m in (A, B)]
+    a, b = (r["n"] for r in longest[0].withColumn("at", F.lit(0)).union(longest[1].withColumn("at", F.lit(1))).orderBy("at").collect())
+    if a * b < least:
+        return row_nnz(mxm(A, B))
+    rows = materialize(mxm_workload(A, B).where(F.col("work") >= least).select(ROW))
+    few = F.broadcast(rows) if rows.count() <= BROADCAST_KEYS else rows
+    heavy, light = (Matrix(A.df.join(few, ROW, how), *A.shape) for how in ("left_semi", "left_anti"))
+    at = F.col(COL) + 1  # bit positions count from 1
+    bits = mxm_paths(heavy, B).select(ROW, F.bitmap_bucket_number(at).alias("__b"), F.bitmap_bit_position(at).alias("__bit"))
+    bits = bits.groupBy(ROW, "__b").agg(F.bitmap_count(F.bitmap_construct_agg("__bit")).alias("nnz"))
+    return bits.groupBy(ROW).agg(F.sum("nnz").alias("nnz")).union(row_nnz(mxm(light, B)))
 
 
 def ewise_row_nnz(A: Matrix, B: Matrix) -> DataFrame:

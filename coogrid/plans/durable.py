@@ -43,8 +43,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def drop_cut(cut: DataFrame) -> None:
     """Delete the files of a frame made by :func:`materialize` that nothing reads any more."""
-    jvm = cut.sparkSession.sparkContext._jvm
     kept = cut._jdf.logicalPlan().rdd().getCheckpointFile()
     if kept.isDefined():
-        place = jvm.org.apache.hadoop.fs.Path(kept.get())
-        place.getFileSystem(cut.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+        drop_path(cut.sparkSession, kept.get())
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a table in the shared folder that nothing reads any more."""
+    files, place = _place(spark, path)
+    files.delete(place, True)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    files, place = _place(spark, path)
+    return files.exists(place)
+
+
+def _place(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place

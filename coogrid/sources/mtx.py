@@ -149,7 +149,10 @@ def _banner(spark: SparkSession, path: str) -> str:
     found = lines.orderBy("at").select(F.lower("line").alias("line")).first()
     if found is None:
         return "general"
-    kind = (found["line"].split() + [""] * 5)[4] or "general"
+    field, kind = (found["line"].split() + [""] * 5)[3:5]
+    if field not in ("", "real", "integer", "pattern"):
+        raise ValueError(f"{path}: the banner states {field!r} values")
+    kind = kind or "general"
     if kind not in ("general", "symmetric", "skew-symmetric"):
         raise ValueError(f"{path}: the banner states {kind!r}")
     return kind

@@ -6,6 +6,7 @@ from helpers import cells, pairs, rows
 from pyspark.sql import functions as F
 
 import coogrid as cg
+import coogrid.operators.multiply as multiply
 from coogrid.plans.skew import Stripes, grid_of, hot_keys, spread_join
 
 PATH4 = [(0, 1), (1, 2), (2, 3), (3, 3)]
@@ -184,6 +185,64 @@ def test_square_workload(spark, tmp_path):
     assert got == [("p", 0, 2), ("p", 1, 3), ("p", 2, 3), ("p", 3, 3), ("q", 0, 0), ("q", 1, 1)]
 
 
+def test_a_broken_off_workload_redoes_what_is_missing(spark, tmp_path, monkeypatch):
+    table = spark.createDataFrame(
+        [(f"m{k}", i, (i + k) % 5) for k in range(6) for i in range(5)] + [("none", 0, 1)], "matrix_id string, row_id bigint, col_id bigint"
+    )
+    out, square, squared = str(tmp_path / "squares"), multiply.square_entries, []
+
+    def breaks_off(entries, *args):
+        ids = sorted(r[0] for r in entries.select("matrix_id").distinct().collect())
+        if len(squared) >= 4 and not resumed:
+            raise RuntimeError("lost")
+        squared.extend(ids)
+        return square(entries, *args)
+
+    monkeypatch.setattr(multiply, "square_entries", breaks_off)
+    resumed = False
+    with pytest.raises(RuntimeError):
+        cg.square_workload(table, out, batch=10)
+    assert squared == ["m0", "m1", "m2", "m3"]
+    resumed, squared[:] = True, []
+    got = cg.square_workload(table, out, resume=True, batch=10)
+    assert squared == ["m4", "m5", "none"]
+    expected = sorted((f"m{k}", i, (i + 2 * k) % 5) for k in range(6) for i in range(5))
+    assert rows(got, "matrix_id", "row_id", "col_id") == expected
+    squared[:] = []
+    assert rows(cg.square_workload(table, out, resume=True), "matrix_id", "row_id", "col_id") == expected and squared == []
+    again = cg.square_workload(table.where("matrix_id = 'm1'"), out)
+    assert rows(again, "matrix_id", "row_id", "col_id") == [r for r in expected if r[0] == "m1"]
+
+
+@pytest.mark.parametrize("dense", [1, 3, 10**6])
+def test_row_counts_by_bitmaps(pattern, dense):
+    a = random_pairs(21, 9, 30, 70) + [(8, j) for j in range(30) if j % 2]
+    b = [(i, (i * 7919 + j * 4001) % 100_000) for i in range(30) for j in range(12)] + [(1, 0), (1, 32_767), (1, 32_768), (1, 99_999)]
+    A, B = pattern(sorted(set(a)), 9, 30), pattern(sorted(set(b)), 30, 100_000)
+    product = {(i, j) for i, k in a for m, j in b if m == k}
+    expected = sorted((i, len({j for r, j in product if r == i})) for i in {i for i, _ in product})
+    assert rows(cg.mxm_row_nnz(A, B, dense), "row_id", "nnz") == expected
+
+
+def test_a_costly_operand_is_evaluated_once(spark, tmp_path):
+    seen = tmp_path / "seen"
+    seen.mkdir()
+
+    def count(batches):
+        import uuid
+
+        (seen / uuid.uuid4().hex).touch()
+        yield from batches
+
+    edges = spark.createDataFrame([(i, (i * i + 1) % 12) for i in range(12)], "r bigint, c bigint").coalesce(1)
+    A = cg.Matrix.from_edges(edges.mapInArrow(count, "r bigint, c bigint"), "r", "c", 12, 12)
+    B = cg.Matrix.from_edges(edges, "r", "c", 12, 12)
+    power = cg.mxm(cg.mxm(cg.mxm(A, B), B), B)
+    step = {i: (i * i + 1) % 12 for i in range(12)}
+    assert pairs(power.df) == [(i, step[step[step[step[i]]]]) for i in range(12)]
+    assert len(list(seen.iterdir())) == 1
+
+
 def test_sizes_and_work(pattern):
     A = pattern([(0, 0), (2, 0), (2, 1), (2, 2)], 4)
     stats = cg.matrix_stats(A).first()

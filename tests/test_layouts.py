@@ -3,11 +3,13 @@ import random
 import sys
 from fractions import Fraction
 
+import numpy as np
 import pytest
 from helpers import cells, pairs, rows, values
 from pyspark.sql import functions as F
 
 import coogrid as cg
+import coogrid.operators.solve as solve
 import coogrid.operators.spmv as sp
 from coogrid.operators.spmv import exact_sums
 
@@ -290,3 +292,36 @@ def test_exact_sums_of_what_is_not_finite(spark):
     df = spark.createDataFrame([(k, x) for k, terms in enumerate(groups) for x in terms], "idx bigint, __term double")
     got = [r["__sum"] for r in exact_sums(df).orderBy("idx").collect()]
     assert got[:2] == [inf, -inf] and all(map(math.isnan, got[2:]))
+
+
+@pytest.mark.parametrize("solver,actions", [("cg", 1), ("bicgstab", 2)])
+def test_an_iteration_is_an_action_per_product(spark, monkeypatch, solver, actions):
+    A, b = cg.poisson5pt(spark, 6, 5), cg.full(spark, 30, 1.0)
+    kept, read = solve.materialize, solve._scalars
+    calls = []
+    monkeypatch.setattr(solve, "materialize", lambda df: calls.append("keep") or kept(df))
+    monkeypatch.setattr(solve, "_scalars", lambda df, **e: calls.append("read") or read(df, **e))
+    counts = []
+    for n in (2, 5):
+        calls.clear()
+        assert getattr(solve, solver)(A, b, rtol=1e-14, max_iter=n).iterations == n
+        counts.append(len(calls))
+    assert counts[1] - counts[0] == 3 * actions
+
+
+def test_cg_steps_are_those_of_the_textbook(spark):
+    n = 30
+    A = np.zeros((n, n))
+    for r in cg.poisson5pt(spark, 6, 5).df.collect():
+        A[r["row_id"], r["col_id"]] = r["val"]
+    b = np.arange(n) % 7 - 2.0
+    for steps in (1, 4, 9):
+        x, r = np.zeros(n), b.copy()
+        p = r.copy()
+        for _ in range(steps):
+            a = r @ r / (p @ A @ p)
+            x, after = x + a * p, r - a * (A @ p)
+            p, r = after + (after @ after) / (r @ r) * p, after
+        vector = spark.createDataFrame(list(enumerate(map(float, b))), "idx bigint, val double")
+        got = values(cg.cg(cg.poisson5pt(spark, 6, 5), vector, rtol=1e-14, max_iter=steps).x)
+        assert max(abs(got[i] - x[i]) for i in range(n)) < 1e-10

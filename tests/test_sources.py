@@ -259,3 +259,10 @@ def test_jobs_do_not_grow_with_the_texts(spark, tmp_path):
     few = load(2)
     assert load(50) <= few + 1  # many paths are listed by a job of their own
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_complex_values_are_refused(spark, tmp_path):
+    path = tmp_path / "c.mtx"
+    path.write_text("%%MatrixMarket matrix coordinate complex general\n2 2 1\n1 1 2.0 3.0\n")
+    with pytest.raises(ValueError, match="complex"):
+        cg.read_mtx_values(spark, str(path), symmetry="banner")
