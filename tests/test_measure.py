@@ -145,6 +145,22 @@ def test_a_burst_and_a_section_over_the_whole_series(series, experiments):
     assert rows(listed, "section_id", "count") == [(i, n) for i, n, *_ in want]
 
 
+def test_samples_go_up_only_to_levels_in_use(series, experiments, monkeypatch):
+    import coogrid.operators.intervals as intervals
+
+    monkeypatch.setattr(intervals, "FAN", 4)
+    monkeypatch.setattr(intervals, "CELL_SAMPLES", 2)
+    asked, above = [], intervals.cells_above
+    monkeypatch.setattr(intervals, "cells_above", lambda cell, levels: asked.append(list(levels)) or above(cell, levels))
+    data = [(i, i % 13) for i in range(600)]
+    for spans, levels in (([(10, 12), (300, 301)], None), ([(10, 15)], [0]), ([(0, 64), (3, 9)], [0, 1, 2]), ([(0, 600)], [0, 1, 2, 3, 4])):
+        asked.clear()
+        got = cg.sections(series(data), experiments(spans))
+        assert not asked if levels is None else set(asked[0]) <= set(levels) and asked[0]
+        want = sorted((i, u) for i, (b, e) in enumerate(spans) for t, u in data if b <= t < min(e, 599))
+        assert rows(got, "section_id", "used_mib") == want
+
+
 def test_section_report(spark, series, experiments, tmp_path):
     e = experiments([(0.5, 3.5), (50, 60)])
     table = cg.section_memory(series(BASE), e).join(e.select("section_id", "name"), "section_id")
@@ -172,12 +188,12 @@ def test_time_columns_do_not_depend_on_the_session_zone(spark):
 def test_covering_cells(spark):
     from pyspark.sql import functions as F
 
-    from coogrid.operators.intervals import FAN, _covering
+    from coogrid.operators.intervals import FAN, covering
 
     spans = [(0, 0), (0, 1), (5, 63), (0, 64), (1, 64), (1, 129), (63, 65), (3, 9000), (0, FAN**3), (17, 262_143), (9, 4)]
     df = spark.createDataFrame(spans, "a bigint, z bigint")
     for levels in (1, 2, 4):
-        for r in df.select("a", "z", _covering(F.col("a"), F.col("z"), levels).alias("c")).collect():
+        for r in df.select("a", "z", covering(F.col("a"), F.col("z"), levels).alias("c")).collect():
             if levels < 4 and r["z"] - r["a"] > 9000:
                 continue
             covered = [x for c in r["c"] for x in range(c["cell"] * FAN ** c["level"], (c["cell"] + 1) * FAN ** c["level"])]
