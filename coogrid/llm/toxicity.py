@@ -23,11 +23,11 @@ from .common import arrow_map, fold, keep_rows, labelled_sample
 #: Labelled documents that the model is fitted on, at most (give or take a square root).
 SAMPLE_DOCS = 8_000
 #: Features kept (a bound on the size of the model): the most telling ones of those in enough sampled documents and with enough evidence.
-FEATURES, LEAST_DOCS, LEAST_G = 4096, 3, 15.0
+FEATURES, LEAST_DOCS, LEAST_G = 4096, 3, 10.0
 #: A document is toxic from this probability on, a sentence is reported from this one on.
 THRESHOLD, SENTENCE_THRESHOLD = 0.7, 0.5
 #: Lengths of the word beginnings that are features beside the word itself.
-PREFIXES = (4, 5, 6)
+PREFIXES = (4, 5, 6, 7)
 EPOCHS, RATE, RIDGE = 200, 0.15, 1e-5
 _CACHE = 200_000
 
@@ -45,6 +45,12 @@ def features(word: str) -> list[str]:
     return [word, *("^" + word[:n] for n in PREFIXES if len(word) > n)]
 
 
+def sentence_features(words: list[str]) -> set[str]:
+    """Features of the words of a sentence; a beginning that two words or more share is one more (marked with a 2)."""
+    found = Counter(f for w in words for f in features(w))
+    return set(found) | {"2" + f for f, n in found.items() if n > 1 and f[0] == "^"}
+
+
 @dataclass(frozen=True)
 class ToxicityModel:
     bias: float
@@ -66,7 +72,8 @@ def fit(docs: DataFrame, labels: DataFrame, held: tuple[int, int] | None = None)
         def kernel(ys: list, texts: list):
             found = {0: Counter(), 1: Counter()}
             for y, t in zip(ys, texts, strict=True):
-                found[y].update({f for w in set(_WORD.findall((t or "").lower())) for f in features(w)})
+                lines = map(_WORD.findall, _SENTENCE.findall((t or "").lower()))
+                found[y].update(set().union(*map(sentence_features, lines)))
                 found[y][""] += 1
             for y in (0, 1):
                 yield from ((f, y, n) for f, n in found[y].items())
@@ -95,7 +102,7 @@ def fit(docs: DataFrame, labels: DataFrame, held: tuple[int, int] | None = None)
             for y, t in zip(ys, texts, strict=True):
                 bags: Counter = Counter()
                 for words in map(_WORD.findall, _SENTENCE.findall((t or "").lower())):
-                    bags[tuple(sorted({index[f] for w in words for f in features(w) if f in index}))] += 1
+                    bags[tuple(sorted(index[f] for f in sentence_features(words) if f in index))] += 1
                 # Like sentences weigh alike: a bag of features and how often it occurs.
                 cells = [np.array([n, len(b), *b], np.int32) for b, n in sorted(bags.items())]
                 yield y, np.concatenate(cells).tobytes() if cells else b""
@@ -150,13 +157,14 @@ def scorer(model: ToxicityModel) -> Callable[[str | None], tuple[float, list[tup
     weights, bias = model.weights, model.bias
     # Most words have no weight: those that begin as no weighted feature does are passed over at once.
     least = min(PREFIXES)
-    starts = {f.removeprefix("^")[:least] for f in weights}
+    starts = {f.lstrip("2^")[:least] for f in weights}
+    telling = {f.removeprefix("2") for f in weights}
 
     class Words(dict):
         def __missing__(self, word: str) -> tuple[str, ...]:
             if len(self) > _CACHE:
                 self.clear()
-            value = self[word] = tuple(f for f in features(word) if f in weights)
+            value = self[word] = tuple(f for f in features(word) if f in telling)
             return value
 
     words = Words()
@@ -174,11 +182,12 @@ def scorer(model: ToxicityModel) -> Callable[[str | None], tuple[float, list[tup
             lower = m[0].lower()
             # With few weighted words most sentences hold none of them, which is soon seen.
             look = len(met) > 4 or any(map(lower.__contains__, met))
-            here = met.keys() & _WORD.findall(lower) if look else ()
+            here = [w for w in _WORD.findall(lower) if w in met] if look else ()
             if here:
-                # As learnt: a feature counts once in a sentence, whichever words share it.
-                once = sorted({f for w in here for f in met[w]})
-                z = max(-30.0, min(30.0, bias + sum(map(weights.__getitem__, once))))
+                # As learnt: a feature counts once in a sentence, whichever words share it, and that they share it once more.
+                seen = Counter(f for w in here for f in met[w])
+                z = bias + sum(weights.get(f, 0.0) + (weights.get("2" + f, 0.0) if n > 1 else 0.0) for f, n in sorted(seen.items()))
+                z = max(-30.0, min(30.0, z))
                 none += math.log1p(math.exp(z))
                 if z >= cut:
                     found.append((*m.span(), 1 / (1 + math.exp(-z))))
