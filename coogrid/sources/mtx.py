@@ -8,7 +8,6 @@ checks the body.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -16,6 +15,8 @@ from pyspark.sql import functions as F
 
 from ..matrix import COL, ROW, VAL, Matrix
 from ..operators.build import mirror
+from ..plans.durable import materialize
+from ..plans.skew import BROADCAST_KEYS
 
 _HEADER_PART = "0-header"  # sorts before the entries folder
 _BODY_PART = "1-entries"
@@ -126,6 +127,10 @@ def read_mtx_raw(spark: SparkSession, path: str) -> tuple[DataFrame, int, int]:
     return body.select((_index(0) - 1).alias(ROW), (_index(1) - 1).alias(COL)), nrows, ncols
 
 
+#: Scheme and host of a path.
+_SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
+
+
 def read_mtx(spark: SparkSession, path: str, undirected: bool = False) -> Matrix:
     """The pattern of a Matrix Market text: only the first two numbers of a line count.
 
@@ -223,11 +228,11 @@ def write_mtx_values(A: Matrix, path: str) -> int:
     return nnz
 
 
-def _named_lines(spark: SparkSession, entries: Sequence[tuple[str, str, bool]]) -> DataFrame:
-    """The lines of several texts from one scan, as :func:`_lines` gives them for one.
+def _owners(spark: SparkSession, entries: Sequence[tuple[str, str, bool]]) -> DataFrame:
+    """``__file, matrix_id``: the texts that each file belongs to, those whose path it is or lies below.
 
-    A file belongs to every text whose path it is or lies below; the driver lists
-    the files, as planning the scan does.
+    The files are a table of their own (paths alone, no content is read) that meets
+    the list on the paths of its folders.
     """
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     conf = spark.sparkContext._jsc.hadoopConfiguration()
@@ -236,25 +241,25 @@ def _named_lines(spark: SparkSession, entries: Sequence[tuple[str, str, bool]])
         found = hadoop(path)
         return found.getFileSystem(conf).makeQualified(found).toUri().getPath()
 
-    names: dict[str, list[str]] = {}
-    for name, path, _ in entries:
-        names.setdefault(place(path), []).append(name)
+    listed = spark.createDataFrame([(place(path), name) for name, path, _ in entries], "__path string, matrix_id string")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(sorted({path for _, path, _ in entries}))
+    parts = F.split(F.regexp_replace("path", _SCHEME, ""), "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    placed = files.select(F.col("_metadata.file_path").alias("__file"), F.explode(above).alias("__path"))
+    owned = materialize(placed.join(F.broadcast(listed), "__path").select("__file", "matrix_id"))  # the list is the caller's
+    return F.broadcast(owned) if owned.count() <= BROADCAST_KEYS else owned
+
+
+def _named_lines(spark: SparkSession, entries: Sequence[tuple[str, str, bool]]) -> DataFrame:
+    """The lines of several texts from one scan, as :func:`_lines` gives them for one."""
     raw = spark.read.option("recursiveFileLookup", "true").text(sorted({path for _, path, _ in entries}))
-    scheme = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
-    owners = []
-    for uri in raw.inputFiles():
-        file = re.sub(scheme, "", uri)  # as written in the URI, like _metadata.file_path
-        parts = spark.sparkContext._jvm.java.net.URI(uri).getPath().split("/")
-        for n in range(1, len(parts) + 1):
-            owners += [(file, name) for name in names.get("/".join(parts[:n]), ())]
-    owned = spark.createDataFrame(owners, "__file string, matrix_id string")
     at = F.struct(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("row"),
     )
     lines = raw.select(F.regexp_replace("value", r"^\s+|\s+$", "").alias("line"), at.alias("at"))
-    met = lines.where(F.col("line") != "").join(owned, F.regexp_replace("at.file", scheme, "") == F.col("__file"))
+    met = lines.where(F.col("line") != "").join(_owners(spark, entries), F.col("at.file") == F.col("__file"))
     return met.select("matrix_id", "line", "at")
 
 

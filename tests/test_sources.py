@@ -4,6 +4,7 @@ import pytest
 from helpers import cells, pairs, rows
 
 import coogrid as cg
+import coogrid.sources.mtx as mtx
 
 
 @pytest.fixture
@@ -266,3 +267,24 @@ def test_complex_values_are_refused(spark, tmp_path):
     path.write_text("%%MatrixMarket matrix coordinate complex general\n2 2 1\n1 1 2.0 3.0\n")
     with pytest.raises(ValueError, match="complex"):
         cg.read_mtx_values(spark, str(path), symmetry="banner")
+
+
+def test_a_workload_of_many_texts(spark, tmp_path, monkeypatch):
+    listed = []
+    for k in range(200):
+        path = tmp_path / f"set {k % 7}" / f"m%{k}.mtx"
+        path.parent.mkdir(exist_ok=True)
+        path.write_text(f"4 4 2\n{k % 4 + 1} 1\n2 {k % 3 + 2}\n")
+        listed.append((f"m{k}", str(path), False))
+    parts = tmp_path / "whole" / "1-entries"
+    parts.mkdir(parents=True)
+    (tmp_path / "whole" / "0-header").write_text("2 2 2\n")
+    (parts / "part-0").write_text("1 1\n")
+    (parts / "part-1").write_text("2 2\n")
+    listed += [("whole", str(tmp_path / "whole"), False), ("again", str(tmp_path / "whole"), False)]
+    for few in (100_000, 0):
+        monkeypatch.setattr(mtx, "BROADCAST_KEYS", few)
+        table, shapes = mtx.read_many(spark, listed)
+        want = sorted({(f"m{k}", k % 4, 0) for k in range(200)} | {(f"m{k}", 1, k % 3 + 1) for k in range(200)})
+        want += [(name, i, i) for name in ("again", "whole") for i in (0, 1)]
+        assert rows(table, "matrix_id", "row_id", "col_id") == sorted(want) and shapes.count() == 202
