@@ -301,7 +301,7 @@ def compact_rows(t: Tables):
 
 @query(
     "poisson5pt",
-    """WITH d AS (SELECT (SELECT count(*) FROM supplier) AS nx, (SELECT count(*) FROM nation) AS ny),
+    """WITH d AS (SELECT (SELECT count(DISTINCT s_suppkey) FROM supplier) AS nx, (SELECT count(DISTINCT s_nationkey) FROM supplier) AS ny),
 p AS (SELECT i, i % nx AS x, i // nx AS y, nx, ny FROM (SELECT nx, ny, unnest(range(nx * ny)) AS i FROM d))
 SELECT i AS row_id, i AS col_id, CAST(4 AS DOUBLE) AS val FROM p
 UNION ALL SELECT i, i - 1, -1 FROM p WHERE x > 0
@@ -310,5 +310,6 @@ UNION ALL SELECT i, i - nx, -1 FROM p WHERE y > 0
 UNION ALL SELECT i, i + nx, -1 FROM p WHERE y < ny - 1""",
 )
 def poisson5pt(t: Tables):
-    """A grid as wide as there are suppliers and as high as there are nations."""
-    return build.poisson5pt(t.spark, t.size("supplier"), t.size("nation")).df
+    """A grid as wide as there are suppliers and as high as there are nations with one."""
+    sizes = t.read("supplier").agg(F.count_distinct("s_suppkey").alias("nx"), F.count_distinct("s_nationkey").alias("ny")).first()
+    return build.poisson5pt(t.spark, sizes["nx"], sizes["ny"]).df

@@ -166,9 +166,14 @@ def ewise_divide(t: Tables):
     return vec.ewise(_x(t), _z(t), "/")
 
 
-@query("full", "SELECT unnest(range((SELECT count(*) FROM part))) AS idx, CAST(1.5 AS DOUBLE) AS val")
+@query(
+    "full",
+    "SELECT unnest(range((SELECT count(*) FROM part))) AS idx, CAST((SELECT max(p_retailprice) FROM part) AS DOUBLE) AS val",
+)
 def full(t: Tables):
-    return vec.full(t.spark, t.size("part"), 1.5)
+    """A vector as long as the parts, with the highest price everywhere."""
+    part = t.read("part").agg(F.count(F.lit(1)).alias("n"), F.max("p_retailprice").alias("top")).first()
+    return vec.full(t.spark, part["n"], float(part["top"]))
 
 
 @query("full_axpby", "SELECT p_partkey AS idx, 2.0::DOUBLE * p_retailprice + 3.0::DOUBLE * 1.5::DOUBLE AS val FROM part")
