@@ -175,6 +175,40 @@ def test_leader_agrees_with_the_search(pieces):
         assert loss == (score - paths[1][0] if len(paths) > 1 else np.inf)
 
 
+def test_words_in_arrays_agree_with_the_leader(pieces):
+    rng = random.Random(5)
+    words = ["▁the", "▁", "▁" * 48, "▁" * 49, "▁" + "x" * 47, "▁" + "x" * 48, "▁漢é\0\U0010ffff", "▁\ud800", "▁a,\n\r\t"]
+    words += ["▁" + "".join(rng.choices("thean ▁漢é\n.,=", k=rng.randrange(60))).replace(" ", "▁") for _ in range(2000)]
+    found = zip(*pieces.leaders(words), strict=True)
+    for word, (score, loss, ids, sound) in zip(words, found, strict=True):
+        assert (score, loss, ids, sound) == pieces.leader(word)
+    assert [len(x) for x in pieces.leaders([])] == [0, 0, 0, 0]
+
+
+def test_words_of_texts_are_not_searched_one_by_one(pieces, monkeypatch):
+    rng = random.Random(6)
+    texts = [" ".join("".join(rng.choices("theanrsio", k=8)) for _ in range(300)) for _ in range(20)]
+    calls = []
+    for name in ("leader", "search"):
+        plain = getattr(pieces, name)
+        monkeypatch.setattr(pieces, name, lambda *args, plain=plain: calls.append(args) or plain(*args))
+    segment = segmentation.segmenter(pieces)
+    for text in texts:
+        assert all(same for _, _, same in segment(text))
+    assert len(calls) <= len(texts) * (segmentation.BEST - 1)  # the words that the alternatives depart in
+
+
+def test_words_forgotten_between_batches_change_nothing(pieces, monkeypatch):
+    rng = random.Random(7)
+    texts = [" ".join("".join(rng.choices("thean漢\n", k=4)) for _ in range(rng.randrange(60))) for _ in range(40)] + [None, ""]
+    plain = [segmentation.segmenter(pieces)(t) for t in texts]
+    for bound in (0, 10**6):
+        monkeypatch.setattr(segmentation, "_CACHE", bound)
+        monkeypatch.setattr(segmentation, "_BATCH_CHARS", 500)
+        for one, other in zip(plain, segmentation.batch_segmenter(pieces)(texts), strict=True):
+            assert [(s, ids.tobytes(), same) for s, ids, same in one] == [(s, ids.tobytes(), same) for s, ids, same in other]
+
+
 # --- personal data
 
 _PLAIN = {
