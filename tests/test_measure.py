@@ -3,6 +3,7 @@ import random
 
 import pytest
 from helpers import rows
+from pyspark.sql import functions as F
 
 import coogrid as cg
 
@@ -209,3 +210,17 @@ def test_tied_instants_inside_and_at_the_end(series, experiments):
     assert got == [(0, 6, 1, 90), (1, 1, 50, 50), (2, 2, 5, 50), (3, 2, 4, 90)]
     listed = cg.sections(series(data), e).groupBy("section_id").count()
     assert rows(listed, "section_id", "count") == [(0, 6), (1, 1), (2, 2), (3, 2)]
+
+
+def test_cuts_leave_no_shuffle_files(spark):
+    from coogrid.plans.durable import materialize
+
+    def shuffled():
+        tracker = spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+        return set(str(tracker.shuffleStatuses().keySet()).strip("Set() ").replace(",", " ").split())
+
+    before = shuffled()
+    df = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.sum("id").alias("v"))
+    kept = materialize(df)
+    assert shuffled() <= before and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+    assert rows(kept, "k", "v") == rows(df, "k", "v")  # the frame itself may run again
