@@ -14,15 +14,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState
 
 from ..functions.timecols import micros
-from ..operators.intervals import FAN, cells_above, covering
+from ..operators.intervals import CELL_SAMPLES, FAN, cells_above, covering
 from ..operators.order import int_div
-from ..plans.skew import BROADCAST_KEYS
+from ..plans.skew import BROADCAST_KEYS, spread_join
 
 # Kernels travel with their code, so executors need not have the package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Finest cells that a short section touches, about, and parts that samples are dealt to where sections are many.
 SECTION_CELLS, PARTS = 8, 16
+#: The same for samples that are all there: as many as leave CELL_SAMPLES instants to a cell, within two bounds.
+LEAST_CELLS, MOST_CELLS = 2, 16
+#: Level of the two end cells of a section, where its samples are told apart by their time.
+ENDS = -1
 
 
 class _Placed:
@@ -32,26 +36,37 @@ class _Placed:
     sample is copied only to levels that some section uses.  A table of few cells
     goes to every task; otherwise samples are dealt to ``parts`` parts by hash and every
     part has a copy of the sections, so that what arrives at one moment is spread.
+
+    With ``ends`` the two end cells of a section are on a level of their own, and
+    the table has every section once.
     """
 
-    def __init__(self, experiments: DataFrame, cells: int | None, parts: int):
+    def __init__(self, experiments: DataFrame, cells: int | None, parts: int, each: int = SECTION_CELLS, ends: bool = False):
         spans = experiments.select("section_id", micros("t_begin").alias("__b"), micros("t_end").alias("__e"))
         spans = spans.where("__b <= __e")
         length = F.percentile_approx(F.col("__e") - F.col("__b"), 0.1)
         row = spans.agg(F.min("__b").alias("lo"), F.max("__e").alias("hi"), length.alias("length")).first()
         self.lo, self.hi = row["lo"] or 0, row["hi"] or 0
         span = self.hi - self.lo + 1
-        self.width = max(1, -(-span // cells) if cells else (row["length"] or 0) // SECTION_CELLS)
+        self.width = max(1, -(-span // cells) if cells else (row["length"] or 0) // each)
         levels = 1
         while FAN**levels * self.width < span:
             levels += 1
-        whole = covering(self._cell(F.col("__b")), self._cell(F.col("__e")) + 1, levels)
+        first, last = self._cell(F.col("__b")), self._cell(F.col("__e"))
+        whole = covering(first + 1, last, levels) if ends else covering(first, last + 1, levels)
+        if ends:
+            outer = F.array_distinct(F.array(first, last))
+            outer = F.transform(outer, lambda c: F.struct(F.lit(ENDS).alias("level"), c.alias("cell")))
+            whole = F.concat(outer, whole)
         placed = spans.withColumn("__c", F.explode(whole)).select(
             "section_id", "__b", "__e", F.col("__c.level").alias("__level"), F.col("__c.cell").alias("__cell")
         )
         counted = placed.groupBy("__level").count().collect()  # one row a level
         self.levels = sorted(r[0] for r in counted)
-        few = sum(r[1] for r in counted) <= BROADCAST_KEYS
+        self.few = few = sum(r[1] for r in counted) <= BROADCAST_KEYS
+        if ends:
+            self.table = F.broadcast(placed) if few else placed
+            return
         self.parts = 1 if few else parts
         copies = placed.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(self.parts - 1))))
         self.table = F.broadcast(copies) if few else copies
@@ -75,6 +90,43 @@ class _Placed:
         met = samples.join(table, [*same, t >= F.col("__b"), t <= F.col("__e")], how)
         return met.select("section_id", "__e", *names)
 
+    def figures(self, instants: DataFrame) -> DataFrame:
+        """``section_id`` and ``__n, __lo, __hi`` of instants ``__t, __n, __lo, __hi``, for a table with ``ends``.
+
+        A section meets the instants of its two end cells and one row for each whole cell
+        between them.  A cell that many instants and sections share is split by the join.
+        """
+        t = F.col("__t")
+        merged = [F.sum("__n").alias("__n"), F.min("__lo").alias("__lo"), F.max("__hi").alias("__hi")]
+        at = [F.col("__c.level").alias("__level"), F.col("__c.cell").alias("__cell")]
+        inside = instants.where((t >= F.lit(self.lo)) & (t <= F.lit(self.hi))).withColumn("__cell", self._cell(t))
+        single = inside.select("__t", F.lit(ENDS).alias("__level"), "__cell", "__n", "__lo", "__hi")
+        per_cell = inside.groupBy("__cell").agg(*merged)
+        up = cells_above(F.col("__cell"), [i for i in self.levels if i != ENDS])
+        tower = per_cell.select(F.explode(up).alias("__c"), "__n", "__lo", "__hi").select(*at, "__n", "__lo", "__hi")
+        tower = tower.groupBy("__level", "__cell").agg(*merged).withColumn("__t", F.lit(None).cast("long"))
+        rows, keys = single.unionByName(tower), ["__level", "__cell"]
+        if self.few:
+            met = rows.join(self.table, keys)
+        else:
+            sizing = rows.select(*keys), self.table.select(*keys)
+            met = spread_join(rows, self.table, keys, left_by=["__t"], right_by=["section_id"], sizing=sizing)
+        whole = F.col("__level") != ENDS
+        return met.where(whole | ((t >= F.col("__b")) & (t <= F.col("__e")))).select("section_id", "__n", "__lo", "__hi")
+
+
+def _at_once(samples: DataFrame, experiments: DataFrame, used: str, cells: int | None) -> DataFrame:
+    """``section_id`` and partial figures ``__n, __lo, __hi`` of samples that are all there."""
+    single = samples.select(micros("ts").alias("__t"), F.col(used).alias("__u")).where("__t IS NOT NULL")
+    figures = [F.count(F.lit(1)).alias("__n"), F.min("__u").alias("__lo"), F.max("__u").alias("__hi")]
+    instants = single.groupBy("__t").agg(*figures)
+    length = F.percentile_approx(micros("t_end") - micros("t_begin"), 0.1)
+    seen = single.agg(F.approx_count_distinct("__t").alias("n"), (F.max("__t") - F.min("__t") + 1).alias("span")).first()
+    short = experiments.where("t_begin <= t_end").agg(length.alias("length")).first()["length"]
+    held = seen["n"] * (short or 0) // (seen["span"] or 1)  # instants of a short section
+    each = max(LEAST_CELLS, min(MOST_CELLS, held // CELL_SAMPLES))
+    return _Placed(experiments, cells, 1, each, ends=True).figures(instants)
+
 
 def live_section_memory(
     stream: DataFrame, experiments: DataFrame, used: str = "used_mib", cells: int | None = None, parts: int = PARTS
@@ -85,7 +137,17 @@ def live_section_memory(
     time.  State is one row per section, combined map-side before it shuffles; write
     it in update or complete mode.  While a section is open its newest sample counts
     too: see :func:`closed_section_memory` for final figures.
+
+    Samples that are not a stream are reduced to instants and cells before they meet
+    the sections, which are shuffled once instead of once per part.
     """
+    if not stream.isStreaming:
+        return _at_once(stream, experiments, used, cells).groupBy("section_id").agg(
+            F.sum("__n").alias("samples"),
+            F.min("__lo").alias("min_mib"),
+            F.max("__hi").alias("max_mib"),
+            (F.max("__hi") - F.min("__lo")).alias("used_mib"),
+        )
     met = _Placed(experiments, cells, parts).met(stream, F.col(used).alias("__u"))
     return met.groupBy("section_id").agg(
         F.count(F.lit(1)).alias("samples"),

@@ -113,3 +113,33 @@ def test_late_samples_do_not_reopen_a_section(spark, tmp_path):
         assert rows(spark.table("late"), "section_id", "samples", "min_mib", "max_mib") == [(0, 2, 2.5, 4.0)]
     finally:
         query.stop()
+
+
+@pytest.mark.parametrize("few,cells", [(100_000, None), (0, None), (0, 3), (0, 500)])
+def test_samples_that_are_all_there_meet_each_section_once(spark, monkeypatch, few, cells):
+    rng = random.Random(11)
+    spans = [(i, at(rng.randrange(300)), at(rng.randrange(300))) for i in range(40)]
+    spans += [(50, at(-5), at(900)), (51, at(3.2), at(3.4)), (52, at(-9), at(-5)), (53, at(7), at(7)), (53, at(7), at(7)), (54, None, at(9))]
+    # Many samples at one instant, some outside all sections, some without a value or a time.
+    samples = [(at(rng.randrange(300)), rng.randrange(100)) for _ in range(400)]
+    samples += [(at(7), v) for v in range(60)] + [(at(-1000), 999), (at(5000), 999), (None, 999), (at(8), None)]
+    want = []
+    for i in {s[0] for s in spans}:
+        inside = [u for s, b, e in spans if s == i and b is not None for t, u in samples if t is not None and b <= t <= e]
+        if inside:
+            lo, hi = (f((u for u in inside if u is not None), default=None) for f in (min, max))
+            want.append((i, len(inside), lo, hi, hi - lo))
+    met = []
+    join = live.spread_join
+    monkeypatch.setattr(live, "spread_join", lambda l, r, *a, **k: met.append((l, r)) or join(l, r, *a, **k))
+    monkeypatch.setattr(live, "BROADCAST_KEYS", few)
+    sections = spark.createDataFrame(spans, SECTIONS)
+    frame = spark.createDataFrame(samples, "ts timestamp_ntz, used_mib bigint")
+    got = live_section_memory(frame, sections, cells=cells)
+    assert rows(got, "section_id", "samples", "min_mib", "max_mib", "used_mib") == sorted(want)
+    if not few:
+        ((left, right),) = met
+        ends = f"__level = {live.ENDS}"
+        instants = len({t for t, _ in samples if t is not None and at(-9) <= t <= at(900)})
+        assert left.where(ends).count() == instants  # not one row a sample
+        assert right.where(ends).count() <= 2 * 45  # not one row a part
