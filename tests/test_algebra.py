@@ -305,3 +305,28 @@ def test_kronecker_with_the_large_operand_on_either_side(pattern, monkeypatch):
     for a, b, n, m in ((small, large, 2, 40), (large, small, 40, 2), (large, large, 40, 40)):
         got = cg.kronecker(pattern(a, n), pattern(b, m))
         assert pairs(got.df) == sorted((i * m + k, j * m + l) for i, j in a for k, l in b)
+
+
+@pytest.mark.parametrize("cell", [None, 3])
+def test_a_product_of_many_paths_is_worked_out_in_passes(spark, valued, monkeypatch, cell):
+    rng = random.Random(7)
+    cells = {(rng.randrange(12), rng.randrange(5)): float(rng.randrange(1, 9)) for _ in range(50)}
+    A = valued([(i, k, v) for (i, k), v in cells.items()], 12, 5)
+    B = A.transposed()
+    terms = {}
+    for (i, k), v in cells.items():
+        for (j, m), w in cells.items():
+            if k == m:
+                terms.setdefault((i, j), []).append((v, w))
+    monkeypatch.setattr(multiply, "PASS_PATHS", 20)
+    monkeypatch.setattr(multiply, "DENSE_PATHS", 1)
+    passes = []
+    kept = multiply._in_passes
+    monkeypatch.setattr(multiply, "_in_passes", lambda *a: passes.append(a[-1]) or kept(*a))
+    got = cg.mxm(A, B, "plus_times", cell=cell).df
+    assert {(r[0], r[1]): r[2] for r in got.collect()} == {c: sum(v * w for v, w in t) for c, t in terms.items()}
+    got = cg.mxm(A, B, mul=lambda a, b: F.least(a, b), add=F.max, cell=cell).df
+    assert {(r[0], r[1]): r[2] for r in got.collect()} == {c: max(min(x) for x in t) for c, t in terms.items()}
+    assert {tuple(r) for r in cg.mxm(A, B, cell=cell).df.collect()} == set(terms)
+    assert len(passes) == 3 and min(passes) > 1
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()  # read back, paths are not shuffled again
