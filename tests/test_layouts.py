@@ -325,3 +325,27 @@ def test_cg_steps_are_those_of_the_textbook(spark):
         vector = spark.createDataFrame(list(enumerate(map(float, b))), "idx bigint, val double")
         got = values(cg.cg(cg.poisson5pt(spark, 6, 5), vector, rtol=1e-14, max_iter=steps).x)
         assert max(abs(got[i] - x[i]) for i in range(n)) < 1e-10
+
+
+@pytest.mark.parametrize("limit,busy", [(1 << 26, 1 << 20), (1 << 26, 4), (0, 1 << 20)])
+def test_spmm_shuffles_entries_where_the_dense_side_is_small(spark, valued, monkeypatch, limit, busy):
+    import coogrid.plans.skew as skew
+
+    monkeypatch.setattr(sp, "DENSE_BYTES", limit)
+    monkeypatch.setattr(skew, "MIN_CELL_ROWS", busy)
+    monkeypatch.setattr(skew, "CELL_ROWS", busy)
+    triples = [(0, k, float(k + 1)) for k in range(6)] + [(2, 1, -2.0), (2, 3, 0.5), (4, 0, 3.0)]
+    dense = [[float((3 * k + j) % 5) - 1 for j in range(5)] for k in range(6)]
+    blocks = sp.to_blocks(spark.createDataFrame(list(enumerate(dense)), "i bigint, v array<double>"), "i", "v", 5, 2)
+    blocks = blocks.union(blocks.where("row_id = 3"))  # a record that comes twice counts twice
+    found = cg.spmm(valued(triples, 6, 6), blocks, 5, -2.0, width=2)
+    want = {(i, j): 0.0 for i in range(6) for j in range(5)}
+    for i, k, v in triples:
+        for j in range(5):
+            want[i, j] += -2.0 * v * dense[k][j] * (2 if k == 3 else 1)
+    assert cells(sp.block_cells(found, 2)) == pytest.approx(want)
+    records = [(r["row_id"], r["block"], len(r["vals"])) for r in found.collect()]
+    assert sorted(records) == [(i, b, 1 if b == 2 else 2) for i in range(6) for b in range(3)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    wide = [line for line in plan.splitlines() if "Exchange hashpartitioning(row_id" in line and ", block#" in line]
+    assert bool(wide) == (limit == 0 or busy == 4)  # only then are sums of blocks shuffled
