@@ -55,6 +55,10 @@ class _Operator:
         met = self.entries.join(self.stripes.copy(v), self.stripes.on)
         return met.groupBy(F.col(ROW).alias(IDX)).agg(F.sum(F.col("__a") * F.col("v")).alias("q"))
 
+    def drop(self) -> None:
+        """Delete the layout; the vectors of a solve are kept without it."""
+        drop_cut(self.entries)
+
 
 def _scalars(df: DataFrame, **exprs: Column) -> dict[str, float]:
     row = df.agg(*(F.coalesce(F.sum(e), F.lit(0.0)).alias(n) for n, e in exprs.items())).first()
@@ -140,6 +144,7 @@ def cg(
         norm, beta, done = at["rr"] ** 0.5, (at["rz"] / rz if rz else 0.0), done + 1
         rz = at["rz"]
         curvature = at["curvature"] - (beta * rz / step if step else 0.0)
+    op.drop()
     return Solution(kept.df.select(IDX, x.alias(VAL)), done, norm, norm <= goal)
 
 
@@ -193,4 +198,5 @@ def bicgstab(
         norm, done = rr**0.5, done + 1
         if omega == 0.0:
             break
+    op.drop()
     return Solution(kept.df.select(IDX, F.col("x").alias(VAL)), done, norm, norm <= goal)

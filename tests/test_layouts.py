@@ -349,3 +349,24 @@ def test_spmm_shuffles_entries_where_the_dense_side_is_small(spark, valued, monk
     plan = found._jdf.queryExecution().executedPlan().toString()
     wide = [line for line in plan.splitlines() if "Exchange hashpartitioning(row_id" in line and ", block#" in line]
     assert bool(wide) == (limit == 0 or busy == 4)  # only then are sums of blocks shuffled
+
+
+@pytest.mark.parametrize("solver", ["cg", "bicgstab"])
+def test_a_solve_leaves_its_layout_nowhere(spark, valued, vector, monkeypatch, solver):
+    import coogrid.operators.solve as solve
+    from coogrid.plans.durable import path_exists
+
+    made = []
+
+    class Kept(solve._Operator):
+        def __init__(self, *a):
+            super().__init__(*a)
+            made.append(self.entries._jdf.logicalPlan().rdd().getCheckpointFile().get())
+            assert path_exists(spark, made[-1])
+
+    monkeypatch.setattr(solve, "_Operator", Kept)
+    A = valued([(0, 0, 4.0), (1, 1, 3.0), (0, 1, 1.0), (1, 0, 1.0)], 2)
+    found = getattr(solve, solver)(A, vector([1, 2]), rtol=1e-9)
+    assert len(made) == 1 and not path_exists(spark, made[0])
+    got = {r["idx"]: r["val"] for r in found.x.collect()}
+    assert got == pytest.approx({0: 1 / 11, 1: 7 / 11})
